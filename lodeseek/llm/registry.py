@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, ngram_join
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     }
 
 
