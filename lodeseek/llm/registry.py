@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join
+from . import decontaminate, ngram_join, packing
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
     }
 
 
