@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing
+from . import decontaminate, ngram_join, packing, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_toxicity": toxicity.op4_toxicity,
     }
 
 
