@@ -5,9 +5,9 @@ that many documents share come last (two levels, from a sketch of fixed size), t
 sets form one class.  Two classes of Jaccard similarity t or more share an element of their prefixes
 (the first n - ceil(t n) + 1), and at their first common element both have enough elements left.
 
-1. Prefix elements go to shards by element.  An element's bucket holds all classes with it; a small
-   bucket yields its pairs, a large one links every class to the bucket's most central one and keeps
-   its rows for step 3.
+1. Prefix elements go to shards by element.  An element's bucket holds all classes with it.  Pairs of
+   small buckets are counted; those whose prefixes share too little to be similar go.  A large bucket
+   pairs every class with the bucket's most central one and keeps its rows for step 3.
 2. Pairs are verified on whole sets.  The sets to hold against one class are put into a trie in
    global order and traversed with shared partial overlaps; subtrees that too few remaining elements
    can save are pruned.
@@ -40,8 +40,10 @@ PART, WHOLE = 80, 100
 SKETCH_BITS = 24
 #: Shares of the documents from which a shingle is common, by level.
 COMMON = (1 / 4096, 1 / 64)
-#: Classes in a bucket up to which all its pairs are taken at once.
-SMALL = 8
+#: Classes in a bucket up to which all its pairs are counted at once.
+SMALL = 64
+#: Buckets that a class must share with a central one before the two are held against each other early.
+CENTRAL = 3
 #: Prefix elements meant for one shard.
 PER_SHARD = 2_000_000
 #: Sets put into one trie.
@@ -51,8 +53,8 @@ FILTER_BITS = 23
 
 PROFILE = "doc_id long, n long, class long, cell int, seen long"
 BLOBS = "shard int, blob binary"
-FOUND = "kind int, token long, a long, b long, na int, place int"
-SETS = "class long, members binary"
+FOUND = "kind int, token long, a long, b long, na int, nb int, seen int, ok boolean"
+SETS = "class long, doc_id long, members binary"
 U = np.uint64
 
 
@@ -185,10 +187,26 @@ def _can_match(na, nb, pa_, pb):
     return (low * WHOLE >= high * PART) & (np.minimum(na - pa_, nb - pb) >= required(low, high))
 
 
-def _found(kind, token, a, b, na, place) -> pa.RecordBatch:
+def _found(kind, token, a, b, na, nb, seen, ok) -> pa.RecordBatch:
     n = len(a)
     full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), n).astype(t))
-    return pa.RecordBatch.from_arrays([full(kind, np.int32), full(token, np.int64), full(a, np.int64), full(b, np.int64), full(na, np.int32), full(place, np.int32)], names=["kind", "token", "a", "b", "na", "place"])
+    return pa.RecordBatch.from_arrays(
+        [full(kind, np.int32), full(token, np.int64), full(a, np.int64), full(b, np.int64), full(na, np.int32), full(nb, np.int32), full(seen, np.int32), full(ok, bool)],
+        names=["kind", "token", "a", "b", "na", "nb", "seen", "ok"],
+    )
+
+
+def _counted(kind, a, b, na, nb, ok) -> pa.RecordBatch:
+    """The distinct pairs, the lesser class first, with how often they come and whether any is ok."""
+    swap = a > b
+    a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+    order = np.lexsort((b, a))
+    a, b, na, nb, ok = a[order], b[order], na[order], nb[order], ok[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    start = np.flatnonzero(new)
+    any_ok = np.logical_or.reduceat(ok, start) if len(start) else ok
+    return _found(kind, 0, a[start], b[start], na[start], nb[start], np.diff(np.append(start, len(a))), any_ok)
 
 
 def _unique_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]):
@@ -201,8 +219,9 @@ def _unique_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]):
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """Pairs of the shard's small buckets; of large ones the pairs with the most central class, and
-    their rows."""
+    """Kind 0: pairs of the shard's small buckets, in how many they meet, and whether they can match
+    where they meet.  Kind 1: rows of the large buckets.  Kind 2: the large buckets' most central
+    class with each other one that it can match."""
     parts = [_unpack(x.as_py(), [U, np.int64, np.int32, np.int32]) for x in table.column("blob")]
     token, owner, size, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
     # a class may come once from each batch
@@ -212,27 +231,26 @@ def _buckets(table: pa.Table) -> pa.Table:
     token, owner, size, place = token[~again], owner[~again], size[~again], place[~again]
     start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     count = np.diff(np.concatenate([start, [len(token)]]))
-    pairs, out = [], []
-    for m in range(2, SMALL + 1):
-        s = start[count == m]
-        for i in range(m):
-            for j in range(i + 1, m):
-                x, y = s + i, s + j
-                ok = _can_match(size[x], size[y], place[x], place[y])
-                pairs.append((owner[x[ok]], owner[y[ok]]))
+    rows = lambda s, c: np.arange(c.sum()) - np.repeat(np.concatenate([[0], np.cumsum(c)])[:-1] - s, c)
+    out = []
+    small = (count > 1) & (count <= SMALL)
+    if small.any():
+        s, c = start[small], count[small]
+        x = rows(s, c)
+        later = np.repeat(s + c, c) - x - 1  # classes of the bucket after this one
+        y = rows(x + 1, later)
+        x = np.repeat(x, later)
+        out.append(_counted(0, owner[x], owner[y], size[x], size[y], _can_match(size[x], size[y], place[x], place[y])))
     large = count > SMALL
     if large.any():
         s, c = start[large], count[large]
-        rows = np.arange(c.sum()) - np.repeat(np.concatenate([[0], np.cumsum(c)])[:-1] - s, c)
-        centre = np.repeat(s, c)
-        x, y = centre[rows != centre], rows[rows != centre]
+        y = rows(s, c)
+        out.append(_found(1, token[y].view(np.int64), owner[y], 0, size[y], place[y], 1, False))
+        x, y = np.repeat(s, c - 1), rows(s + 1, c - 1)
         ok = _can_match(size[x], size[y], place[x], place[y])
-        pairs.append((owner[x[ok]], owner[y[ok]]))
-        out.append(_found(1, token[rows].view(np.int64), owner[rows], 0, size[rows], place[rows]))
-    if pairs:
-        a, b = _unique_pairs(pairs)
-        out.append(_found(0, 0, np.minimum(a, b), np.maximum(a, b), 0, 0))
-    return pa.Table.from_batches(out, _found(0, 0, *[np.zeros(0)] * 4).schema)
+        x, y = x[ok], y[ok]
+        out.append(_counted(2, owner[x], owner[y], size[x], size[y], np.ones(len(x), bool)))
+    return pa.Table.from_batches(out, _found(0, 0, *[np.zeros(0)] * 6).schema)
 
 
 def _across(batches):
@@ -273,10 +291,10 @@ def _needed_sets(batches, sent, levels_sent):
         if not len(rows):
             continue
         data, offsets = K.text_bytes(batch.column(1).take(pa.array(rows)))
-        for _, _, values, at in _sets(data, offsets):
+        for i, _, values, at in _sets(data, offsets):
             prints, keys = _fingerprints(values, at).view(np.int64), _ordered(values, at, levels)
             full = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(prints[full]), pa.array([keys[at[d] : at[d + 1]].tobytes() for d in full], pa.binary())], names=["class", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints[full]), pa.array(ids[rows][i + full]), pa.array([keys[at[d] : at[d + 1]].tobytes() for d in full], pa.binary())], names=["class", "doc_id", "members"])
 
 
 def trie_matches(probe: np.ndarray, sets: list[np.ndarray], steps: int = 64) -> np.ndarray:
@@ -344,14 +362,15 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels_sent,
     """The similar ones of the distinct class pairs (a, b); written."""
     spark = pairs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    needed = ends.join(classes, "class").select("doc_id")
-    mixed = needed.mapInArrow(_cells, "cell int").distinct()  # 2**FILTER_BITS numbers at most
+    needed = written(ends.join(classes, "class"), "needed")
+    mixed = needed.select("doc_id").mapInArrow(_cells, "cell int").distinct()  # 2**FILTER_BITS numbers at most
     bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
     cells = mixed.toPandas()["cell"].to_numpy().astype(np.int64)
     np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
     sent = spark.sparkContext.broadcast(bits)
-    sets = docs.mapInArrow(partial(_needed_sets, sent=sent, levels_sent=levels_sent), SETS).groupBy("class").agg(F.first("members").alias("members"))
-    sets = written(sets.join(ends, "class", "left_semi"), "sets")
+    # the filter lets a few other documents through; joins drop them
+    sets = written(docs.mapInArrow(partial(_needed_sets, sent=sent, levels_sent=levels_sent), SETS), "sets")
+    sets = sets.join(needed, ["class", "doc_id"], "left_semi").dropDuplicates(["class"]).select("class", "members")
     share = pairs.groupBy("a").agg((1 + F.floor(F.count("*") / PER_TRIE)).cast("int").alias("tries"))
     dealt = written(pairs.join(share, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("tries")).cast("int")).select("a", "part", "b"), "dealt")
     rows = dealt.join(sets.withColumnRenamed("class", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "members")
@@ -366,6 +385,11 @@ def _cells(batches):
         yield pa.RecordBatch.from_arrays([pa.array((K.mix(ids.view(U)) >> U(64 - FILTER_BITS)).astype(np.int32))], names=["cell"])
 
 
+def _rest(size: str):
+    """Elements of a set after its prefix."""
+    return F.expr(f"({size} * {PART} + {WHOLE - 1}) div {WHOLE} - 1")
+
+
 def similar_components(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class): the component is the least doc_id that links reach."""
     spark = documents.sparkSession
@@ -390,15 +414,26 @@ def similar_components(documents: DataFrame) -> DataFrame:
     found = written(blobs.groupBy("shard").applyInArrow(_buckets, FOUND), "buckets")
     classes = written(own.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
 
-    first = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    # the prefixes of two similar sets share so much that what is left can make up the rest; large
+    # buckets, where pairs are not counted, may add as many as a class has of them
+    rows = found.where("kind = 1").select("token", F.col("a").alias("class"), "na", F.col("nb").alias("place"))
+    uncounted = rows.groupBy("class").agg(F.count("*").alias("more"))
+    counted = found.where("kind = 0").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("seen").alias("seen"), F.max("ok").alias("ok")).where("ok")
+    left = F.greatest(_rest("na"), _rest("nb"))
+    needs = F.expr(f"((na + nb) * {PART} + {PART + WHOLE - 1}) div {PART + WHOLE}")
+    for end in ("a", "b"):
+        counted = counted.join(uncounted.select(F.col("class").alias(end), F.col("more").alias(f"more_{end}")), end, "left")
+    counted = counted.where(F.col("seen") + F.coalesce(F.least("more_a", "more_b"), F.lit(0)) + left >= needs).select("a", "b")
+    # early links of large buckets: each class with the central one it meets most
+    central = found.where("kind = 2").groupBy("a", "b").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= CENTRAL)
+    ends = central.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "seen").groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("seen", "a", "b")).alias("p"))
+    first = written(counted.unionByName(ends.select("p.*")).distinct(), "pairs")
     links = _verify(first, docs, classes, levels_sent, parts)
     roots = connected(links)
-    rows = found.where("kind = 1").select("token", F.col("a").alias("class"), "na", "place")
     labelled = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "na", "place", F.coalesce("root", "class").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     open_ = labelled.join(mixed, "token", "left_semi").repartition(parts, "token").sortWithinPartitions("token", "component", "place")
-    second = open_.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    second = written(second, "pairs")
+    second = written(open_.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.unionByName(_verify(second, docs, classes, levels_sent, parts))
         roots = connected(links)
