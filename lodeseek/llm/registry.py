@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, toxicity
+from . import decontaminate, lm_trie, ngram_join, packing, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op6_elias_fano_lm": lm_trie.op6_elias_fano_lm,
     }
 
 
