@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_trie, ngram_join, packing, toxicity
+from . import decontaminate, host_quality, lm_trie, ngram_join, packing, toxicity
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_elias_fano_lm": lm_trie.op6_elias_fano_lm,
+        "op9_host_quality": host_quality.op9_host_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_host_quality": host_quality.SQL}
