@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_quality, lm_trie, ngram_join, packing, toxicity
+from . import decontaminate, host_quality, lm_trie, ngram_join, packing, secret_forest, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_elias_fano_lm": lm_trie.op6_elias_fano_lm,
+        "op7_secret_forest": secret_forest.op7_secret_forest,
         "op9_host_quality": host_quality.op9_host_quality,
     }
 
