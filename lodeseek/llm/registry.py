@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_quality, lm_trie, ngram_join, packing, secret_forest, toxicity
+from . import decontaminate, host_quality, lm_trie, ngram_join, packing, pii_boosting, secret_forest, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_elias_fano_lm": lm_trie.op6_elias_fano_lm,
         "op7_secret_forest": secret_forest.op7_secret_forest,
         "op9_host_quality": host_quality.op9_host_quality,
+        "op10_pii_boosting": pii_boosting.op10_pii_boosting,
     }
 
 
