@@ -8,7 +8,8 @@ sets form one class.  Two classes of Jaccard similarity t or more share an eleme
 1. Prefix elements go to shards by element.  An element's bucket holds all classes with it.  Pairs of
    small buckets are counted; those whose prefixes share too little to be similar go.  A large bucket
    pairs every class with the bucket's most central one and keeps its rows for step 3.
-2. Pairs are verified on whole sets.  The sets to hold against one class are put into a trie in
+2. Pairs whose parity sketches already show too large a difference go; the others are verified on
+   whole sets.  The sets to hold against one class are put into a trie in
    global order and traversed with shared partial overlaps; subtrees that too few remaining elements
    can save are pruned.
 3. Large buckets whose classes now lie in more than one component yield the pairs across components,
@@ -38,8 +39,12 @@ SHINGLE = 5
 PART, WHOLE = 80, 100
 #: Bits that index the sketch; it has 2**24 cells at most, whatever the input.
 SKETCH_BITS = 24
-#: Shares of the documents from which a shingle is common, by level.
-COMMON = (1 / 4096, 1 / 64)
+#: Sightings from which a shingle is common at all: in batches that have it twice or more.
+LEAST_SEEN = 6
+#: Shares of the documents from which it is common at the higher levels.
+COMMON = (1 / 1024, 1 / 64)
+#: Bits of a class's parity sketch.
+PARITY_BITS = 1024
 #: Classes in a bucket up to which all its pairs are counted at once.
 SMALL = 64
 #: Buckets that a class must share with a central one before the two are held against each other early.
@@ -51,7 +56,7 @@ PER_TRIE = 256
 #: Bits of the filter on documents whose sets are needed.
 FILTER_BITS = 23
 
-PROFILE = "doc_id long, n long, class long, cell int, seen long"
+PROFILE = "doc_id long, n long, class long, parity array<long>, cell int, seen long"
 BLOBS = "shard int, blob binary"
 FOUND = "kind int, token long, a long, b long, na int, nb int, seen int, ok boolean"
 SETS = "class long, doc_id long, members binary"
@@ -82,30 +87,49 @@ def _sets(data, offsets):
         yield i, j, np.concatenate(own) if own else s[:0], np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
 
 
+def _parities(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set the parities of its elements by cell.  Where two sets' parities differ, an element
+    of only one of them lies: the number of such cells is a lower bound of the symmetric difference."""
+    out = np.empty((len(at) - 1, PARITY_BITS // 64), np.int64)
+    cells = (values & U(PARITY_BITS - 1)).astype(np.int64)
+    for d in range(len(out)):
+        odd = (np.bincount(cells[at[d] : at[d + 1]], minlength=PARITY_BITS) & 1).astype(np.uint8)
+        out[d] = np.packbits(odd).view(np.int64)
+    return out
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    n, w = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(rows.ravel()))
+
+
 def _profile(batches):
-    """Per document its set's size and fingerprint, and cells of the sketch: shingles that are common
-    enough within a batch that some common shingle of the whole may be among them."""
+    """Per document its set's size, fingerprint and parities, and cells of the sketch: shingles that
+    some classes of a batch share, with how many."""
+    names = ["doc_id", "n", "class", "parity", "cell", "seen"]
+    long = pa.int64()
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(1))
-        n_docs = batch.num_rows
-        least, ids = max(2, int(n_docs * COMMON[0])), batch.column(0)
-        held, total = [], 0
+        ids, held, known, total = batch.column(0), [], np.zeros(0, U), 0
 
-        def cells(held=held, least=least):
+        def cells(held=held):
             every = np.sort(np.concatenate(held))
             held.clear()
-            new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            count = np.diff(np.concatenate([new, [len(every)]]))
-            many = count >= least
-            cell, seen = (every[new[many]] >> U(62 - SKETCH_BITS)).astype(np.int64), count[many]
-            n = len(cell)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(cell, pa.int32()), pa.array(seen, pa.int64())], names=["doc_id", "n", "class", "cell", "seen"])
+            new = np.flatnonzero(np.append(len(every) > 0, every[1:] != every[:-1]))
+            count = np.diff(np.append(new, len(every)))
+            many = count > 1
+            cell, seen, n = (every[new[many]] >> U(62 - SKETCH_BITS)).astype(np.int32), count[many], int(many.sum())
+            return pa.RecordBatch.from_arrays([pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, pa.list_(long)), pa.array(cell), pa.array(seen, long)], names=names)
 
         for i, j, values, at in _sets(data, offsets):
-            print_ = _fingerprints(values, at).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(np.diff(at)), pa.array(print_), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.int64())], names=["doc_id", "n", "class", "cell", "seen"])
-            held.append(values)
-            total += len(values)
+            prints = _fingerprints(values, at)
+            yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(np.diff(at)), pa.array(prints.view(np.int64)), _lists(_parities(values, at)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, long)], names=names)
+            _, first = np.unique(prints, return_index=True)
+            fresh = np.zeros(j - i, bool)
+            fresh[first] = ~np.isin(prints[first], known)
+            known = np.concatenate([known, prints[fresh]])
+            held.append(values[np.repeat(fresh, np.diff(at))])
+            total += len(held[-1])
             if total >= 8_000_000:
                 yield cells()
                 total = 0
@@ -254,12 +278,16 @@ def _buckets(table: pa.Table) -> pa.Table:
 
 
 def _across(batches):
-    """Rows (token, class, size, place, component) sorted by token and component: the pairs of one
-    token across components that can match.  Rows of a token may come in several batches; those
+    """Rows (token, class, size, place, component, parity) sorted by token and component: the pairs of
+    one token across components that can match.  Rows of a token may come in several batches; those
     before are kept, since a pair may lie in any two of them."""
     kept = None
     for batch in batches:
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        n = batch.num_rows
+        if not n:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
+        rows.append(batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
         if kept is not None:
             rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
         fresh_from = 0 if kept is None else len(kept[0])
@@ -267,14 +295,16 @@ def _across(batches):
         edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
         pairs = []
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            _, owner, size, place, component = (x[s:e] for x in rows)
+            _, owner, size, place, component, parity = (x[s:e] for x in rows)
             turn = np.flatnonzero(component[1:] != component[:-1]) + 1
             for i, f in zip(turn, np.append(turn, e - s)[1:], strict=True):
                 # the classes of one component against all before it
-                low = max(i, fresh_from - s)
-                for y in range(low, f):
+                for y in range(max(i, fresh_from - s), f):
                     ok = np.flatnonzero(_can_match(size[:i], size[y], place[:i], place[y]))
                     if len(ok):
+                        differ = np.bitwise_count(parity[ok] ^ parity[y]).sum(axis=1, dtype=np.int64)
+                        both = size[ok].astype(np.int64) + size[y]
+                        ok = ok[(both - differ) // 2 >= -(-both * PART // (PART + WHOLE))]
                         pairs.append((np.minimum(owner[ok], owner[y]), np.maximum(owner[ok], owner[y])))
         kept = [x[edges[-2] :] for x in rows]
         if pairs:
@@ -362,7 +392,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels_sent,
     """The similar ones of the distinct class pairs (a, b); written."""
     spark = pairs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    needed = written(ends.join(classes, "class"), "needed")
+    needed = written(ends.join(classes.select("class", "doc_id"), "class"), "needed")
     mixed = needed.select("doc_id").mapInArrow(_cells, "cell int").distinct()  # 2**FILTER_BITS numbers at most
     bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
     cells = mixed.toPandas()["cell"].to_numpy().astype(np.int64)
@@ -397,14 +427,14 @@ def similar_components(documents: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     profile = written(docs.mapInArrow(_profile, PROFILE), "profile")
-    own = profile.where("cell IS NULL").select("doc_id", "n", "class")
+    own = profile.where("cell IS NULL").select("doc_id", "n", "class", "parity")
     totals = own.agg(F.count("*").alias("docs"), F.sum("n").alias("elements")).first()
     n_docs, elements = totals["docs"], totals["elements"] or 0
-    common = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(2, n_docs * COMMON[0])).toPandas()
+    common = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_SEEN).toPandas()
     levels = []
-    for rate in COMMON:
+    for least in (LEAST_SEEN, *(max(LEAST_SEEN, n_docs * rate) for rate in COMMON)):
         bits = np.zeros(1 << SKETCH_BITS >> 3, np.uint8)
-        cells = common["cell"].to_numpy()[common["seen"].to_numpy() >= max(2, n_docs * rate)].astype(np.int64)
+        cells = common["cell"].to_numpy()[common["seen"].to_numpy() >= least].astype(np.int64)
         np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
         levels.append(bits)
     levels_sent = spark.sparkContext.broadcast(levels)
@@ -412,7 +442,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
     shards = max(parts, -(-int(elements * (1 - PART / WHOLE)) // PER_SHARD), 1)
     blobs = docs.select("text").mapInArrow(partial(_prefixes, sent=levels_sent, shards=shards), BLOBS)
     found = written(blobs.groupBy("shard").applyInArrow(_buckets, FOUND), "buckets")
-    classes = written(own.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = written(own.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "parity"), "doc_id").alias("r")).select("class", "r.*"), "classes")
 
     # the prefixes of two similar sets share so much that what is left can make up the rest; large
     # buckets, where pairs are not counted, may add as many as a class has of them
@@ -423,25 +453,30 @@ def similar_components(documents: DataFrame) -> DataFrame:
     needs = F.expr(f"((na + nb) * {PART} + {PART + WHOLE - 1}) div {PART + WHOLE}")
     for end in ("a", "b"):
         counted = counted.join(uncounted.select(F.col("class").alias(end), F.col("more").alias(f"more_{end}")), end, "left")
-    counted = counted.where(F.col("seen") + F.coalesce(F.least("more_a", "more_b"), F.lit(0)) + left >= needs).select("a", "b")
+    counted = counted.where(F.col("seen") + F.coalesce(F.least("more_a", "more_b"), F.lit(0)) + left >= needs).select("a", "b", "na", "nb")
     # early links of large buckets: each class with the central one it meets most
-    central = found.where("kind = 2").groupBy("a", "b").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= CENTRAL)
-    ends = central.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "seen").groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("seen", "a", "b")).alias("p"))
-    first = written(counted.unionByName(ends.select("p.*")).distinct(), "pairs")
+    central = found.where("kind = 2").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("seen").alias("seen")).where(F.col("seen") >= CENTRAL)
+    ends = central.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "na", "nb", "seen").groupBy("end").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("seen", "a", "b")).alias("p"))
+    first = counted.unionByName(ends.select("p.*")).distinct()
+    # the parity sketches of both ends bound the symmetric difference
+    for end in ("a", "b"):
+        first = first.join(classes.select(F.col("class").alias(end), F.col("parity").alias(f"parity_{end}")), end)
+    differ = F.expr("aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    first = written(first.where(F.floor((F.col("na") + F.col("nb") - differ) / 2) >= needs).select("a", "b"), "pairs")
     links = _verify(first, docs, classes, levels_sent, parts)
     roots = connected(links)
     labelled = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "na", "place", F.coalesce("root", "class").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = labelled.join(mixed, "token", "left_semi").repartition(parts, "token").sortWithinPartitions("token", "component", "place")
+    open_ = labelled.join(mixed, "token", "left_semi").join(classes.select("class", "parity"), "class").select("token", "class", "na", "place", "component", "parity").repartition(parts, "token").sortWithinPartitions("token", "component", "place")
     second = written(open_.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.unionByName(_verify(second, docs, classes, levels_sent, parts))
         roots = connected(links)
     # from classes to documents
-    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    named = classes.drop("parity").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("class", "component_id")
-    out = own.join(named, "class", "left")
+    out = own.drop("parity").join(named, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
 
 
