@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_quality, lm_trie, ngram_join, packing, pii_boosting, secret_forest, toxicity
+from . import chat_rotation, decontaminate, host_quality, lm_trie, ngram_join, packing, pii_boosting, secret_forest, toxicity, warc_fixity
 
 
 def queries() -> dict:
@@ -11,12 +11,14 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_chat_rotation": chat_rotation.op5_chat_rotation,
         "op6_elias_fano_lm": lm_trie.op6_elias_fano_lm,
         "op7_secret_forest": secret_forest.op7_secret_forest,
+        "op8_warc_fixity": warc_fixity.op8_warc_fixity,
         "op9_host_quality": host_quality.op9_host_quality,
         "op10_pii_boosting": pii_boosting.op10_pii_boosting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_host_quality": host_quality.SQL}
+    return {"op5_chat_rotation": chat_rotation.SQL, "op8_warc_fixity": warc_fixity.SQL, "op9_host_quality": host_quality.SQL}
