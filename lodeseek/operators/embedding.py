@@ -7,8 +7,10 @@ import os
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
@@ -113,9 +115,6 @@ class HashingArrowEmbedder(HashingEmbedder):
     """The same vectors from an Arrow-batched function: for long texts."""
 
     def column(self, text):
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
         n = self.dimensions
 
         @pandas_udf("array<float>")
@@ -189,9 +188,6 @@ class HttpEmbedder:
         raise AssertionError
 
     def column(self, text):
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
         fetch = self.fetch
 
         @pandas_udf("array<float>")

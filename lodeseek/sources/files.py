@@ -23,17 +23,30 @@ def ignore_patterns(spark: SparkSession, root: str, names=L.IGNORE_FILES) -> lis
     """Lines of the ignore files at the root, in order."""
     found: list[str] = []
     for name in names:
-        try:
-            found += [r.value for r in spark.read.text(f"{root.rstrip('/')}/{name}").collect()]  # one small file
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        found += (small_text(spark, f"{root.rstrip('/')}/{name}") or "").splitlines()
     return found
 
 
+def small_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None; by the file system, for Spark's readers skip hidden names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode(errors="replace")
+    finally:
+        stream.close()
+
+
 def walk(spark: SparkSession, root: str, respect_ignore: bool = True, include_hidden: bool = False) -> DataFrame:
     """The files to index: path, relative, size, mtime, language.  Path rules come before any content
-    is read; the content test reads what is left."""
+    is read; the content test reads what is left.
+
+    Spark's file listing leaves hidden names out by itself, so include_hidden adds only hidden
+    folders named in ``root``.
+    """
     d = tree(spark, root)
     d = d.where(~L.in_excluded_dir(F.col("path")) & ~L.binary_by_extension(F.col("path")))
     if not include_hidden:

@@ -81,7 +81,7 @@ def binary_by_content(content: Column) -> Column:
     """Over the first SAMPLE bytes: a zero byte; or over 30 % unprintable bytes and no valid UTF-8; or
     over 80 %.  Empty content is text."""
     head = F.substring(content, 1, SAMPLE)
-    as_bytes = F.decode(head, F.lit("ISO-8859-1"))
+    as_bytes = F.decode(head, "ISO-8859-1")
     n = F.length(head)
     odd = n - F.length(F.regexp_replace(as_bytes, r"[^\x09\x0A\x0D\x20-\x7E]", ""))
     share = odd / n
