@@ -55,7 +55,7 @@ SEED_SYMBOLS = {w: symbol for symbol, words in SEED.items() for w in (words.spli
 REACH = 3
 #: Contexts that a match is written with.
 PLAIN, TARGETED, NEGATED, REPORTED, THREATENING = range(5)
-N_FEATURES = 8
+N_FEATURES = 10
 
 
 class Transducer:
@@ -126,8 +126,10 @@ class Lexicon:
 
 
 def features(text: str, lexicon: Lexicon, machine: Transducer) -> list[float]:
-    """What the clauses of a text matched: weights by context, matching clauses, the heaviest one."""
-    symbols = [lexicon(w) for w in TOKEN.findall(text.lower())]
+    """What the clauses of a text matched: weights by context, matching clauses, the heaviest one,
+    whether there is more than one match, and how many different words match."""
+    words = TOKEN.findall(text.lower())
+    symbols = [lexicon(w) for w in words]
     out = [0.0] * N_FEATURES
     out[0] = 1.0
     if not any(s == INSULT or s == THREAT for s, _ in symbols):
@@ -135,15 +137,18 @@ def features(text: str, lexicon: Lexicon, machine: Transducer) -> list[float]:
     step, mark = machine.step, machine.mark
     state, clause, heaviest, clauses = 0, 0.0, 0.0, 0
     weights = [0.0] * 5
-    for symbol, weight in symbols:
+    matched: list[str] = []
+    for (symbol, weight), word in zip(symbols, words, strict=True):
         context = mark[state]
         if symbol == INSULT:
             kind = NEGATED if NEGATED in context else REPORTED if REPORTED in context else THREATENING if THREATENING in context else TARGETED if TARGETED in context else PLAIN
+            matched.append(word)
             weights[kind] += weight
             clause += weight * (0.5 if kind in (NEGATED, REPORTED) else 1.0)
         elif (symbol == THREAT and TARGETED in context) or (symbol == TARGET and THREATENING in context):
             # a threat needs its target, before or after it
             kind = NEGATED if NEGATED in context else REPORTED if REPORTED in context else THREATENING
+            matched.append(word)
             weights[kind] += weight
             clause += weight * (0.5 if kind in (NEGATED, REPORTED) else 1.0)
         elif symbol == END:
@@ -153,6 +158,7 @@ def features(text: str, lexicon: Lexicon, machine: Transducer) -> list[float]:
     clauses += clause > 0
     out[1:6] = [math.log1p(w) for w in weights]
     out[6], out[7] = math.log1p(clauses), math.log1p(max(heaviest, clause))
+    out[8], out[9] = float(len(matched) > 1), math.log1p(len(set(matched)))
     return out
 
 
@@ -243,7 +249,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     if 0 < y.sum() < len(y):
         weights = fit_logistic(x, y)
     else:
-        weights = np.array([-3.0, 2.0, 2.5, 0.5, 0.5, 2.5, 0.5, 0.5])
+        weights = np.array([-3.0, 2.0, 2.5, 0.5, 0.5, 2.5, 0.5, 0.5, 0.5, 0.5])
     return Model(lexicon, weights)
 
 
