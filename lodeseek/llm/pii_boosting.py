@@ -46,9 +46,9 @@ ADDED = {
 ADDED_HINT = {"account": "{t} RLIKE '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11}}'", "address": "{t} RLIKE '[(\\\\[]at[)\\\\]]'", "number": "{t} RLIKE '[0-9](?:[ ().-]{{0,2}}+[0-9]){{6}}'"}
 KINDS = [*BASE, *ADDED]
 
-PHONE_WORDS = "(?i)(?:tel|phone|call|mobile|cell|fax|contact|whatsapp|rufnummer|telefon|appel|llame)"
-ID_WORDS = "(?i)(?:ssn|social|passport|identity|national id|tax id|account|iban|konto|compte|cuenta|born|birth|dob|licen[cs]e)"
-OTHER_WORDS = "(?i)(?:order|invoice|version|build|ticket|isbn|sku|part|commit|ref|serial|model|page|chapter|line|total|price|sum|usd|eur|size|count|bytes|seconds|year)"
+PHONE_WORDS = "(?i)\\\\b(?:tel|phone|call|mobile|cell|fax|contact|whatsapp|rufnummer|telefon|appel|llame)"
+ID_WORDS = "(?i)\\\\b(?:ssn|social|passport|identity|national id|tax id|account|iban|konto|compte|cuenta|born|birth|dob|licen[cs]e)"
+OTHER_WORDS = "(?i)\\\\b(?:order|invoice|version|build|ticket|isbn|sku|part|commit|ref|serial|model|page|chapter|line|total|price|sum|usd|eur|size|count|bytes|seconds|year)"
 
 
 def _quoted(pattern: str) -> str:
