@@ -212,12 +212,24 @@ def _hit_words(hits: str):
     return F.aggregate(F.array_sort(hits), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), step)["n"]
 
 
+def _clean(batches, sent, at: int):
+    bench: Benchmark = sent.value
+    for batch in batches:
+        data, offsets = K.text_bytes(batch.column(at))
+        clean = np.ones(batch.num_rows, bool)
+        for i, j in K.blocks(offsets, SHARD_BYTES):
+            _, owner, *_ = matches_of_shard(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bench)
+            clean[i + owner] = False
+        yield batch.filter(pa.array(clean))
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a word inside an occurrence of a benchmark window; columns as given."""
-    if not {"doc_id", "text"} <= set(documents.columns):
-        raise ValueError("documents need doc_id and text")
-    hit = find_matches(documents, benchmark, window).where("n_hit > 0").select("doc_id")
-    return documents.join(hit, "doc_id", "left_anti").select(*documents.columns)
+    """The rows without a word inside an occurrence of a benchmark window; columns as given."""
+    at, kept = documents.columns.index("text"), documents
+    for bench in benchmark_blocks(benchmark, window):
+        sent = documents.sparkSession.sparkContext.broadcast(bench)
+        kept = kept.mapInArrow(lambda batches, sent=sent: _clean(batches, sent, at), documents.schema)
+    return kept
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ sets form one class.  Two classes of Jaccard similarity t or more share an eleme
 
 The order comes from approximate counts; it moves work, never results.  Defined results: null, empty
 and blank texts have no set (n_shingles 0) and are their own component; repeated rows of one doc_id
-with one text are one class; an empty table gives an empty result; further columns are ignored.
+with one text are one class; a row without a doc_id names no component and links nothing, it gets the
+component of its text if a named row has it; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -423,10 +425,11 @@ def _rest(size: str):
 def similar_components(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class): the component is the least doc_id that links reach."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = every.where("doc_id IS NOT NULL")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    profile = written(docs.mapInArrow(_profile, PROFILE), "profile")
+    profile = written(every.mapInArrow(_profile, PROFILE), "profile")
     own = profile.where("cell IS NULL").select("doc_id", "n", "class", "parity")
     totals = own.agg(F.count("*").alias("docs"), F.sum("n").alias("elements")).first()
     n_docs, elements = totals["docs"], totals["elements"] or 0
@@ -442,7 +445,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
     shards = max(parts, -(-int(elements * (1 - PART / WHOLE)) // PER_SHARD), 1)
     blobs = docs.select("text").mapInArrow(partial(_prefixes, sent=levels_sent, shards=shards), BLOBS)
     found = written(blobs.groupBy("shard").applyInArrow(_buckets, FOUND), "buckets")
-    classes = written(own.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "parity"), "doc_id").alias("r")).select("class", "r.*"), "classes")
+    classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min_by(F.struct("doc_id", "parity"), "doc_id").alias("r")).select("class", "r.*"), "classes")
 
     # the prefixes of two similar sets share so much that what is left can make up the rest; large
     # buckets, where pairs are not counted, may add as many as a class has of them

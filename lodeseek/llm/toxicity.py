@@ -176,7 +176,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(HELD_OUT[0])) == HELD_OUT[1]
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(HELD_OUT[0])) == HELD_OUT[1]
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:

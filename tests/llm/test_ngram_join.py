@@ -53,6 +53,13 @@ def test_pairs_across_batches_and_components(spark, monkeypatch):
     assert got == set(N.brute_force(rows))
 
 
+def test_rows_without_an_id(spark):
+    text = "a b c d e f g h"
+    frame = spark.createDataFrame([(None, text, "x", 0), (4, text, "x", 0), (None, "other text", "x", 0), (2, text + " i", "x", 0)], SCHEMA)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in N.similar_components(frame).collect()), key=repr)
+    assert got == [(2, 5, 2), (4, 4, 2), (None, 1, None), (None, 4, 2)]
+
+
 def test_empty_table(spark):
     assert N.similar_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
