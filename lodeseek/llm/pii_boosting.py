@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tree_sql
+from .storage import written
 
 CANDIDATES = 3000
 ROUNDS, DEPTH, SEED = 20, 4, 11
@@ -166,16 +167,14 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> Judge:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = with_proposals(labelled if labelled is not None else labelled_candidates(spark)).selectExpr("id", "label", "explode(proposed) AS c")
-    rows = rows.withColumn("features", array_to_vector("c.f")).coalesce(1).cache()
-    try:
-        fit = F.pmod(F.xxhash64("id"), F.lit(3)) < 2
-        model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED, stepSize=0.3, subsamplingRate=0.9).fit(rows.where(fit))
-        probability = tree_sql.boosted_probability(model, "c.f")
-        # CANDIDATES rows at most, by rule
-        held = rows.where(~fit).selectExpr("c.kind AS kind", "label", f"{probability} AS p").collect()
-    finally:
-        rows.unpersist()
+    # written between the steps: else Spark would make the rows anew within each expression
+    made = written(labelled if labelled is not None else labelled_candidates(spark), "labelled")
+    rows = written(with_proposals(made).selectExpr("id", "label", "explode(proposed) AS c"), "proposals").withColumn("features", array_to_vector("c.f"))
+    fit = F.pmod(F.xxhash64("id"), F.lit(3)) < 2
+    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED, stepSize=0.3, subsamplingRate=0.9).fit(rows.where(fit).coalesce(1))
+    probability = tree_sql.boosted_probability(model, "c.f")
+    # CANDIDATES rows at most, by rule
+    held = rows.where(~fit).selectExpr("c.kind AS kind", "label", f"{probability} AS p").collect()
     thresholds = {}
     for kind in ADDED:
         own, right, best = sorted(((r.p, r.label) for r in held if r.kind == kind), reverse=True), 0, 0.995
