@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tree_sql
+from .storage import written
 
 FINDINGS = 1200
 TREES, DEPTH, SEED = 24, 6, 17
@@ -129,7 +130,9 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> str:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = with_candidates(findings if findings is not None else labelled_findings(spark)).select("label", F.explode("found").alias("c"))
+    # written between the steps: fitting passes over the rows many times
+    made = written(findings if findings is not None else labelled_findings(spark), "labelled")
+    rows = written(with_candidates(made).select("label", F.explode("found").alias("c")), "findings")
     rows = rows.select("label", array_to_vector("c.f").alias("features"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=0.8)
     return tree_sql.forest_vote(forest.fit(rows.coalesce(1)), "c.f")
