@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeseek.llm import decontaminate, ngram_join, packing, secret_forest, toxicity
 from lodeseek.llm.storage import written
+from lodeseek.session import reachable
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
