@@ -70,9 +70,10 @@ def host_rates(judged: DataFrame) -> DataFrame:
     within = mean * (1 - mean)
     between = F.col("ff") / F.col("n") - mean * mean - within * (F.col("k") / F.col("n"))
     strength = F.when(between > 0, within / between - 1).otherwise(F.lit(STRENGTH[1]))
-    prior = whole.select(mean.alias("mean"), F.least(F.greatest(strength, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength"))
-    shrunk = (F.col("host_failures") + F.col("mean") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    return hosts.crossJoin(F.broadcast(prior)).select("source", "host_docs", "host_failures", shrunk.alias("host_rate"))  # prior: one row
+    # the prior's two numbers
+    prior = whole.select(F.coalesce(mean, F.lit(0.0)).alias("mean"), F.least(F.greatest(strength, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength")).first()
+    shrunk = (F.col("host_failures") + F.lit(prior["mean"]) * F.lit(prior["strength"])) / (F.col("host_docs") + F.lit(prior["strength"]))
+    return hosts.select("source", "host_docs", "host_failures", shrunk.alias("host_rate"))
 
 
 def judge(documents: DataFrame) -> DataFrame:
