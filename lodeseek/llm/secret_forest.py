@@ -34,9 +34,9 @@ REPLACEMENT = "[SECRET]"
 
 #: A candidate, leftmost first and without overlap.  Possessive, so that long runs cost no recursion.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
     r"|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{12,}+={0,2}+(?![A-Za-z0-9_])"
-    r"|(?<=[=:\"'])[^\s\"'=,;]{6,200}+"
+    r"|(?<=[=:]\s{0,8}|[\"'])[^\s\"'=,;]{6,}+"
 )
 NAMES = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[\"']?\s*(?:=>|[:=]|\s)\s*[\"']?\z"
 #: Names of values that are no secrets though they look like it.

@@ -50,3 +50,16 @@ def test_held_out_findings(spark):
     rows = S.scan(S.labelled_findings(spark, 2400).where("NOT text IS NULL").selectExpr("*", "text AS t"), vote).selectExpr("label", "exists(findings, c -> c.secret) AS secret").collect()[S.FINDINGS :]
     right = sum(r.secret == bool(r.label) for r in rows)
     assert right >= 0.95 * len(rows)
+
+
+def test_whole_and_spaced_values_are_redacted(spark):
+    import base64
+    import hashlib
+
+    long = base64.b64encode(b"".join(hashlib.sha512(bytes([k])).digest() for k in range(18))).decode()[:1500]
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + long[:900].replace("+", "-").replace("/", "_") + "." + long[900:943].replace("+", "-").replace("/", "_")
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\n" + long[:640] + "\n-----END RSA PRIVATE KEY-----"
+    values = {1: ("API_KEY=", long), 2: ("export AUTH_TOKEN=", jwt), 3: ("password: ", "S3cr#t!9"), 4: ("DB_PASSWORD = ", "S3cr#t!9"), 5: ("", pem)}
+    frame = spark.createDataFrame([(i, f"{name}{v}\nthe end", ".env", "mine") for i, (name, v) in values.items()], SCHEMA)
+    got = {r.doc_id: r.text for r in S.redact(frame, S.train(spark)).collect()}
+    assert got == {i: f"{name}{S.REPLACEMENT}\nthe end" for i, (name, _) in values.items()}
