@@ -50,17 +50,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def encoding(path: str):
     """The byte-level BPE of a ``tokenizers`` file, run by tiktoken, which gives the same ids faster.
 
-    A vocabulary of this kind lists its merges in order of rank, so that ids are ranks.
+    A vocabulary of this kind lists its merges in order of rank, so that ids are ranks.  The file's
+    added tokens are known too; ``encode_ordinary`` takes them for plain text, ``encode_text`` does not.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocabulary = file["model"]["vocab"]
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token not in added}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+
+def encode_text(text: str, path: str) -> list[int]:
+    """The ids of ``tokenizers`` with add_special_tokens=False: added tokens within the text have their own."""
+    return encoding(path).encode(text, allowed_special="all")
 
 
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -115,11 +123,10 @@ def _pack_all(items: list[list[tuple]], capacity: int):
 
 
 def _tokenise_and_pack(batches, path: str, capacity: int):
-    encode = encoding(path).encode_ordinary
     items: list[list[tuple]] = []
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encode(text.as_py() or "")
+            ids = encode_text(text.as_py() or "", path)
             ids.append(END)
             items += [[(doc_id, *p)] for p in pieces_of(np.array(ids, np.uint32), capacity)]
         if len(items) >= LOCAL_PIECES:

@@ -65,3 +65,16 @@ def test_round_trip(spark, parts, capacity, monkeypatch):
 
 def test_empty_table(spark):
     assert P.placed(P.pack(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_added_token_within_texts(spark):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(P.tokenizer_path())
+    token = "<|endoftext|>"
+    texts = [token, f"{token} x", f"one  {token}\n\ntwo{token}{token} 'll", f"  {token}  ", "<|endoftext|", f"<|endoftext{token}>", "naïve 東京"]
+    for t in texts:
+        assert P.encode_text(t, P.tokenizer_path()) == reference.encode(t, add_special_tokens=False).ids
+    got = P.placed(P.pack(spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], SCHEMA))).collect()
+    want = [np.array([*reference.encode(t, add_special_tokens=False).ids, P.END], "<u4") for t in texts]
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)}
