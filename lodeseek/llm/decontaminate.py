@@ -4,11 +4,11 @@ The documents are cut into shards of about ``SHARD_BYTES`` bytes (whole document
 a suffix array over its words, built by prefix doubling; every suffix of every benchmark item is
 located in it by binary search, all occurrences are read off the array and extended to the longest
 verbatim match.  Shards are independent, so there is no shuffle: the benchmark goes to the documents
-in blocks of at most ``BENCHMARK_BLOCK_BYTES`` of text, one pass over the documents for each block.
+in blocks of at most ``BENCHMARK_BLOCK_BYTES`` of text, which each task searches in turn in one pass.
 
 Defined results: a null or wordless text has no words and is never hit; a null item text has no
-windows; a null item id is listed as the empty string; repeated item rows count once; an empty
-benchmark leaves every document clean; extra columns of either table are ignored.
+windows; a null item id is listed as the empty string; repeated item rows count once; every document
+row has a row, without a doc_id or with a repeated one too; an empty benchmark leaves every document clean; extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from . import text_kernels as K
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-#: Benchmark text sent to the executors at once; a larger benchmark takes further passes.
+#: Benchmark text that a task holds at once; a larger benchmark has further blocks.
 BENCHMARK_BLOCK_BYTES = 8 << 20
 #: Words of a shard up to which rank, rank and position fit one 64-bit sort key.
 PACKED = 1 << 20
@@ -149,22 +149,34 @@ def matches_of_shard(data: np.ndarray, offsets: np.ndarray, bench: Benchmark):
     return n_words, owner, spot - owner - first[owner], length, bench.item[live][which]
 
 
-def _search(batches, sent):
-    bench: Benchmark = sent.value
+def _matches(batch_data, batch_offsets, shards, sent: list):
+    """Per shard its documents' words and all matches (document, start, length, item's name) in order,
+    whatever blocks the benchmark has; of several blocks one at a time is held."""
+    words, found = [None] * len(shards), [[] for _ in shards]
+    for block in sent:
+        bench: Benchmark = block.value
+        for k, (i, j) in enumerate(shards):
+            words[k], owner, start, length, item = matches_of_shard(batch_data[batch_offsets[i] : batch_offsets[j]], batch_offsets[i : j + 1] - batch_offsets[i], bench)
+            found[k] += zip(owner.tolist(), start.tolist(), length.tolist(), [bench.names[q] for q in item.tolist()], strict=True)
+        if len(sent) > 1:
+            del bench, block._value  # read again for the next batch
+    return zip(shards, words, map(sorted, found), strict=True)
+
+
+def _search(batches, sent: list):
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(1))
-        for i, j in K.blocks(offsets, SHARD_BYTES):
-            n_words, owner, start, length, item = matches_of_shard(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bench)
+        for (i, j), n_words, found in _matches(data, offsets, list(K.blocks(offsets, SHARD_BYTES)), sent):
             rows = [[[], [], 0, None, None] for _ in range(j - i)]
-            for d, s, n, q in sorted(zip(owner.tolist(), start.tolist(), length.tolist(), item.tolist(), strict=True)):
+            for d, s, n, name in found:
                 row = rows[d]
                 if row[0] and s <= (last := row[0][-1])["start"] + last["length"]:
                     last["length"] = max(last["length"], s + n - last["start"])
                 else:
                     row[0].append({"start": s, "length": n})
-                row[1].append(bench.names[q])
+                row[1].append(name)
                 if n > row[2]:
-                    row[2:] = [n, bench.names[q], s]
+                    row[2:] = [n, name, s]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[i:j], pa.array(n_words), pa.array([r[0] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array([sorted(set(r[1])) for r in rows], pa.list_(pa.string()))]
                 + [pa.array([r[k] for r in rows], t) for k, t in ((2, pa.int64()), (3, pa.string()), (4, pa.int64()))],
@@ -186,25 +198,16 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW):
 
 
 def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document the merged word ranges that occur in the benchmark, the items, and the longest
+    """Per document row the merged word ranges that occur in the benchmark, the items, and the longest
     verbatim match with its place.  doc_id keeps its type's long form; see MATCHES."""
-    spark, parts = documents.sparkSession, []
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for bench in benchmark_blocks(benchmark, window):
-        sent = spark.sparkContext.broadcast(bench)
-        parts.append(docs.mapInArrow(lambda batches, sent=sent: _search(batches, sent), MATCHES))
-    if len(parts) == 1:
-        return parts[0].withColumn("n_hit", _hit_words("hits"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    best = F.max_by(F.struct("longest_words", "longest_item", "longest_start"), "longest_words")
-    out = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("best"))
-    return out.select("doc_id", "n_words", "hits", "items", "best.*").withColumn("n_hit", _hit_words("hits"))
+    sent = [spark.sparkContext.broadcast(bench) for bench in benchmark_blocks(benchmark, window)]
+    return docs.mapInArrow(lambda batches: _search(batches, sent), MATCHES).withColumn("n_hit", _hit_words("hits"))
 
 
 def _hit_words(hits: str):
-    """Words inside any of the ranges, which may overlap where they come from several blocks."""
+    """Words inside any of the ranges."""
     step = lambda acc, r: F.struct(
         (acc["n"] + F.greatest(r["start"] + r["length"] - F.greatest(r["start"], acc["to"]), F.lit(0))).cast("long").alias("n"),
         F.greatest(acc["to"], r["start"] + r["length"]).cast("long").alias("to"),

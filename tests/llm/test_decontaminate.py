@@ -56,3 +56,21 @@ def test_empty_tables_and_filter(spark):
     docs = spark.createDataFrame([(1, "x y", 0), (2, "the x y z", 0), (2, "the x y z", 0), (3, "x", 0)], DOCS)
     kept = D.decontaminate(docs, spark.createDataFrame([(7, "X-Y", "n")], ITEMS))
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
+
+
+def test_blocks_keep_every_row(spark, monkeypatch):
+    docs, items = fixture(random.Random(5), ["aa", "b", "cc"])
+    docs = [(None if i % 3 == 0 else i // 4, t) for i, t in docs]
+    columns = ["doc_id", "n_words", "n_hit", "hits", "items", "longest_words", "longest_item", "longest_start"]
+
+    def rows():
+        found = D.find_matches(spark.createDataFrame([(i, t, 1) for i, t in docs], DOCS).repartition(3), spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS))
+        return sorted(map(repr, map(tuple, found.select(columns).collect())))
+
+    whole = rows()
+    assert len(whole) == len(docs)
+    monkeypatch.setattr(D, "BENCHMARK_BLOCK_BYTES", 40)
+    assert rows() == whole
+    want = sorted((str(i), n, hit, k) for i, n, hit, k, _, _ in D.brute_force(docs, items))
+    got = D.find_matches(spark.createDataFrame([(i, t, 1) for i, t in docs], DOCS), spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, len(r["items"])) for r in got) == want
