@@ -2,18 +2,19 @@
 
 High-recall patterns propose candidates: values assigned to a name that speaks of a credential,
 tokens of known issuers, and long mixed tokens.  Each candidate gets features - length, entropy,
-changes between letter and digit, runs, share of letters that common syllables cover, path of the
-source, words around it - and a random forest of MLlib, trained from labelled findings, votes.  The
-forest is turned into one SQL expression, so a text is scanned, scored and redacted within a single
-projection: no shuffle, and nothing depends on how many candidates a text has.
+changes between letter and digit, runs, share of letters that a dictionary of syllables covers, path
+of the source, words before and after it - and a random forest of MLlib, trained from labelled
+findings, votes.  The forest is turned into one SQL expression, so a text is scanned, scored and
+redacted within a single projection: no shuffle, and work in proportion to a text's length.
 
 No table of labelled findings comes with the data.  ``labelled_findings`` makes one of FINDINGS rows
 by rule: issued keys, assigned random values and passwords against hashes named as such, versions,
 identifiers, numbers, words and templates' placeholders, in several surroundings.
 
 Defined results: null and empty texts have no candidates; a null source is an empty path; repeated
-rows are scanned each; an empty table gives an empty result; columns named like the operator's own
-do not clash, for only doc_id, text and source are taken.
+rows are scanned each; an empty table gives an empty result; the caller's columns, whatever their
+names, pass ``redact`` apart from the operator's own; a value of any length is one candidate and is
+replaced whole.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tree_sql
+from .array_sql import matches, quoted
 from .storage import written
 
-FINDINGS = 1200
+FINDINGS = 1600
 TREES, DEPTH, SEED = 24, 6, 17
 #: Share of the trees from which a candidate is a secret.
 VOTES = 0.5
@@ -53,8 +55,8 @@ def _count(pattern: str) -> str:
 #: The features, over a struct c (v: value, before, after, path).
 FEATURES = [
     "CAST(least(length(c.v), 200) AS DOUBLE)",
-    # entropy in bits a character
-    "aggregate(map_values(aggregate(split(c.v, ''), cast(map() as map<string,int>), (m, x) -> map_concat(map_filter(m, (k, n) -> k <> x), map(x, coalesce(m[x], 0) + 1)))), 0D, (a, n) -> a - n / length(c.v) * log2(n / length(c.v)))",
+    # entropy in bits a character, over the runs of its sorted characters
+    r"aggregate(regexp_extract_all(array_join(array_sort(split(c.v, '')), ''), '(?s)(.)\\1*+', 0), 0D, (a, r) -> a - length(r) / length(c.v) * log2(length(r) / length(c.v)))",
     _count("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]") + " / length(c.v)",
     _count("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]") + " / length(c.v)",
     _count("[0-9]") + " / length(c.v)",
@@ -62,42 +64,38 @@ FEATURES = [
     _count("(.)\\\\1") + " / length(c.v)",
     "1D - CAST(length(regexp_replace(c.v, '" + SYLLABLES + "', '')) AS DOUBLE) / length(c.v)",
     "CAST(c.v RLIKE '\\\\A[0-9a-fA-F]+\\\\z' AS DOUBLE)",
-    "CAST(c.v RLIKE '" + ISSUED.replace("\\", "\\\\") + "' AS DOUBLE)",
-    "CAST(c.before RLIKE '" + NAMES.replace("\\", "\\\\").replace("'", "\\'") + "' AS DOUBLE)",
-    "CAST(c.before RLIKE '" + HARMLESS.replace("\\", "\\\\").replace("'", "\\'") + "' AS DOUBLE)",
-    "CAST(c.before RLIKE '[=:][\"\\']?\\\\s*[\"\\']?\\\\z' AS DOUBLE)",
-    "CAST(c.v RLIKE '(?i)example|sample|changeme|your|xxxx|placeholder|dummy|<|\\\\$\\\\{' AS DOUBLE)",
-    "CAST(c.path RLIKE '" + PATHS.replace("\\", "\\\\") + "' AS DOUBLE)",
+    f"CAST(c.v RLIKE '{quoted(ISSUED)}' AS DOUBLE)",
+    f"CAST(c.before RLIKE '{quoted(NAMES)}' AS DOUBLE)",
+    f"CAST(c.before RLIKE '{quoted(HARMLESS)}' AS DOUBLE)",
+    r"CAST(c.before RLIKE '[=:]\\s*[\"\']?\\z' AS DOUBLE)",
+    r"CAST(c.v RLIKE '(?i)example|sample|changeme|your|xxxx|placeholder|dummy|<|\\$\\{' AS DOUBLE)",
+    f"CAST(c.path RLIKE '{quoted(PATHS)}' AS DOUBLE)",
+    # neighbouring words on either side, and how much of them the dictionary covers
     "CAST(size(filter(split(c.before, '[^A-Za-z]+'), w -> length(w) > 2)) AS DOUBLE)",
+    "CAST(size(filter(split(c.after, '[^A-Za-z]+'), w -> length(w) > 2)) AS DOUBLE)",
+    "1D - CAST(length(regexp_replace(concat(c.before, c.after), '" + SYLLABLES + "', '')) AS DOUBLE) / greatest(1, length(concat(c.before, c.after)))",
+    r"CAST(c.after RLIKE '\\A[\"\';,)]*\\s*(?:\\z|\n)' AS DOUBLE)",
 ]
 
 
-def _quoted(pattern: str) -> str:
-    return pattern.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def with_candidates(documents: DataFrame) -> DataFrame:
-    """Adds ``gaps`` (texts between candidates) and ``found`` (structs v, start, end, before, after, f)."""
-    text = "coalesce(text, '')"
-    d = documents.withColumn("v0", F.expr(f"regexp_extract_all({text}, '{_quoted(CANDIDATE)}', 0)"))
-    d = d.withColumn("gaps", F.expr(f"CASE WHEN size(v0) > 0 THEN split({text}, '{_quoted(CANDIDATE)}', -1) ELSE array({text}) END"))
-    # a candidate starts after all gaps and candidates before it
-    d = d.withColumn("starts", F.expr("aggregate(v0, named_struct('at', 0, 'k', 0, 's', cast(array() as array<int>)), (a, v) -> named_struct('at', a.at + length(gaps[a.k]) + length(v), 'k', a.k + 1, 's', a.s || array(a.at + length(gaps[a.k])))).s"))
-    d = d.withColumn(
-        "found",
-        F.expr(
-            f"transform(v0, (v, k) -> named_struct('v', v, 'start', starts[k], 'end', starts[k] + length(v), 'before', right(concat(CASE WHEN k > 0 THEN v0[k - 1] ELSE '' END, gaps[k]), {AROUND}), 'after', left(gaps[k + 1], {AROUND}), 'path', coalesce(source, '')))"
-        ),
-    )
-    features = "transform(found, c -> named_struct('v', c.v, 'start', c.start, 'end', c.end, 'f', array(" + ", ".join(FEATURES) + ")))"
-    return d.withColumn("found", F.expr(features)).drop("v0", "starts")
+    """Adds ``found`` (structs v, start, end, f) and ``found_gaps`` (the texts between) to the columns
+    text and source; other columns of these names must not be there."""
+    d = documents.withColumn("whole", F.coalesce("text", F.lit("")))
+    d = matches(d, "found", CANDIDATE, "whole", AROUND).drop("whole")
+    d = d.withColumn("found", F.expr("transform(found, c -> named_struct('v', c.v, 'start', c.start, 'end', c.end, 'before', c.before, 'after', c.after, 'path', coalesce(source, '')))"))
+    return d.withColumn("found", F.expr("transform(found, c -> named_struct('v', c.v, 'start', c.start, 'end', c.end, 'f', array(" + ", ".join(FEATURES) + ")))"))
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """(text, source, label) made by rule; each text has its labelled candidate last but for ``tail``."""
-    rows = spark.range(n, numPartitions=1).selectExpr("id", "sha2(concat('a', id), 512) AS x", "sha2(concat('b', id), 256) AS y", "id % 20 AS kind", "id div 20 AS k")
+    rows = spark.range(n, numPartitions=1).selectExpr("id", "sha2(concat('a', id), 512) AS x", "sha2(concat('b', id), 256) AS y", "id % 26 AS kind", "id div 26 AS k")
     b64 = "base64(unhex(substr(x, 1, {n})))"
     upper = "upper(translate(substr(x, 1, 16), '0189', 'QRST'))"
+    word = "element_at(array('password', 'passwd', 'PASSWORD', 'db_password', 'secret', 'api_key', 'pwd'), 1 + cast(conv(substr(y, 13, 4), 16, 10) % 7 as int))"
+    human = "element_at(array('hunter', 'dragon', 'sommer', 'Passw0rd', 'letmein', 'qwerty', 'soleil'), 1 + cast(conv(substr(y, 17, 4), 16, 10) % 7 as int))"
+    link = "element_at(array('=', ': ', ' = ', ':'), 1 + cast(conv(substr(y, 21, 4), 16, 10) % 4 as int))"
+    quote = "CASE WHEN conv(substr(y, 25, 2), 16, 10) % 2 = 0 THEN '' ELSE '\"' END"
     value = f"""CASE kind
         WHEN 0 THEN concat('AKIA', {upper})
         WHEN 1 THEN concat('token = "', substr(x, 1, 40), '"')
@@ -118,11 +116,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         WHEN 16 THEN concat(translate(substr(x, 1, 16), 'abcdef', '123456'))
         WHEN 17 THEN concat('the-', element_at(array('quick-brown-fox', 'state-of-the-art', 'well_known_function_name', 'src/main/java/com/example'), 1 + cast(k % 4 as int)))
         WHEN 18 THEN concat('md5 = "', substr(x, 1, 32), '"')
+        WHEN 19 THEN concat({word}, ': ', {human}, substr(y, 1, 1 + cast(k % 4 as int)))
+        WHEN 20 THEN concat('token=', substr(x, 1, 32))
+        WHEN 21 THEN concat({word}, {link}, {quote}, {human}, element_at(array('!', '#', '$', '%', '_'), 1 + cast(k % 5 as int)), substr(y, 1, 3), {quote})
+        WHEN 22 THEN concat({word}, element_at(array(': required', ': string', '=none12', ' = \\'hidden\\'', ': optional', '=<hidden>', ' = disabled'), 1 + cast(k % 7 as int)))
+        WHEN 23 THEN concat('the ', substr(translate(x, '0123456789abcdef', 'ertionshadlumcgi'), 1, 12 + cast(k % 9 as int)))
+        WHEN 24 THEN concat('card ', translate(substr(x, 1, 4), 'abcdef', '123456'), '-', translate(substr(x, 5, 4), 'abcdef', '123456'), '-', translate(substr(x, 9, 4), 'abcdef', '123456'))
         ELSE concat('href="/', element_at(array('articles', 'category', 'download'), 1 + cast(k % 3 as int)), '/', substr(translate(x, '0123456789', 'ghijklmnop'), 1, 9), '"') END"""
     lead = "element_at(array('of the reand and ', 'est le tion. ', 'und der ', 'los que\n', 'export ', '', 'see ', '*** '), 1 + cast(conv(substr(y, 1, 4), 16, 10) % 8 as int))"
     tail = "element_at(array(' the and of', '', '\n', ' ist von', '### est'), 1 + cast(conv(substr(y, 5, 4), 16, 10) % 5 as int))"
     source = "element_at(array('src1', 'src7', '', 'config/app.yml', '.env', 'lib/util.py', 'docs/readme.md'), 1 + cast(conv(substr(y, 9, 4), 16, 10) % 7 as int))"
-    return rows.selectExpr(f"concat({lead}, {value}, {tail}) AS text", f"{source} AS source", "CAST(kind < 10 AS DOUBLE) AS label")
+    return rows.selectExpr(f"concat({lead}, {value}, {tail}) AS text", f"{source} AS source", "CAST(kind < 10 OR kind BETWEEN 19 AND 21 AS DOUBLE) AS label")
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None) -> str:
@@ -135,26 +139,30 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> str:
     rows = written(with_candidates(made).select("label", F.explode("found").alias("c")), "findings")
     rows = rows.select("label", array_to_vector("c.f").alias("features"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=0.8)
-    return tree_sql.forest_vote(forest.fit(rows.coalesce(1)), "c.f")
+    return tree_sql.forest_probability(forest.fit(rows.coalesce(1)), "c.f")
 
 
 def scan(documents: DataFrame, vote: str | None = None) -> DataFrame:
-    """The documents with ``gaps``, and ``findings``: every candidate's place, votes and verdict."""
+    """The columns text, source and any others with ``found_gaps`` (the texts between candidates) and
+    ``found``: every candidate's place, votes and verdict."""
     vote = vote or train(documents.sparkSession)
     d = with_candidates(documents)
-    d = d.withColumn("findings", F.expr(f"transform(found, c -> named_struct('start', c.start, 'end', c.end, 'value', c.v, 'votes', {vote}))"))
-    return d.withColumn("findings", F.expr(f"transform(findings, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'votes', c.votes, 'secret', c.votes >= {VOTES}D))")).drop("found")
+    d = d.withColumn("found", F.expr(f"transform(found, c -> named_struct('start', c.start, 'end', c.end, 'value', c.v, 'votes', {vote}))"))
+    return d.withColumn("found", F.expr(f"transform(found, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'votes', c.votes, 'secret', c.votes >= {VOTES}D))"))
 
 
 def redact(documents: DataFrame, vote: str | None = None) -> DataFrame:
     """The documents, all rows and columns as given, with every secret replaced in the text."""
-    d = scan(documents.withColumn("source", F.col("source").cast("string")) if "source" in documents.columns else documents.withColumn("source", F.lit("")), vote)
-    joined = F.expr(f"concat(gaps[0], array_join(transform(findings, (c, k) -> concat(CASE WHEN c.secret THEN '{REPLACEMENT}' ELSE c.value END, gaps[k + 1])), ''))")
-    changed = F.expr("exists(findings, c -> c.secret)")
-    return d.withColumn("text", F.when(changed, joined).otherwise(F.col("text"))).select(*documents.columns)
+    names = documents.columns
+    source = F.col("source").cast("string") if "source" in names else F.lit("")
+    # the rows as given are one column, apart from the operator's own
+    d = scan(documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("text"), source.alias("source")), vote)
+    joined = F.expr(f"concat(found_gaps[0], array_join(transform(found, (c, k) -> concat(CASE WHEN c.secret THEN '{REPLACEMENT}' ELSE c.value END, found_gaps[k + 1])), ''))")
+    text = F.when(F.expr("exists(found, c -> c.secret)"), joined).otherwise(F.col("text"))
+    return d.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in names))
 
 
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    d = scan(docs).select("doc_id", F.explode_outer("findings").alias("c"))
+    d = scan(docs).select("doc_id", F.explode_outer("found").alias("c"))
     return d.select("doc_id", F.col("c.start").cast("long").alias("start"), F.col("c.end").cast("long").alias("end"), F.round("c.votes", 6).alias("votes"), F.coalesce("c.secret", F.lit(False)).alias("secret"), F.sha2("c.value", 256).alias("value_sha256"))

@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-_LINE = re.compile(r"^( *)(?:(If|Else) \(feature (\d+) (<=|>|in|not in) ([^)]*)\)|Predict: (\S+))")
 
+def _branch(node, features: str, leaf: Callable) -> str:
+    """The expression of the tree below this node; ``features`` is the SQL of an array of doubles."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        return f"{float(leaf(node))!r}D"
+    split = node.split()
+    left, right = (_branch(n, features, leaf) for n in (node.leftChild(), node.rightChild()))
+    return f"(CASE WHEN {features}[{split.featureIndex()}] <= {float(split.threshold())!r}D THEN {left} ELSE {right} END)"
 
-def _branch(lines: list[tuple[int, tuple]], features: str) -> str:
-    """The expression of the tree whose first line this is; takes its lines from the list."""
-    _, (kind, feature, _, value, leaf) = lines.pop(0)
-    if not kind:
-        return f"{float(leaf)!r}D"
-    left = _branch(lines, features)
-    lines.pop(0)  # Else
-    return f"(CASE WHEN {features}[{feature}] <= {float(value)!r}D THEN {left} ELSE {_branch(lines, features)} END)"
 
+def trees(model, features: str, leaf: Callable = lambda node: node.prediction()) -> list[str]:
+    """One SQL expression for each tree of a fitted model."""
+    return [_branch(tree.rootNode(), features, leaf) for tree in model._java_obj.trees()]
 
-def trees(model, features: str) -> list[str]:
-    """One SQL expression for each tree; ``features`` is the SQL of an array of doubles."""
-    parts = re.split(r"\n +Tree \d+ \(weight [^)]*\):\n", model.toDebugString)
-    out = []
-    for part in parts[1:]:
-        lines = [(len(m[1]), m.groups()[1:]) for m in map(_LINE.match, part.split("\n")) if m]
-        out.append(_branch(lines, features))
-    return out
 
+def _share(node) -> float:
+    """The share of a leaf's training rows that are of class 1."""
+    stats = list(node.impurityStats().stats())
+    return stats[1] / sum(stats)
 
-def forest_vote(model, features: str) -> str:
-    """The share of a random forest's trees that predict class 1."""
-    each = trees(model, features)
+
+def forest_probability(model, features: str) -> str:
+    """The probability of class 1 that a two-class random forest gives: its leaves' mean share."""
+    each = trees(model, features, _share)
     return f"(({' + '.join(each)}) / {len(each)}D)"
 
 
-def boosted_probability(model, features: str) -> str:
-    """The probability of class 1 by gradient-boosted trees (logistic loss)."""
+def boosted_margin(model, features: str) -> str:
+    """The weighted sum of gradient-boosted trees (positive: class 1)."""
     each = [f"{float(w)!r}D * {t}" for w, t in zip(model.treeWeights, trees(model, features), strict=True)]
-    return f"(1D / (1D + exp(-2D * ({' + '.join(each)}))))"
+    return f"({' + '.join(each)})"
