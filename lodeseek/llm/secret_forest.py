@@ -56,7 +56,7 @@ def _count(pattern: str) -> str:
 FEATURES = [
     "CAST(least(length(c.v), 200) AS DOUBLE)",
     # entropy in bits a character, over the runs of its sorted characters
-    r"aggregate(regexp_extract_all(array_join(array_sort(split(c.v, '')), ''), '(?s)(.)\\1*+', 0), 0D, (a, r) -> a - length(r) / length(c.v) * log2(length(r) / length(c.v)))",
+    r"aggregate(regexp_extract_all(array_join(sort_array(split(c.v, '')), ''), '(?s)(.)\\1*+', 0), 0D, (a, r) -> a - length(r) / length(c.v) * log2(length(r) / length(c.v)))",
     _count("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]") + " / length(c.v)",
     _count("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]") + " / length(c.v)",
     _count("[0-9]") + " / length(c.v)",
