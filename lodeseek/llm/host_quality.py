@@ -1,15 +1,16 @@
 """Quality rules judged by host: DataFrame functions only.
 
-Each document gets its counts and rule failures.  Failures are summed by host (``source``; partial
-sums before the shuffle, so a host with a third of the rows costs no more than another), each host's
-rate is shrunk towards the whole by an empirical beta prior whose two parameters are fitted to the
-hosts by moments, and the verdict on a host goes back to its documents: those of a host whose shrunk
-failure rate reaches HOST_LIMIT are not kept.
+Each document gets its counts and the rules it fails.  Failures are summed by host and rule (partial
+sums before the shuffle, so a host with a third of the rows costs no more than another).  For each
+rule an empirical beta prior is fitted to the hosts by moments and every host's rate is shrunk by it;
+where the hosts differ no more than sampling gives, the rate of the whole is every host's.  A host is
+rejected where the shrunk rate of any rule reaches ``limit``; verdicts go back to its documents.
+
+The tables have no address of a document: the host is their ``source``.
 
 Defined results: null and empty texts have no words and fail; a null source is one host of its own;
-with one host or hosts of equal rates the prior is weak (its strength has a lower bound) and centred
-on the whole; repeated rows count each; an empty table gives an empty result; further columns stay
-out of the result.
+repeated rows count each; an empty table gives an empty result; further columns stay out of the
+result.
 """
 
 from __future__ import annotations
@@ -23,10 +24,17 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Percent of a document's characters, and of its lines, from which a rule counts as failed.
 MOST_SYMBOLS, MOST_DUPLICATE_LINES = 25, 60
-#: Shrunk failure rate from which a host is rejected.
+#: Shrunk failure rate of a rule from which a host is rejected.
 HOST_LIMIT = 0.5
-#: Bounds on the prior's strength, in documents.
-STRENGTH = (2.0, 1000.0)
+#: The least weight of a prior, in documents.
+LEAST_STRENGTH = 2.0
+#: The rules: a document fails where the SQL holds.  The first two fail it by themselves.
+RULES = {
+    "few_words": f"n_words < {LEAST_WORDS}",
+    "repeats": f"n_repeat_words * 100 > n_words * {MOST_REPEATED}",
+    "symbols": f"n_symbols * 100 > word_chars * {MOST_SYMBOLS}",
+    "duplicates": f"n_dup_lines * 100 > n_lines * {MOST_DUPLICATE_LINES}",
+}
 BLANKS = "\t\n\x0b\f\r "
 SYMBOLS = "#*$%&|<>"
 
@@ -54,39 +62,52 @@ def counts(documents: DataFrame) -> DataFrame:
     d = d.withColumn("places", F.expr("array_sort(transform(filter(transform(sorted, (s, k) -> named_struct('i', s.i, 'twice', coalesce(s.h = get(sorted, k - 1).h, false) OR coalesce(s.h = get(sorted, k + 1).h, false))), s -> s.twice), s -> s.i))")).drop("sorted")
     repeated = F.expr(f"coalesce(aggregate(transform(places, (p, k) -> least({WINDOW}, coalesce(get(places, k + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x), 0L)")
     d = d.withColumn("n_repeat_words", repeated).drop("places")
-    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    d = d.withColumn("base_failed", failed)
-    others = (F.col("n_symbols") * 100 > F.col("word_chars") * MOST_SYMBOLS) | (F.col("n_dup_lines") * 100 > F.col("n_lines") * MOST_DUPLICATE_LINES)
-    return d.withColumn("rule_failed", F.col("base_failed") | others)
+    for name, failed in RULES.items():
+        d = d.withColumn(name, F.expr(failed))
+    return d.withColumn("base_failed", F.col("few_words") | F.col("repeats"))
+
+
+def priors(hosts: DataFrame) -> dict[str, tuple[float, float | None]]:
+    """Per rule the mean of its beta prior and the prior's weight in documents; None: the hosts' rates
+    vary no more than those of samples from the whole."""
+    sums = [F.sum("host_docs").alias("n"), F.count("*").alias("k")]
+    for rule in RULES:
+        sums += [F.sum(rule).alias(f"{rule}_f"), F.sum(F.col(rule) / F.col("host_docs") * F.col(rule)).alias(f"{rule}_ff")]
+    whole, found = hosts.agg(*sums).first(), {}
+    for rule in RULES:
+        if not whole["n"]:
+            found[rule] = (0.0, None)
+            continue
+        mean = whole[f"{rule}_f"] / whole["n"]
+        within = mean * (1 - mean)
+        # variance between the hosts' rates, less what sampling alone gives
+        between = whole[f"{rule}_ff"] / whole["n"] - mean * mean - within * (whole["k"] / whole["n"])
+        found[rule] = (mean, max(within / between - 1, LEAST_STRENGTH) if between > 0 else None)
+    return found
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
-    """Per host its documents, failures and shrunk failure rate."""
-    hosts = judged.groupBy("source").agg(F.count("*").alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("host_failures"))
-    rate = F.col("host_failures") / F.col("host_docs")
-    whole = hosts.agg(F.sum("host_docs").alias("n"), F.count("*").alias("k"), F.sum("host_failures").alias("f"), F.sum(rate * F.col("host_failures")).alias("ff"), F.sum(1 / F.col("host_docs")).alias("inverse"))
-    # moments: between-host variance of the rates, less what sampling alone gives
-    mean = F.col("f") / F.col("n")
-    within = mean * (1 - mean)
-    between = F.col("ff") / F.col("n") - mean * mean - within * (F.col("k") / F.col("n"))
-    strength = F.when(between > 0, within / between - 1).otherwise(F.lit(STRENGTH[1]))
-    # the prior's two numbers
-    prior = whole.select(F.coalesce(mean, F.lit(0.0)).alias("mean"), F.least(F.greatest(strength, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength")).first()
-    shrunk = (F.col("host_failures") + F.lit(prior["mean"]) * F.lit(prior["strength"])) / (F.col("host_docs") + F.lit(prior["strength"]))
-    return hosts.select("source", "host_docs", "host_failures", shrunk.alias("host_rate"))
-
-
-def judge(documents: DataFrame) -> DataFrame:
+    """Per host its documents, each rule's failures and shrunk rate, and the highest rate."""
+    hosts = judged.groupBy("source").agg(F.count("*").alias("host_docs"), *(F.sum(F.col(rule).cast("long")).alias(rule) for rule in RULES))
+    rates = {
+        rule: F.lit(mean) if strength is None else (F.col(rule) + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
+        for rule, (mean, strength) in priors(hosts).items()
+    }
+    out = hosts.select("source", "host_docs", *(F.col(rule).alias(f"{rule}_failures") for rule in RULES), *(rate.alias(f"{rule}_rate") for rule, rate in rates.items()))
+    return out.withColumn("host_rate", F.greatest(*(f"{rule}_rate" for rule in RULES)))
+
+
+def judge(documents: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     judged = written(counts(documents), "counts")
-    hosts = host_rates(judged)
+    hosts = host_rates(judged).withColumnRenamed("source", "host")
     # null sources meet too; Spark picks a broadcast only below its size threshold, else splits skew
-    out = judged.join(hosts.withColumnRenamed("source", "host"), F.col("source").eqNullSafe(F.col("host")), "left")
-    kept = ~F.col("base_failed") & (F.col("host_rate") < HOST_LIMIT)
-    return out.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed", F.round("host_rate", 6).alias("host_rate"), kept.alias("kept"))
+    out = judged.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left")
+    kept = ~F.col("base_failed") & (F.col("host_rate") < limit)
+    return out.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *RULES, *(F.round(f"{rule}_rate", 6).alias(f"{rule}_rate") for rule in RULES), F.round("host_rate", 6).alias("host_rate"), kept.alias("kept"))
 
 
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", "rule_failed")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", *RULES)
 
 
 SQL = rf"""
@@ -109,22 +130,23 @@ WITH d AS (
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN r USING (rid)
-), f AS (
-  SELECT *, n_words < {LEAST_WORDS} OR n_repeat_words * 100 > n_words * {MOST_REPEATED} AS base_failed FROM c
 ), j AS (
-  SELECT *, base_failed OR n_symbols * 100 > word_chars * {MOST_SYMBOLS} OR n_dup_lines * 100 > n_lines * {MOST_DUPLICATE_LINES} AS rule_failed FROM f
+  SELECT *, {", ".join(f"{failed} AS {rule}" for rule, failed in RULES.items())} FROM c
 ), h AS (
-  SELECT source, count(*)::DOUBLE AS docs, sum(rule_failed::INT)::DOUBLE AS failures FROM j GROUP BY source
+  SELECT source AS host, count(*)::DOUBLE AS docs, {", ".join(f"sum({rule}::INT)::DOUBLE AS {rule}_f" for rule in RULES)} FROM j GROUP BY source
 ), t AS (
-  SELECT sum(docs) AS n, count(*)::DOUBLE AS k, sum(failures) AS f, sum(failures * failures / docs) AS ff FROM h
+  SELECT sum(docs) AS n, count(*)::DOUBLE AS k, {", ".join(f"sum({rule}_f) / sum(docs) AS {rule}_mean, sum({rule}_f / docs * {rule}_f) AS {rule}_ff" for rule in RULES)} FROM h
 ), v AS (
-  SELECT f / n AS mean, f / n * (1 - f / n) AS within, ff / n - (f / n) * (f / n) - f / n * (1 - f / n) * (k / n) AS between_ FROM t
+  SELECT *, {", ".join(f"{rule}_mean * (1 - {rule}_mean) AS {rule}_within, {rule}_ff / n - {rule}_mean * {rule}_mean - {rule}_mean * (1 - {rule}_mean) * (k / n) AS {rule}_between" for rule in RULES)} FROM t
 ), p AS (
-  SELECT mean, least(greatest(CASE WHEN between_ > 0 THEN within / between_ - 1 ELSE {STRENGTH[1]} END, {STRENGTH[0]}), {STRENGTH[1]}) AS strength FROM v
+  SELECT *, {", ".join(f"CASE WHEN {rule}_between > 0 THEN greatest({rule}_within / {rule}_between - 1, {LEAST_STRENGTH}) END AS {rule}_weight" for rule in RULES)} FROM v
 ), x AS (
-  SELECT source AS host, (failures + mean * strength) / (docs + strength) AS rate FROM h, p
+  SELECT host, {", ".join(f"coalesce(({rule}_f + {rule}_mean * {rule}_weight) / (docs + {rule}_weight), {rule}_mean) AS {rule}_rate" for rule in RULES)} FROM h, p
+), y AS (
+  SELECT *, greatest({", ".join(f"{rule}_rate" for rule in RULES)}) AS rate FROM x
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate,
-       NOT base_failed AND rate < {HOST_LIMIT} AS kept
-FROM j JOIN x ON source IS NOT DISTINCT FROM host
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeats AS base_failed,
+       {", ".join(f"round({rule}_rate, 6) AS {rule}_rate" for rule in RULES)}, round(rate, 6) AS host_rate,
+       NOT (few_words OR repeats) AND rate < {HOST_LIMIT} AS kept
+FROM j JOIN y ON source IS NOT DISTINCT FROM host
 """

@@ -60,3 +60,37 @@ def test_sql_twin(spark):
     theirs = sorted(con.execute(f"SELECT doc_id, n_words, n_repeat_words, base_failed, host_rate, kept FROM ({H.SQL})").fetchall())
     ours = sorted(tuple(r) for r in H.judge(spark.createDataFrame(rows(), SCHEMA)).select("doc_id", "n_words", "n_repeat_words", "base_failed", "host_rate", "kept").collect())
     assert ours == theirs
+
+
+def test_priors_equal_brute_force(spark):
+    rng = random.Random(3)
+    good = " ".join(f"w{i}" for i in range(40))
+    data, n = [], 0
+    for host in range(30):
+        share = rng.choice([0.05, 0.1, 0.7])
+        for _ in range(rng.randint(1, 40)):
+            text = "few words" if rng.random() < share else good + (" #######################################" * 2 if rng.random() < 0.3 else "")
+            data.append((n, text, f"h{host}", 0))
+            n += 1
+    hosts = {}
+    for _, text, host, _ in data:
+        hosts.setdefault(host, []).append((text == "few words", "###" in text))
+    want = {}
+    for k, rule in enumerate(("few_words", "symbols")):
+        total = sum(map(len, hosts.values()))
+        mean = sum(x[k] for v in hosts.values() for x in v) / total
+        spread = sum(len(v) * (sum(x[k] for x in v) / len(v) - mean) ** 2 for v in hosts.values()) / total
+        between = spread - mean * (1 - mean) * len(hosts) / total
+        weight = max(mean * (1 - mean) / between - 1, H.LEAST_STRENGTH) if between > 0 else None
+        for host, v in hosts.items():
+            want[host, rule] = mean if weight is None else (sum(x[k] for x in v) + mean * weight) / (len(v) + weight)
+    got = H.host_rates(H.counts(spark.createDataFrame(data, SCHEMA))).collect()
+    assert len(got) == len(hosts)
+    for r in got:
+        for rule in ("few_words", "symbols"):
+            assert abs(r[f"{rule}_rate"] - want[r.source, rule]) < 1e-9
+        assert r.host_rate == max(r[f"{rule}_rate"] for rule in H.RULES)
+    # hosts that do not differ have the rate of the whole
+    assert len({want[h, "few_words"] for h in hosts}) > 10
+    alike = H.host_rates(H.counts(spark.createDataFrame([(i, good if i % 5 else "few", f"h{i // 10}", 0) for i in range(100)], SCHEMA))).collect()
+    assert {round(r.few_words_rate, 9) for r in alike} == {0.2}
