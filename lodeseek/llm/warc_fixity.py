@@ -1,76 +1,93 @@
 """Merkle fixity audit of WARC archives and their replicas.
 
-Records lie in archives of SLOTS record numbers each, ordered, at running byte offsets.  A leaf is
-the hash of a record's bytes; a node above covers FAN_OUT children and hashes their hashes together
-with their offset ranges.  Both replicas' trees are built level by level (a level is one aggregation
-of a sixteenth of the rows); the audit compares roots and follows only mismatching branches down to
-the records, so that intact archives cost one comparison.
-
-Defined results: a null record number counts as record 0 of archive -1; several rows of one number
-are one leaf over their sorted hashes; null url or content is empty; records of only one replica are
-"missing" or "extra"; identical or empty replicas give no rows; further columns are ignored.
+Records are numbered; an archive holds the records of SLOTS numbers, in order, at running byte
+offsets.  A leaf is the hash of a record's bytes.  A node covers FAN_OUT numbers of the level below
+and hashes its children's hashes with their offset ranges, counted from the node's own start, so that
+a record of another length changes no node but those above it.  Node LEVELS up is an archive; above
+archives the tree goes on to one root.  Both replicas' trees are built level by level (a level is one
+aggregation of a sixteenth of the rows); the audit compares roots and follows only mismatching
+branches down to the records, so that intact replicas cost one comparison.
+
+Defined results: all records without a number are record -1, of archive -1 (negative numbers have a
+root of their own); several rows of one number are one leaf, whatever their order (sums of their
+hashes, so that no task holds them together); null url or content is empty; records of only one
+replica are "missing" or "extra"; identical or empty replicas give no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import written
 
-SLOTS, FAN_OUT = 4096, 16
-LEVELS = 3  # FAN_OUT ** LEVELS == SLOTS
+#: FAN_OUT == 2 ** FAN_BITS.
+SLOTS, FAN_OUT, FAN_BITS = 4096, 16, 4
+#: Level of the archives; FAN_OUT ** LEVELS == SLOTS.
+LEVELS = 3
+NO_NUMBER = -1
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """archive, slot and the bytes (as text) of each page's WARC response record."""
+    """number and the bytes (as text) of each page's WARC response record."""
     number = F.col("page_id").cast("long")
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(number.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    archive = F.coalesce(F.floor(number / SLOTS).cast("long"), F.lit(-1).cast("long"))
-    slot = F.coalesce(F.pmod(number, F.lit(SLOTS).cast("long")), F.lit(0).cast("long"))
-    return pages.select(archive.alias("archive"), slot.alias("slot"), F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
-
-
-def tree(recs: DataFrame) -> DataFrame:
-    """All nodes: archive, level (0: records), node, hash, start and end offset."""
-    hashed = recs.select("archive", "slot", F.sha2("record", 256).alias("h"), F.octet_length("record").cast("long").alias("bytes"))
-    leaves = hashed.groupBy("archive", "slot").agg(F.array_sort(F.collect_list("h")).alias("h"), F.sum("bytes").alias("bytes"))
-    leaves = leaves.withColumn("hash", F.when(F.size("h") == 1, F.col("h")[0]).otherwise(F.sha2(F.array_join("h", ","), 256)))
-    # an archive has SLOTS leaves at most
-    end = F.sum("bytes").over(Window.partitionBy("archive").orderBy("slot"))
-    level = leaves.select("archive", F.lit(0).alias("level"), F.col("slot").alias("node"), "hash", (end - F.col("bytes")).alias("start"), end.alias("end"))
-    level = written(level, "leaves")
-    levels = [level]
-    for k in range(1, LEVELS + 1):
-        child = F.struct("node", F.concat_ws(":", "node", "hash", "start", "end").alias("x"))
-        level = level.groupBy("archive", F.floor(F.col("node") / FAN_OUT).cast("long").alias("parent")).agg(F.array_sort(F.collect_list(child)).alias("c"), F.min("start").alias("start"), F.max("end").alias("end"))
-        level = level.select("archive", F.lit(k).alias("level"), F.col("parent").alias("node"), F.sha2(F.array_join(F.col("c.x"), ";"), 256).alias("hash"), "start", "end")
-        levels.append(level)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    return written(every, "tree")
+    return pages.select(F.coalesce(number, F.lit(NO_NUMBER).cast("long")).alias("number"), F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
+
+
+def leaves(recs: DataFrame) -> DataFrame:
+    """side, node (the number), hash and bytes of each record."""
+    hashed = recs.select("side", F.col("number").alias("node"), F.sha2("record", 256).alias("h"), F.octet_length("record").cast("long").alias("bytes"))
+    quarter = lambda k: F.sum(F.conv(F.substring("h", 1 + 16 * k, 16), 16, 10).cast("decimal(38,0)")).cast("string")
+    many = F.sha2(F.concat_ws(",", F.count("*").cast("string"), *(quarter(k) for k in range(4))), 256)
+    return hashed.groupBy("side", "node").agg(F.when(F.count("*") == 1, F.min("h")).otherwise(many).alias("hash"), F.sum("bytes").alias("bytes"))
+
+
+def levels(primary: DataFrame, replica: DataFrame) -> list[DataFrame]:
+    """The nodes of both trees (side 0 and 1), a table for each level from the one above the records up
+    to the roots: side, node, hash, bytes, children (array of node, hash, start, end; offsets from the
+    node's start)."""
+    both = primary.withColumn("side", F.lit(0)).unionByName(replica.withColumn("side", F.lit(1)))
+    below = written(leaves(both), "leaves")
+    top = below.agg(F.max(F.abs("node"))).first()[0] or 0
+    out = []
+    while len(out) < LEVELS or FAN_OUT ** len(out) <= top:
+        child = F.struct("node", "hash", "bytes")
+        level = below.groupBy("side", F.shiftright("node", FAN_BITS).alias("up")).agg(F.array_sort(F.collect_list(child)).alias("c"), F.sum("bytes").alias("bytes"))
+        # FAN_OUT children at most
+        start = "aggregate(slice(c, 1, i), 0L, (a, y) -> a + y.bytes)"
+        level = level.withColumn("children", F.expr(f"transform(c, (x, i) -> named_struct('node', x.node, 'hash', x.hash, 'start', {start}, 'end', {start} + x.bytes))"))
+        text = F.array_join(F.transform("children", lambda x: F.concat_ws(":", x["node"], x["hash"], x["start"], x["end"])), ";")
+        below = written(level.select("side", F.col("up").alias("node"), F.sha2(text, 256).alias("hash"), "bytes", "children"), f"level-{len(out) + 1}")
+        out.append(below)
+    return out
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Leaves where the trees differ: archive, slot, status, both hashes, the primary's offsets.
-
-    Hashes of inner nodes hold offsets too, so a record of another length also shows in the nodes
-    after it; there the leaves are compared by hash alone and are intact.
-    """
-    a, b = tree(primary), tree(replica)
-    open_ = None
-    for k in range(LEVELS, -1, -1):
-        x = a.where(F.col("level") == k).select("archive", "node", F.col("hash").alias("primary_hash"), "start", "end")
-        y = b.where(F.col("level") == k).select("archive", "node", F.col("hash").alias("replica_hash"), F.col("start").alias("replica_start"), F.col("end").alias("replica_end"))
-        if open_ is not None:
-            up = open_.withColumnRenamed("node", "parent")
-            x, y = (t.withColumn("parent", F.floor(F.col("node") / FAN_OUT).cast("long")).join(up, ["archive", "parent"], "left_semi").drop("parent") for t in (x, y))
-        found = x.join(y, ["archive", "node"], "full_outer").where(~F.col("primary_hash").eqNullSafe(F.col("replica_hash")))
-        open_ = written(found.select("archive", "node"), f"mismatch-{k}") if k else found
+    """Leaves where the trees differ: number, status, both hashes, and the primary's byte offsets
+    within its archive."""
+    tree = levels(primary, replica)
+    nodes = [tree[-1].where(F.col("side") == side).select("node", "hash", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")) for side in (0, 1)]
+    found = _mismatches(*nodes)
+    for k in range(len(tree), 0, -1):
+        if k < len(tree):
+            found = written(found, f"mismatch-{k}")
+        # offsets run within an archive: they begin anew at its level
+        begun = F.col("begun") if k < LEVELS else F.lit(0).cast("long")
+        opened = tree[k - 1].join(found.select("node", F.coalesce("start", F.lit(0)).alias("begun")), "node").select("side", "begun", F.explode("children").alias("c"))
+        opened = opened.select("side", "c.node", "c.hash", (begun + F.col("c.start")).alias("start"), (begun + F.col("c.end")).alias("end"))
+        found = _mismatches(*(opened.where(F.col("side") == side).drop("side") for side in (0, 1)))
     status = F.when(F.col("replica_hash").isNull(), "missing").when(F.col("primary_hash").isNull(), "extra").otherwise("changed")
-    return open_.select("archive", F.col("node").alias("slot"), status.alias("status"), "primary_hash", "replica_hash", "start", "end")
+    return found.select(F.col("node").alias("number"), status.alias("status"), "primary_hash", "replica_hash", "start", "end")
+
+
+def _mismatches(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Nodes whose hashes differ, or which only one side has."""
+    x = x.withColumnRenamed("hash", "primary_hash")
+    y = y.select("node", F.col("hash").alias("replica_hash"))
+    return x.join(y, "node", "full_outer").where(~F.col("primary_hash").eqNullSafe(F.col("replica_hash")))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -82,7 +99,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     found = audit(records(pages), records(damaged(pages)))
-    return found.select((F.col("archive") * SLOTS + F.col("slot")).alias("page_id"), "status", "primary_hash", "replica_hash", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"))
+    return found.select(F.col("number").alias("page_id"), "status", "primary_hash", "replica_hash", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"))
 
 
 _RECORD = "'WARC/1.1' || crlf || 'WARC-Type: response' || crlf || 'WARC-Record-ID: <urn:page:' || page_id || '>' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf || 'Content-Length: ' || strlen(coalesce({html}, '')) || crlf || crlf || coalesce({html}, '') || crlf || crlf"
