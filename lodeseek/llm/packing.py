@@ -4,16 +4,19 @@ Tokenising tasks cut long documents into pieces, pack their own pieces best-fit
 emit bins that are nearly full.  The underfull bins go up a tree: each round one task takes those of
 ``FAN_IN`` tasks as items, packs them best-fit again and emits.  In a best-fit packing no two bins
 fit together, so at most one bin of a task is filled half or less, and a larger one can only ever
-join such small ones: a task passes its ``PARTNERS`` + 1 emptiest bins on and emits the rest.  So
-what a task receives is bounded, and after log(tasks) rounds one task is left.
+join such small ones: a task passes its ``partners`` + 1 emptiest bins on and emits the rest.  So
+what a task receives is bounded, and after log(tasks) rounds one task is left.  With ``partners=None``
+every underfull bin goes up, whatever that takes in the last rounds.
 
-Defined results: a null or empty text is the one token of its end; repeated rows of a doc_id are
-packed each; an empty table gives no sequences; further columns are ignored.
+Defined results: a null or empty text is the one token of its end; a text of any length and kind, also
+one long run of white space, has the ids of ``tokenizers``; repeated rows of a doc_id are packed each;
+an empty table gives no sequences; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache, partial
 
@@ -30,9 +33,11 @@ END = 0
 #: Tokens that may be left over in a bin which counts as full.
 NEARLY = 4
 FAN_IN = 8
+#: White space characters in a row from which `tokenizers` itself encodes a text.
+LONG_RUN = 10_000
 #: Pieces that a tokenising task packs at a time.
 LOCAL_PIECES = 250_000
-#: Larger bins that a task passes on beside its emptiest one.
+#: Larger bins that a task passes on beside its emptiest one, unless told otherwise.
 PARTNERS = 64
 
 MEMBER = "doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint"
@@ -68,9 +73,19 @@ def encoding(path: str):
 
 def encode_text(text: str, path: str) -> list[int]:
     """The ids of ``tokenizers`` with add_special_tokens=False: added tokens within the text have their own."""
+    if len(text) >= LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
+        # here tiktoken's pattern, which looks ahead, would run out of stack
+        return slow_encoding(path).encode(text, add_special_tokens=False).ids
     return encoding(path).encode(text, allowed_special="all")
 
 
+@lru_cache(maxsize=2)
+def slow_encoding(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids; only the first piece of a cut one is short."""
     n = len(ids)
@@ -110,19 +125,19 @@ def _bins(fills: list[int], members: list[list[tuple]], up: list[bool]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(fills, pa.int32()), pa.array(up, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), struct)], names=["fill", "up", "members"])
 
 
-def _pack_all(items: list[list[tuple]], capacity: int):
+def _pack_all(items: list[list[tuple]], capacity: int, partners: int | None):
     """Bins of items, each a list of members that stay together; those that go up have ``up`` set."""
     sizes = [sum(m[3] for m in item) for item in items]
     packed = best_fit(sizes, capacity)
     fills = [sum(sizes[i] for i in b) for b in packed]
     underfull = sorted((k for k, n in enumerate(fills) if n < capacity - NEARLY), key=lambda k: fills[k])
-    up = set(underfull[: PARTNERS + 1])
+    up = set(underfull if partners is None else underfull[: partners + 1])
     for s in range(0, len(packed), 20_000):
         part = range(s, min(s + 20_000, len(packed)))
         yield _bins([fills[k] for k in part], [[m for i in packed[k] for m in items[i]] for k in part], [k in up for k in part])
 
 
-def _tokenise_and_pack(batches, path: str, capacity: int):
+def _tokenise_and_pack(batches, path: str, capacity: int, partners: int | None):
     items: list[list[tuple]] = []
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,28 +145,28 @@ def _tokenise_and_pack(batches, path: str, capacity: int):
             ids.append(END)
             items += [[(doc_id, *p)] for p in pieces_of(np.array(ids, np.uint32), capacity)]
         if len(items) >= LOCAL_PIECES:
-            yield from _pack_all(items, capacity)
+            yield from _pack_all(items, capacity, partners)
             items = []
     if items:
-        yield from _pack_all(items, capacity)
+        yield from _pack_all(items, capacity, partners)
 
 
-def _repack(batches, capacity: int):
+def _repack(batches, capacity: int, partners: int | None):
     items = [[tuple(m[n] for n, _ in FIELDS) for m in row] for batch in batches for row in batch.column(0).to_pylist()]
     if items:
-        yield from _pack_all(items, capacity)
+        yield from _pack_all(items, capacity, partners)
 
 
-def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, fan_in: int = FAN_IN) -> DataFrame:
+def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, fan_in: int = FAN_IN, partners: int | None = PARTNERS) -> DataFrame:
     """One row per sequence: sequence_id, fill, members (pieces in order)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bins = written(docs.mapInArrow(partial(_tokenise_and_pack, path=path or tokenizer_path(), capacity=capacity), BINS), "bins")
+    bins = written(docs.mapInArrow(partial(_tokenise_and_pack, path=path or tokenizer_path(), capacity=capacity, partners=partners), BINS), "bins")
     every, open_ = bins.where("NOT up"), bins.where("up")
-    tasks = -(-open_.count() // (PARTNERS + 1))
+    tasks = -(-open_.count() // ((PARTNERS if partners is None else partners) + 1))
     while tasks > 1:
         tasks = -(-tasks // fan_in)
         dealt = open_.select("members").repartition(tasks, F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"]))
-        bins = written(dealt.mapInArrow(partial(_repack, capacity=capacity), BINS), "bins")
+        bins = written(dealt.mapInArrow(partial(_repack, capacity=capacity, partners=partners), BINS), "bins")
         every, open_ = every.unionByName(bins.where("NOT up")), bins.where("up")
     return every.unionByName(open_).select(F.monotonically_increasing_id().alias("sequence_id"), "fill", "members")
 
