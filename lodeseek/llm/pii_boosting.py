@@ -3,13 +3,14 @@
 Base patterns give the spans of e-mail addresses, IP addresses, payment cards and phone numbers;
 these always stay.  High-recall generators propose more, overlapping spans: digit groups that could
 be a phone number, an account or an identity number, spelled-out e-mail addresses, international
-bank accounts.  Gradient-boosted trees of MLlib look at each proposal's format and surroundings; the
-calibrated probability of its kind must reach that kind's threshold.  The trees become one SQL
-expression, so a text is searched and judged within one projection, without a shuffle.
+bank accounts.  Gradient-boosted trees of MLlib look at each proposal's format and surroundings; a
+logistic curve over their margin gives its probability, which must reach the kind's threshold.  Of
+proposals that overlap the likeliest stays, none that overlaps a base span.  Trees and curve become
+one SQL expression, so a text is searched and judged within one projection, without a shuffle.
 
 No labelled candidates come with the data: ``labelled_candidates`` makes CANDIDATES rows by rule, two
-thirds to fit the trees, the rest to calibrate: each kind's threshold is the least probability from
-which its calibration rows reach the precision PRECISION.
+thirds to fit the trees, the rest to calibrate: the curve is fitted to them, and each kind's threshold
+is the least probability from which they reach the precision PRECISION.
 
 Defined results: null and empty texts have no spans; repeated rows are searched each; an empty table
 gives an empty result; only doc_id and text are taken, so other columns' names cannot clash.
@@ -17,16 +18,21 @@ gives an empty result; only doc_id and text are taken, so other columns' names c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tree_sql
+from .array_sql import matches, scan
 from .storage import written
 
 CANDIDATES = 3000
 ROUNDS, DEPTH, SEED = 20, 4, 11
-PRECISION = 0.98
+PRECISION, HIGHEST = 0.98, 0.995
 AROUND = 30
+#: Proposals to look at on either side for overlaps: those of three kinds within the longest span.
+NEAR = 64
 
 # Fixed patterns of the base kinds, in the order in which kinds are listed; written so that Java
 # matches the same spans without recursion or repeated attempts within a run.
@@ -52,10 +58,6 @@ ID_WORDS = "(?i)\\\\b(?:ssn|social|passport|identity|national id|tax id|account|
 OTHER_WORDS = "(?i)\\\\b(?:order|invoice|version|build|ticket|isbn|sku|part|commit|ref|serial|model|page|chapter|line|total|price|sum|usd|eur|size|count|bytes|seconds|year)"
 
 
-def _quoted(pattern: str) -> str:
-    return pattern.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def _luhn(v: str) -> str:
     """Whether the digits of a string pass the Luhn sum."""
     d = f"regexp_replace({v}, '[^0-9]', '')"
@@ -74,20 +76,11 @@ CHECKS = {
 }
 
 
-def _spans(d: DataFrame, kind: str, pattern: str, hint: str, text: str) -> DataFrame:
-    """Adds a column of the kind's matches: structs v, start, end, before, after."""
-    rx = _quoted(pattern)
-    d = d.withColumn("v_", F.expr(f"CASE WHEN {hint.format(t=text)} THEN regexp_extract_all({text}, '{rx}', 0) ELSE cast(array() as array<string>) END"))
-    d = d.withColumn("g_", F.expr(f"CASE WHEN size(v_) > 0 THEN split({text}, '{rx}', -1) END"))
-    d = d.withColumn("s_", F.expr("aggregate(v_, named_struct('at', 0, 'k', 0, 's', cast(array() as array<int>)), (a, v) -> named_struct('at', a.at + length(g_[a.k]) + length(v), 'k', a.k + 1, 's', a.s || array(a.at + length(g_[a.k])))).s"))
-    return d.withColumn(kind, F.expr(f"transform(v_, (v, k) -> named_struct('v', v, 'start', s_[k], 'end', s_[k] + length(v), 'before', right(g_[k], {AROUND}), 'after', left(g_[k + 1], {AROUND})))")).drop("v_", "g_", "s_")
-
-
 def with_base(documents: DataFrame) -> DataFrame:
     """Adds a column for each base kind: its spans that pass the kind's check."""
     d = documents
     for kind, pattern in BASE.items():
-        d = _spans(d, kind, pattern, HINT[kind], "text")
+        d = matches(d, kind, pattern, "text", when=HINT[kind].format(t="text")).drop(f"{kind}_gaps")
         check = CHECKS[kind].replace("(v,", "(c.v,").replace("(v)", "(c.v)").replace("regexp_replace(v", "regexp_replace(c.v")
         d = d.withColumn(kind, F.expr(f"filter({kind}, c -> {check})"))
     return d
@@ -118,7 +111,7 @@ def with_proposals(documents: DataFrame) -> DataFrame:
     """Adds ``proposed``: the generators' spans of all added kinds with their features."""
     d = documents
     for kind, pattern in ADDED.items():
-        d = _spans(d, f"p_{kind}", pattern, ADDED_HINT[kind], "text")
+        d = matches(d, f"p_{kind}", pattern, "text", AROUND, ADDED_HINT[kind].format(t="text")).drop(f"p_{kind}_gaps")
     each = []
     for k, kind in enumerate(ADDED):
         features = ", ".join(f.format(kind=k) for f in FEATURES)
@@ -157,14 +150,14 @@ def labelled_candidates(spark: SparkSession, n: int = CANDIDATES) -> DataFrame:
 
 
 class Judge:
-    """The boosted trees' probability over a struct c with c.f, and each added kind's threshold."""
+    """The calibrated probability over a struct c with c.f, and each added kind's threshold."""
 
     def __init__(self, probability: str, thresholds: dict[str, float]):
         self.probability, self.thresholds = probability, thresholds
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None) -> Judge:
-    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     # written between the steps: else Spark would make the rows anew within each expression
@@ -172,33 +165,69 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> Judge:
     rows = written(with_proposals(made).selectExpr("id", "label", "explode(proposed) AS c"), "proposals").withColumn("features", array_to_vector("c.f"))
     fit = F.pmod(F.xxhash64("id"), F.lit(3)) < 2
     model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED, stepSize=0.3, subsamplingRate=0.9).fit(rows.where(fit).coalesce(1))
-    probability = tree_sql.boosted_probability(model, "c.f")
+    # a logistic curve over the margins of rows that the trees have not seen
+    margin = tree_sql.boosted_margin(model, "c.f")
+    held = written(rows.where(~fit).selectExpr("c.kind AS kind", "label", f"{margin} AS margin"), "margins")
+    curve = LogisticRegression(regParam=1e-3).fit(held.select("label", array_to_vector(F.array("margin")).alias("features")).coalesce(1))
+    probability = f"(1D / (1D + exp(-({float(curve.coefficients[0])!r}D * {margin} + {float(curve.intercept)!r}D))))"
     # CANDIDATES rows at most, by rule
-    held = rows.where(~fit).selectExpr("c.kind AS kind", "label", f"{probability} AS p").collect()
+    seen = [(r.kind, 1 / (1 + math.exp(-(curve.coefficients[0] * r.margin + curve.intercept))), r.label) for r in held.collect()]
     thresholds = {}
     for kind in ADDED:
-        own, right, best = sorted(((r.p, r.label) for r in held if r.kind == kind), reverse=True), 0, 0.995
+        own, right, best = sorted(((p, label) for k, p, label in seen if k == kind), reverse=True), 0, HIGHEST
         for k, (p, label) in enumerate(own, 1):
             right += label
             if right >= PRECISION * k:
                 best = p
-        thresholds[kind] = max(0.5, min(best, 0.995))
+        thresholds[kind] = max(0.5, min(best, HIGHEST))
     return Judge(probability, thresholds)
 
 
+def _apart_from_base(d: DataFrame) -> DataFrame:
+    """``added`` without the proposals that overlap a base span: one look from either side."""
+    both = "sort_array(concat(transform(base, b -> named_struct('start', b.start, 'added', false, 'end', b.end, 'rank', b.rank, 'p', 1D, 'hit', false)), transform(added, c -> named_struct('start', c.start, 'added', true, 'end', c.end, 'rank', c.rank, 'p', c.p, 'hit', false))))"
+    kind = "struct<start:int,added:boolean,end:int,rank:int,p:double,hit:boolean>"
+    same = "named_struct('start', x.start, 'added', x.added, 'end', x.end, 'rank', x.rank, 'p', x.p, 'hit', {})"
+    d = d.withColumn("both", F.expr(f"CASE WHEN size(added) > 0 AND size(base) > 0 THEN {both} ELSE CAST(array() AS array<{kind}>) END"))
+    d = d.withColumn("both", F.expr(scan("both", "0", "CASE WHEN x.added THEN a.s ELSE greatest(a.s, x.end) END", same.format("a.s > x.start"), kind)))
+    d = d.withColumn("both", F.expr("reverse(both)"))
+    d = d.withColumn("both", F.expr(scan("both", "2147483647", "CASE WHEN x.added THEN a.s ELSE x.start END", same.format("x.hit OR a.s < x.end"), kind)))
+    free = "transform(filter(both, x -> x.added AND NOT x.hit), x -> named_struct('start', x.start, 'end', x.end, 'rank', x.rank, 'p', x.p))"
+    return d.withColumn("added", F.expr(f"sort_array(CASE WHEN size(base) > 0 THEN {free} ELSE added END)")).drop("both")
+
+
+def _best_of_overlapping(d: DataFrame) -> DataFrame:
+    """``added``, sorted, without the proposals that overlap a likelier one which stays (of equal ones
+    the longer, then the kind listed first).  Proposals are short, so those that overlap stand near."""
+    near = f"sequence(greatest(0, i - {NEAR}), least(size(added) - 1, i + {NEAR}))"
+    meet = "added[j].start < x.end AND x.start < added[j].end"
+    longer = "added[j].end - added[j].start > x.end - x.start"
+    better = f"(added[j].p > x.p OR (added[j].p = x.p AND ({longer} OR (added[j].end - added[j].start = x.end - x.start AND added[j].rank < x.rank))))"
+    field = "'start', x.start, 'end', x.end, 'rank', x.rank, 'p', x.p"
+    for _ in range(len(ADDED)):
+        # most meet no other: none before ends, none behind begins within it
+        d = d.withColumn("added", F.expr(scan("added", "0", "greatest(a.s, x.end)", f"named_struct({field}, 'meets', a.s > x.start)", "struct<start:int,end:int,rank:int,p:double,meets:boolean>")))
+        meets = "(x.meets OR coalesce(get(added, i + 1).start < x.end, false))"
+        d = d.withColumn("added", F.expr(f"transform(added, (x, i) -> named_struct({field}, 'meets', {meets}, 'best', NOT {meets} OR NOT exists({near}, j -> {meet} AND {better})))"))
+        d = d.withColumn("added", F.expr(f"filter(added, (x, i) -> x.best OR NOT exists({near}, j -> added[j].best AND {meet}))"))
+    return d.withColumn("added", F.expr("filter(added, x -> x.best)"))
+
+
 def find(documents: DataFrame, judge: Judge | None = None) -> DataFrame:
-    """doc_id, text, a column of spans for each base kind, and ``spans``: all spans in order."""
+    """doc_id, text, a column of spans for each base kind, ``base``: these in order, ``added``: the
+    chosen proposals with their probability, and ``spans``: all spans in order."""
     judge = judge or train(documents.sparkSession)
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = with_proposals(with_base(d))
     least = " ".join(f"WHEN '{k}' THEN {t!r}D" for k, t in judge.thresholds.items())
-    d = d.withColumn("added", F.expr(f"filter(transform(proposed, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'p', {judge.probability})), c -> c.p >= CASE c.kind {least} END)"))
-    base = [f"transform({k}, c -> named_struct('start', c.start, 'rank', {i}, 'end', c.end, 'kind', '{k}'))" for i, k in enumerate(BASE)]
     rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
-    d = d.withColumn("base", F.expr(f"array_sort(concat({', '.join(base)}))"))
-    # a proposal that a base span covers adds nothing
-    extra = f"transform(filter(added, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end)), c -> named_struct('start', c.start, 'rank', CASE c.kind {rank} END, 'end', c.end, 'kind', c.kind))"
-    return d.withColumn("spans", F.expr(f"array_sort(concat(base, {extra}))"))
+    d = d.withColumn("added", F.expr(f"filter(transform(proposed, c -> named_struct('start', c.start, 'end', c.end, 'rank', CASE c.kind {rank} END, 'p', {judge.probability}, 'least', CASE c.kind {least} END)), c -> c.p >= c.least)"))
+    base = [f"transform({k}, c -> named_struct('start', c.start, 'rank', {i}, 'end', c.end, 'kind', '{k}'))" for i, k in enumerate(BASE)]
+    d = d.withColumn("base", F.expr(f"sort_array(concat({', '.join(base)}))"))
+    d = _best_of_overlapping(_apart_from_base(d.withColumn("added", F.expr("transform(added, c -> named_struct('start', c.start, 'end', c.end, 'rank', c.rank, 'p', c.p))"))))
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    extra = f"transform(added, c -> named_struct('start', c.start, 'rank', c.rank, 'end', c.end, 'kind', array({names})[c.rank]))"
+    return d.withColumn("spans", F.expr(f"sort_array(concat(base, {extra}))"))
 
 
 def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:

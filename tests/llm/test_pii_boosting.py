@@ -71,3 +71,40 @@ def test_held_out_candidates(spark, judge):
 def test_empty_table(spark, judge):
     assert P.find(spark.createDataFrame([], SCHEMA), judge).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_of_overlapping_proposals_one_stays(spark, judge):
+    """Held against a greedy choice by probability."""
+    rng = random.Random(9)
+    parts = ["call 212 555 0187", "jo (at) 2125550187 (dot) org", "IBAN DE89370400440532013000", "a@b.co", "5551234567(at)mail.com", "+1 (632) 555-4827", "x", "SSN 123-45-6789", "DE8937040044053201 3000", "tel 030 1234567(at)b.de"]
+    data = [(i, rng.choice([" ", ", ", ""]).join(rng.choices(parts, k=rng.randint(1, 40))), "", 0) for i in range(60)]
+    open_ = P.Judge(judge.probability, {k: 0.0 for k in P.ADDED})
+    d = P.with_proposals(spark.createDataFrame(data, SCHEMA).select("doc_id", "text"))
+    every = {r.doc_id: r.c for r in d.selectExpr("doc_id", f"transform(proposed, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'p', {judge.probability})) AS c").collect()}
+    overlaps = 0
+    for r in P.find(spark.createDataFrame(data, SCHEMA), open_).collect():
+        meet = lambda a, b: a.start < b.end and b.start < a.end
+        free = [c for c in every[r.doc_id] if not any(meet(b, c) for b in r.base)]
+        kept = []
+        for c in sorted(free, key=lambda c: (-c.p, c.start - c.end, P.KINDS.index(c.kind))):
+            if not any(meet(k, c) for k in kept):
+                kept.append(c)
+        overlaps += len(free) - len(kept)
+        assert sorted((c.start, c.end, c.kind) for c in kept) == [(c.start, c.end, c.kind) for c in r.spans if c.kind in P.ADDED], r.text
+    assert overlaps > 5
+
+
+def test_probabilities_are_calibrated(spark, judge):
+    made = P.written(P.labelled_candidates(spark, 3 * P.CANDIDATES).where(f"id >= {P.CANDIDATES}"), "made")
+    rows = P.written(P.with_proposals(made), "proposed").selectExpr("label", "explode(proposed) AS c").selectExpr("label", f"{judge.probability} AS p").collect()
+    error = 0
+    for low in (0, 0.1, 0.3, 0.5, 0.7, 0.9):
+        own = [r for r in rows if low <= r.p < {0: 0.1, 0.1: 0.3, 0.3: 0.5, 0.5: 0.7, 0.7: 0.9, 0.9: 1.01}[low]]
+        error += abs(sum(r.label for r in own) - sum(r.p for r in own)) / len(rows)
+    assert error < 0.03
+
+
+def test_very_many_spans_in_one_text(spark, judge):
+    text = " ".join(f"a{i}@b.co 1.2.3.{i % 256} tel 030 {1000000 + i}" for i in range(4_000))
+    r = P.find(spark.createDataFrame([(1, text, "", 0)], SCHEMA), judge).selectExpr("size(email) AS e", "size(ip) AS i", "size(spans) AS s", "spans[size(spans) - 1].end AS last").first()
+    assert r.e == r.i == 4_000 and r.s >= 8_000 and r.last <= len(text)
