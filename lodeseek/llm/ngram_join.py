@@ -28,11 +28,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text_kernels as K
+from .blobs import pack, unpack
 from .components import connected
 from .storage import written
 
@@ -151,23 +151,6 @@ def _ordered(values: np.ndarray, at: np.ndarray, levels: list[np.ndarray]) -> np
     return keys
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of one length, by byte planes, compressed."""
-    n = len(columns[0])
-    planes = [c.view(np.uint8).reshape(n, -1).T.tobytes() for c in columns]
-    return n.to_bytes(8, "little") + zstandard.ZstdCompressor(1).compress(b"".join(planes))
-
-
-def _unpack(blob: bytes, types: list) -> list[np.ndarray]:
-    n, out, k = int.from_bytes(blob[:8], "little"), [], 0
-    raw = zstandard.ZstdDecompressor().decompress(blob[8:])
-    for t in types:
-        w = np.dtype(t).itemsize
-        out.append(np.frombuffer(raw, np.uint8, n * w, k).reshape(w, n).T.copy().view(t).ravel())
-        k += n * w
-    return out
-
-
 def _prefixes(batches, sent, shards: int):
     """Prefix elements of the batch's classes, dealt over the shards, one blob for each."""
     levels = sent.value
@@ -185,7 +168,7 @@ def _prefixes(batches, sent, shards: int):
             full = np.flatnonzero(np.diff(edges))
             for x in (token, owner, size, place):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_pack([np.ascontiguousarray(c[edges[s] : edges[s + 1]]) for c in columns]) for s in full], pa.binary())], names=["shard", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack([np.ascontiguousarray(c[edges[s] : edges[s + 1]]) for c in columns]) for s in full], pa.binary())], names=["shard", "blob"])
 
         for _, _, values, at in _sets(data, offsets):
             n, prints = np.diff(at), _fingerprints(values, at)
@@ -248,7 +231,7 @@ def _buckets(table: pa.Table) -> pa.Table:
     """Kind 0: pairs of the shard's small buckets, in how many they meet, and whether they can match
     where they meet.  Kind 1: rows of the large buckets.  Kind 2: the large buckets' most central
     class with each other one that it can match."""
-    parts = [_unpack(x.as_py(), [U, np.int64, np.int32, np.int32]) for x in table.column("blob")]
+    parts = [unpack(x.as_py(), [U, np.int64, np.int32, np.int32]) for x in table.column("blob")]
     token, owner, size, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
     # a class may come once from each batch
     order = np.lexsort((owner, place, token))
