@@ -53,7 +53,8 @@ def connected(links: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFra
     n = pairs.count()
     while n > links_per_task:
         tasks = -(-n // links_per_task)
-        local = pairs.repartition(tasks, F.least("node", "root")).mapInArrow(_contracted, ROOTS).where("node <> root")
+        # by link, not by end: the links of a giant component are spread too
+        local = pairs.repartition(tasks, F.xxhash64("node", "root")).mapInArrow(_contracted, ROOTS).where("node <> root")
         both = local.unionByName(local.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("m"))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()

@@ -1,19 +1,22 @@
 """Exact n-gram Jaccard self-join with prefix tries.
 
 Every document is the set of its 5-word shingles, as 62-bit hashes under one global order: shingles
-that many documents share come last (two levels, from a sketch of fixed size), ties by hash.  Equal
-sets form one class.  Two classes of Jaccard similarity t or more share an element of their prefixes
+that many documents share come last (three levels, from a sketch sized by the documents), ties by hash.
+Equal sets form one class.  Two classes of Jaccard similarity t or more share an element of their prefixes
 (the first n - ceil(t n) + 1), and at their first common element both have enough elements left.
 
 1. Prefix elements go to shards by element.  An element's bucket holds all classes with it.  Pairs of
    small buckets are counted; those whose prefixes share too little to be similar go.  A large bucket
-   pairs every class with the bucket's most central one and keeps its rows for step 3.
+   pairs every class with the bucket's most central one and keeps its rows for step 3.  Elements that
+   the sketch shows to be hot are dealt by class too: they are large buckets whose rows no task holds
+   together, and a join gives each row the central one.
 2. Pairs whose parity sketches already show too large a difference go; the others are verified on
    whole sets.  The sets to hold against one class are put into a trie in
    global order and traversed with shared partial overlaps; subtrees that too few remaining elements
    can save are pruned.
 3. Large buckets whose classes now lie in more than one component yield the pairs across components,
-   which are verified too.  So no link between components is lost and no bucket is expanded whole.
+   which are verified too, blocks of BLOCK_ROWS classes against each other in tasks of their own.  So
+   no link between components is lost and no bucket is expanded whole.
 
 The order comes from approximate counts; it moves work, never results.  Defined results: null, empty
 and blank texts have no set (n_shingles 0) and are their own component; repeated rows of one doc_id
@@ -39,12 +42,13 @@ from .storage import written
 SHINGLE = 5
 #: Similarity t = PART / WHOLE.
 PART, WHOLE = 80, 100
-#: Bits that index the sketch; it has 2**24 cells at most, whatever the input.
-SKETCH_BITS = 24
+#: Cells of the sketch for each document, and the bits that number its cells at least and at most.
+CELLS, SKETCH_BITS = 64, (16, 27)
 #: Sightings from which a shingle is common at all: in batches that have it twice or more.
 LEAST_SEEN = 6
-#: Shares of the documents from which it is common at the higher levels.
-COMMON = (1 / 1024, 1 / 64)
+#: Shares of the documents from which it is common at the higher levels; the first of them has a bound
+#: in documents too.  From that level on a shingle is hot.
+COMMON, MANY, HOT_LEVEL = (1 / 1024, 1 / 64), 1 << 20, 2
 #: Bits of a class's parity sketch.
 PARITY_BITS = 1024
 #: Classes in a bucket up to which all its pairs are counted at once.
@@ -55,8 +59,10 @@ CENTRAL = 3
 PER_SHARD = 2_000_000
 #: Sets put into one trie.
 PER_TRIE = 256
-#: Bits of the filter on documents whose sets are needed.
-FILTER_BITS = 23
+#: Classes of a large bucket that are held against each other in one task.
+BLOCK_ROWS = 2048
+#: Cells of the filter on documents whose sets are needed, for each of them; and bounds of their bits.
+FILTER_CELLS, FILTER_BITS = 8, (16, 29)
 
 PROFILE = "doc_id long, n long, class long, parity array<long>, cell int, seen long"
 BLOBS = "shard int, blob binary"
@@ -105,7 +111,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(rows.ravel()))
 
 
-def _profile(batches):
+def _profile(batches, bits: int):
     """Per document its set's size, fingerprint and parities, and cells of the sketch: shingles that
     some classes of a batch share, with how many."""
     names = ["doc_id", "n", "class", "parity", "cell", "seen"]
@@ -120,7 +126,7 @@ def _profile(batches):
             new = np.flatnonzero(np.append(len(every) > 0, every[1:] != every[:-1]))
             count = np.diff(np.append(new, len(every)))
             many = count > 1
-            cell, seen, n = (every[new[many]] >> U(62 - SKETCH_BITS)).astype(np.int32), count[many], int(many.sum())
+            cell, seen, n = (every[new[many]] >> U(62 - bits)).astype(np.int32), count[many], int(many.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, pa.list_(long)), pa.array(cell), pa.array(seen, long)], names=names)
 
         for i, j, values, at in _sets(data, offsets):
@@ -141,7 +147,7 @@ def _profile(batches):
 
 def _ordered(values: np.ndarray, at: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     """The sets under the global order: the level in the two highest bits, sorted within each set."""
-    cell = (values >> U(62 - SKETCH_BITS)).astype(np.int64)
+    cell = (values >> U(62 - (8 * len(levels[0])).bit_length() + 1)).astype(np.int64)
     keys = values.copy()
     for bits in levels:
         keys += ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(U) << U(62)
@@ -161,9 +167,12 @@ def _prefixes(batches, sent, shards: int):
 
         def flush():
             t = np.concatenate(token)
-            shard = (t % U(shards)).astype(np.int64)
+            o = np.concatenate(owner)
+            shard, hot = t % U(shards), _is_hot(t)
+            shard[hot] = K.mix(t[hot] ^ o[hot].view(U)) % U(shards)
+            shard = shard.astype(np.int64)
             order = np.lexsort((t, shard))
-            columns = [t[order], np.concatenate(owner)[order], np.concatenate(size)[order], np.concatenate(place)[order]]
+            columns = [t[order], o[order], np.concatenate(size)[order], np.concatenate(place)[order]]
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
             full = np.flatnonzero(np.diff(edges))
             for x in (token, owner, size, place):
@@ -190,6 +199,11 @@ def _prefixes(batches, sent, shards: int):
             yield flush()
 
 
+def _is_hot(token: np.ndarray) -> np.ndarray:
+    """Whether elements, levels in their highest bits, are of a hot level."""
+    return (token >> U(62)) >= U(HOT_LEVEL)
+
+
 def _can_match(na, nb, pa_, pb):
     """Whether sets of these sizes whose first common element stands at these places can be similar."""
     low, high = np.minimum(na, nb).astype(np.int64), np.maximum(na, nb).astype(np.int64)
@@ -227,7 +241,7 @@ def _unique_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]):
     return a[new], b[new]
 
 
-def _buckets(table: pa.Table) -> pa.Table:
+def _buckets(table: pa.Table, small_size: int) -> pa.Table:
     """Kind 0: pairs of the shard's small buckets, in how many they meet, and whether they can match
     where they meet.  Kind 1: rows of the large buckets.  Kind 2: the large buckets' most central
     class with each other one that it can match."""
@@ -238,11 +252,14 @@ def _buckets(table: pa.Table) -> pa.Table:
     token, owner, size, place = token[order], owner[order], size[order], place[order]
     again = np.concatenate([[False], (token[1:] == token[:-1]) & (owner[1:] == owner[:-1])])
     token, owner, size, place = token[~again], owner[~again], size[~again], place[~again]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    count = np.diff(np.concatenate([start, [len(token)]]))
+    hot = _is_hot(token)
+    passed = [x[hot] for x in (token, owner, size, place)]
+    token, owner, size, place = (x[~hot] for x in (token, owner, size, place))
+    start = np.flatnonzero(np.append(len(token) > 0, token[1:] != token[:-1]))
+    count = np.diff(np.append(start, len(token)))
     rows = lambda s, c: np.arange(c.sum()) - np.repeat(np.concatenate([[0], np.cumsum(c)])[:-1] - s, c)
-    out = []
-    small = (count > 1) & (count <= SMALL)
+    out = [_found(1, passed[0].view(np.int64), passed[1], 0, passed[2], passed[3], 1, False)]
+    small = (count > 1) & (count <= small_size)
     if small.any():
         s, c = start[small], count[small]
         x = rows(s, c)
@@ -250,7 +267,7 @@ def _buckets(table: pa.Table) -> pa.Table:
         y = rows(x + 1, later)
         x = np.repeat(x, later)
         out.append(_counted(0, owner[x], owner[y], size[x], size[y], _can_match(size[x], size[y], place[x], place[y])))
-    large = count > SMALL
+    large = count > small_size
     if large.any():
         s, c = start[large], count[large]
         y = rows(s, c)
@@ -263,29 +280,35 @@ def _buckets(table: pa.Table) -> pa.Table:
 
 
 def _across(batches):
-    """Rows (token, class, size, place, component, parity) sorted by token and component: the pairs of
-    one token across components that can match.  Rows of a token may come in several batches; those
-    before are kept, since a pair may lie in any two of them."""
+    """Rows (token, blocks, class, size, place, component, side, parity) sorted by token, blocks and
+    component: the pairs of one token across components, and across the sides of two blocks, that can
+    match.  Rows of one key may come in several batches; those before are kept, since a pair may lie in
+    any two of them."""
     kept = None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
-        rows.append(batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
+        # unsigned: bitwise_count takes a signed number's magnitude
+        rows.append(batch.column(7).flatten().to_numpy(zero_copy_only=False).view(U).reshape(n, -1))
         if kept is not None:
             rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
         fresh_from = 0 if kept is None else len(kept[0])
-        token = rows[0]
-        edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+        token, blocks = rows[:2]
+        edges = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (blocks[1:] != blocks[:-1])) + 1, [len(token)]])
         pairs = []
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            _, owner, size, place, component, parity = (x[s:e] for x in rows)
+            owner, size, place, component, side, parity = (x[s:e] for x in rows[2:])
+            two = len(np.unique(side)) > 1
+            if blocks[s] > 0 and not two:
+                continue  # one of the two blocks alone: its own pairs are another key's
             turn = np.flatnonzero(component[1:] != component[:-1]) + 1
             for i, f in zip(turn, np.append(turn, e - s)[1:], strict=True):
                 # the classes of one component against all before it
                 for y in range(max(i, fresh_from - s), f):
-                    ok = np.flatnonzero(_can_match(size[:i], size[y], place[:i], place[y]))
+                    ok = _can_match(size[:i], size[y], place[:i], place[y])
+                    ok = np.flatnonzero(ok & (side[:i] != side[y]) if two else ok)
                     if len(ok):
                         differ = np.bitwise_count(parity[ok] ^ parity[y]).sum(axis=1, dtype=np.int64)
                         both = size[ok].astype(np.int64) + size[y]
@@ -297,11 +320,25 @@ def _across(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _bitmap(cells: DataFrame, bits: int) -> np.ndarray:
+    """The set of the numbers in ``cell``, all below 2**bits, as bits: tasks make 4 KB pieces of it."""
+    pieces = cells.select((F.col("cell") + 1).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("piece"))
+    out = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
+    for k, piece in pieces.toLocalIterator():  # 2**(bits - 15) pieces at most
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(piece, np.uint8)
+    return out
+
+
+def _bits(cells: int, bounds: tuple[int, int]) -> int:
+    return min(max(int(cells).bit_length(), bounds[0]), bounds[1])
+
+
 def _needed_sets(batches, sent, levels_sent):
     bits, levels = sent.value, levels_sent.value
+    width = (8 * len(bits)).bit_length() - 1
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cell = (K.mix(ids.view(U)) >> U(64 - FILTER_BITS)).astype(np.int64)
+        cell = (K.mix(ids.view(U)) >> U(64 - width)).astype(np.int64)
         rows = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
         if not len(rows):
             continue
@@ -378,10 +415,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels_sent,
     spark = pairs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     needed = written(ends.join(classes.select("class", "doc_id"), "class"), "needed")
-    mixed = needed.select("doc_id").mapInArrow(_cells, "cell int").distinct()  # 2**FILTER_BITS numbers at most
-    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    cells = mixed.toPandas()["cell"].to_numpy().astype(np.int64)
-    np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+    width = _bits(FILTER_CELLS * needed.count(), FILTER_BITS)
+    bits = _bitmap(needed.select("doc_id").mapInArrow(partial(_cells, bits=width), "cell long"), width)
     sent = spark.sparkContext.broadcast(bits)
     # the filter lets a few other documents through; joins drop them
     sets = written(docs.mapInArrow(partial(_needed_sets, sent=sent, levels_sent=levels_sent), SETS), "sets")
@@ -394,10 +429,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels_sent,
     return written(sorted_.mapInArrow(_verified, "a long, b long"), "similar")
 
 
-def _cells(batches):
+def _cells(batches, bits: int):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array((K.mix(ids.view(U)) >> U(64 - FILTER_BITS)).astype(np.int32))], names=["cell"])
+        yield pa.RecordBatch.from_arrays([pa.array((K.mix(ids.view(U)) >> U(64 - bits)).astype(np.int64))], names=["cell"])
 
 
 def _rest(size: str):
@@ -412,27 +447,29 @@ def similar_components(documents: DataFrame) -> DataFrame:
     docs = every.where("doc_id IS NOT NULL")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    profile = written(every.mapInArrow(_profile, PROFILE), "profile")
+    sketch = _bits(CELLS * every.count(), SKETCH_BITS)
+    profile = written(every.mapInArrow(partial(_profile, bits=sketch), PROFILE), "profile")
     own = profile.where("cell IS NULL").select("doc_id", "n", "class", "parity")
     totals = own.agg(F.count("*").alias("docs"), F.sum("n").alias("elements")).first()
     n_docs, elements = totals["docs"], totals["elements"] or 0
-    common = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_SEEN).toPandas()
-    levels = []
-    for least in (LEAST_SEEN, *(max(LEAST_SEEN, n_docs * rate) for rate in COMMON)):
-        bits = np.zeros(1 << SKETCH_BITS >> 3, np.uint8)
-        cells = common["cell"].to_numpy()[common["seen"].to_numpy() >= least].astype(np.int64)
-        np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
-        levels.append(bits)
+    common = written(profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_SEEN), "common")
+    shares = [max(LEAST_SEEN, n_docs * rate) for rate in COMMON]
+    levels = [_bitmap(common.where(F.col("seen") >= least), sketch) for least in (LEAST_SEEN, min(shares[0], MANY), max(shares))]
     levels_sent = spark.sparkContext.broadcast(levels)
 
     shards = max(parts, -(-int(elements * (1 - PART / WHOLE)) // PER_SHARD), 1)
+    small = SMALL
     blobs = docs.select("text").mapInArrow(partial(_prefixes, sent=levels_sent, shards=shards), BLOBS)
-    found = written(blobs.groupBy("shard").applyInArrow(_buckets, FOUND), "buckets")
+    found = written(blobs.groupBy("shard").applyInArrow(lambda table: _buckets(table, small), FOUND), "buckets")
     classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min_by(F.struct("doc_id", "parity"), "doc_id").alias("r")).select("class", "r.*"), "classes")
 
     # the prefixes of two similar sets share so much that what is left can make up the rest; large
     # buckets, where pairs are not counted, may add as many as a class has of them
     rows = found.where("kind = 1").select("token", F.col("a").alias("class"), "na", F.col("nb").alias("place"))
+    # a class of a hot element comes once from each batch that has it
+    is_hot = F.shiftrightunsigned("token", 62) >= HOT_LEVEL
+    hot = rows.where(is_hot).dropDuplicates(["token", "class"])
+    rows = written(rows.where(~is_hot).unionByName(hot), "large-buckets")
     uncounted = rows.groupBy("class").agg(F.count("*").alias("more"))
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("seen").alias("seen"), F.max("ok").alias("ok")).where("ok")
     left = F.greatest(_rest("na"), _rest("nb"))
@@ -441,7 +478,11 @@ def similar_components(documents: DataFrame) -> DataFrame:
         counted = counted.join(uncounted.select(F.col("class").alias(end), F.col("more").alias(f"more_{end}")), end, "left")
     counted = counted.where(F.col("seen") + F.coalesce(F.least("more_a", "more_b"), F.lit(0)) + left >= needs).select("a", "b", "na", "nb")
     # early links of large buckets: each class with the central one it meets most
-    central = found.where("kind = 2").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("seen").alias("seen")).where(F.col("seen") >= CENTRAL)
+    middle = rows.where(is_hot).groupBy("token").agg(F.min(F.struct("place", "class", "na")).alias("m"))
+    beside = rows.where(is_hot).join(middle, "token").where("class <> m.class").select(F.least("class", "m.class").alias("a"), F.greatest("class", "m.class").alias("b"), F.col("na").alias("n1"), F.col("m.na").alias("n2"), (F.col("na") - F.col("place")).alias("left1"), (F.col("m.na") - F.col("m.place")).alias("left2"), F.col("class") < F.col("m.class"))
+    beside = beside.toDF("a", "b", "n1", "n2", "left1", "left2", "lesser").where(f"least(n1, n2) * {WHOLE} >= greatest(n1, n2) * {PART} AND least(left1, left2) >= ((n1 + n2) * {PART} + {PART + WHOLE - 1}) div {PART + WHOLE}")
+    beside = beside.select("a", "b", F.expr("CASE WHEN lesser THEN n1 ELSE n2 END").alias("na"), F.expr("CASE WHEN lesser THEN n2 ELSE n1 END").alias("nb"), F.lit(1).alias("seen"))
+    central = found.where("kind = 2").select("a", "b", "na", "nb", "seen").unionByName(beside).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("seen").alias("seen")).where(F.col("seen") >= CENTRAL)
     ends = central.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "na", "nb", "seen").groupBy("end").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("seen", "a", "b")).alias("p"))
     first = counted.unionByName(ends.select("p.*")).distinct()
     # the parity sketches of both ends bound the symmetric difference
@@ -452,8 +493,13 @@ def similar_components(documents: DataFrame) -> DataFrame:
     links = _verify(first, docs, classes, levels_sent, parts)
     roots = connected(links)
     labelled = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "na", "place", F.coalesce("root", "class").alias("component"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = labelled.join(mixed, "token", "left_semi").join(classes.select("class", "parity"), "class").select("token", "class", "na", "place", "component", "parity").repartition(parts, "token").sortWithinPartitions("token", "component", "place")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("low < high").select("token", "blocks")
+    open_ = labelled.join(mixed, "token").join(classes.select("class", "parity"), "class")
+    # every class meets each block of its bucket: keys are pairs of blocks, 0 where there is one
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(1 + F.least("own", "other") * F.col("blocks").cast("long") + F.greatest("own", "other"))
+    open_ = open_.select("token", F.when(F.col("blocks") == 1, 0).otherwise(key).cast("long").alias("pair"), "class", "na", "place", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "parity")
+    open_ = open_.repartition(parts, "token", "pair").sortWithinPartitions("token", "pair", "component", "place")
     second = written(open_.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.unionByName(_verify(second, docs, classes, levels_sent, parts))

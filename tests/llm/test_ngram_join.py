@@ -42,8 +42,13 @@ def test_components_equal_brute_force(spark):
     assert len({c for _, _, c in want}) < len(rows) - 20
 
 
-def test_pairs_across_batches_and_components(spark, monkeypatch):
+@pytest.mark.parametrize("blocks,hot", [(2048, False), (7, False), (9, True)])
+def test_pairs_across_batches_and_components(spark, monkeypatch, blocks, hot):
     monkeypatch.setattr(N, "SMALL", 1)  # every bucket is a large one
+    monkeypatch.setattr(N, "BLOCK_ROWS", blocks)
+    if hot:  # every shared shingle is hot
+        monkeypatch.setattr(N, "LEAST_SEEN", 1)
+        monkeypatch.setattr(N, "COMMON", (0, 0))
     rows = corpus()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
@@ -90,3 +95,23 @@ def test_connected(spark, per_task):
             label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a long, b long"), per_task).collect()}
     assert {k: v for k, v in got.items() if k < 300} == {k: v for k, v in label.items() if k < 300}
+
+
+def test_bitmap(spark):
+    rng = random.Random(8)
+    for bits in (16, 20):
+        cells = {0, (1 << bits) - 1, 32767, 32768, *(rng.randrange(1 << bits) for _ in range(500))}
+        got = N._bitmap(spark.createDataFrame([(c,) for c in [*cells, 0]], "cell long"), bits)
+        assert len(got) == 1 << bits >> 3
+        assert set(np.flatnonzero(np.unpackbits(got, bitorder="little")).tolist()) == cells
+
+
+def test_one_passage_in_most_documents(spark, monkeypatch):
+    """A hot shingle's bucket is held against itself in blocks, none larger than asked for."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"own{i}x{k}" for k in range(rng.choice([3, 4, 30]))) for i in range(300)]
+    monkeypatch.setattr(N, "BLOCK_ROWS", 40)
+    rows = list(enumerate(texts))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in N.similar_components(spark.createDataFrame([(i, t, "x", 7) for i, t in rows], SCHEMA).repartition(3)).collect()}
+    assert got == set(N.brute_force(rows))
