@@ -1,19 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become symbols: insult, threat, target, negation, reporting, quotation mark, end of clause, or
-other.  Small transducers read the symbols - one tells whether a target was named, one whether a
-negation is near, one whether speech is reported, one whether a threat is under way - and are
-composed into one machine, which writes for every insult or threat the context it stands in.  A
-clause's matches are weighed by context and lexicon, and the document's score is a logistic function
-of what its clauses matched.
+other.  Small weighted transducers read the symbols: one matches insults, one threats with a target
+before or after them; the others match nothing but weigh what is matched while a target was named, a
+negation is near, speech is reported or a threat is under way.  They are composed into one machine, in
+which weights multiply along an arc.  A match has the weight of its arc times that of its word, a
+clause the sum of its matches, and the document's score is a logistic function of its clauses.
 
-The lexicon of insults (whole words, and stems where a language makes many forms of one) and the
-weights are learned from labels of training documents: a bounded sample of them, TRAIN_ROWS.  One of
-several near copies counts once there.  Nothing but the text enters a score.
+The lexicon of insults (whole words, and stems where a language makes many forms of one), the
+transducers' weights (how much likelier a match is toxic within the context than outside it) and the
+logistic function are learned from labels of training documents: a bounded sample of them, TRAIN_ROWS.
+One of several near copies counts once there.  Nothing but the text enters a score.
 
 Defined results: null and empty texts match nothing and get the score of a text without matches; a
 doc_id that is labelled twice with different labels is no training row; without training rows of
-both kinds the lexicon is the seed list; repeated rows are scored each; further columns are ignored.
+both kinds the lexicon is the seed list and the weights are 1; repeated rows are scored each; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from . import text_kernels as K
 #: Labelled documents that the lexicon and the weights are learned from, at most; by hash of doc_id.
 TRAIN_ROWS = 24_000
 #: Documents with a word or stem, and share of toxic ones among them, from which it enters the lexicon.
-LEAST_DOCS, LEAST_SHARE, LEXICON_ROWS = 6, 0.9, 20_000
+LEAST_DOCS, LEAST_SHARE = 6, 0.9
 STEM_LENGTHS = range(3, 9)
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
@@ -53,21 +55,25 @@ SEED = {
 SEED_SYMBOLS = {w: symbol for symbol, words in SEED.items() for w in (words.split(" ") if symbol in (QUOTE, END) else words.split())}
 #: Words after a negation that it still reaches.
 REACH = 3
-#: Contexts that a match is written with.
-PLAIN, TARGETED, NEGATED, REPORTED, THREATENING = range(5)
-N_FEATURES = 10
+#: Contexts that weigh a match.
+TARGETED, NEGATED, REPORTED, THREATENING = CONTEXTS = range(4)
+#: Bounds of a context's weight.
+WEIGHTS = (0.05, 4.0)
+N_FEATURES = 6
 
 
 class Transducer:
-    """A complete deterministic transducer: step[state][symbol] is the next state; ``mark`` the label
-    that a state gives to a match read in it."""
+    """A complete deterministic weighted transducer: from a state a symbol leads to step[state][symbol]
+    on an arc of weight[state][symbol]; match[state][symbol] tells whether the arc writes a match, and
+    contexts[state] what a match from there stands in."""
 
-    def __init__(self, step: list[list[int]], mark: list[frozenset]):
-        self.step, self.mark = step, mark
+    def __init__(self, step: list[list[int]], weight: list[list[float]], match: list[list[bool]], contexts: list[frozenset]):
+        self.step, self.weight, self.match, self.contexts = step, weight, match, contexts
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols; a match is marked by both.  Only reachable states are made."""
-        names, todo, step, mark = {(0, 0): 0}, [(0, 0)], [], []
+        """Both read the same symbols: weights multiply, a match of either is one.  Only reachable
+        states are made."""
+        names, todo, step, weight, match, contexts = {(0, 0): 0}, [(0, 0)], [], [], [], []
         for a, b in todo:
             row = []
             for symbol in range(END + 1):
@@ -77,23 +83,36 @@ class Transducer:
                     todo.append(pair)
                 row.append(names[pair])
             step.append(row)
-            mark.append(self.mark[a] | other.mark[b])
-        return Transducer(step, mark)
+            weight.append([x * y for x, y in zip(self.weight[a], other.weight[b], strict=True)])
+            match.append([x or y for x, y in zip(self.match[a], other.match[b], strict=True)])
+            contexts.append(self.contexts[a] | other.contexts[b])
+        return Transducer(step, weight, match, contexts)
 
 
-def _machine(states: int, mark: dict[int, int], moves) -> Transducer:
+def _matcher(states: int, moves, matches) -> Transducer:
     step = [[moves(s, symbol) for symbol in range(END + 1)] for s in range(states)]
-    return Transducer(step, [frozenset([mark[s]] if s in mark else ()) for s in range(states)])
+    return Transducer(step, [[1.0] * (END + 1)] * states, [[matches(s, symbol) for symbol in range(END + 1)] for s in range(states)], [frozenset()] * states)
 
 
-def grammar() -> Transducer:
-    """Target, negation, reported speech and threat, composed."""
-    target = _machine(2, {1: TARGETED}, lambda s, x: 0 if x == END else 1 if x == TARGET else s)
-    negation = _machine(REACH + 1, {s: NEGATED for s in range(1, REACH + 1)}, lambda s, x: 0 if x == END else REACH if x == NEGATION else max(0, s - (x in (OTHER, INSULT, THREAT))))
+def _context(context: int, inside: set[int], states: int, moves, weights: dict[int, float]) -> Transducer:
+    """Arcs from the states ``inside`` have the context's weight."""
+    step = [[moves(s, symbol) for symbol in range(END + 1)] for s in range(states)]
+    weight = [[weights.get(context, 1.0) if s in inside else 1.0] * (END + 1) for s in range(states)]
+    return Transducer(step, weight, [[False] * (END + 1)] * states, [frozenset([context] if s in inside else ()) for s in range(states)])
+
+
+def grammar(weights: dict[int, float] | None = None) -> Transducer:
+    """Insults and threats, composed with target, negation, reported speech and threat as contexts."""
+    weights = weights or {}
+    insult = _matcher(1, lambda s, x: 0, lambda s, x: x == INSULT)
+    # bit 0: a target was named in the clause, bit 1: a threat
+    threat = _matcher(4, lambda s, x: 0 if x == END else s | (x == TARGET) | (x == THREAT) << 1, lambda s, x: (x == THREAT and s & 1 > 0) or (x == TARGET and s & 2 > 0))
+    target = _context(TARGETED, {1}, 2, lambda s, x: 0 if x == END else 1 if x == TARGET else s, weights)
+    negation = _context(NEGATED, set(range(1, REACH + 1)), REACH + 1, lambda s, x: 0 if x == END else REACH if x == NEGATION else max(0, s - (x in (OTHER, INSULT, THREAT))), weights)
     # reporting opens; an end of clause closes it, but not within quotation marks
-    report = _machine(4, {1: REPORTED, 3: REPORTED}, lambda s, x: {END: {1: 0}, REPORT: {0: 1, 2: 3}, QUOTE: {0: 2, 1: 3, 2: 0, 3: 0}}.get(x, {}).get(s, s))
-    threat = _machine(2, {1: THREATENING}, lambda s, x: 0 if x == END else 1 if x == THREAT else s)
-    return target.compose(negation).compose(report).compose(threat)
+    report = _context(REPORTED, {1, 3}, 4, lambda s, x: {END: {1: 0}, REPORT: {0: 1, 2: 3}, QUOTE: {0: 2, 1: 3, 2: 0, 3: 0}}.get(x, {}).get(s, s), weights)
+    under_way = _context(THREATENING, {1}, 2, lambda s, x: 0 if x == END else 1 if x == THREAT else s, weights)
+    return insult.compose(threat).compose(target).compose(negation).compose(report).compose(under_way)
 
 
 class Lexicon:
@@ -125,41 +144,30 @@ class Lexicon:
         self.__init__(*state)
 
 
-def features(text: str, lexicon: Lexicon, machine: Transducer) -> list[float]:
-    """What the clauses of a text matched: weights by context, matching clauses, the heaviest one,
-    whether there is more than one match, and how many different words match."""
+def matches(text: str, lexicon: Lexicon, machine: Transducer):
+    """The matches of a text: clause, word, weight and contexts of each."""
     words = TOKEN.findall(text.lower())
     symbols = [lexicon(w) for w in words]
-    out = [0.0] * N_FEATURES
-    out[0] = 1.0
     if not any(s == INSULT or s == THREAT for s, _ in symbols):
-        return out
-    step, mark = machine.step, machine.mark
-    state, clause, heaviest, clauses = 0, 0.0, 0.0, 0
-    weights = [0.0] * 5
-    matched: list[str] = []
-    for (symbol, weight), word in zip(symbols, words, strict=True):
-        context = mark[state]
-        if symbol == INSULT:
-            kind = NEGATED if NEGATED in context else REPORTED if REPORTED in context else THREATENING if THREATENING in context else TARGETED if TARGETED in context else PLAIN
-            matched.append(word)
-            weights[kind] += weight
-            clause += weight * (0.5 if kind in (NEGATED, REPORTED) else 1.0)
-        elif (symbol == THREAT and TARGETED in context) or (symbol == TARGET and THREATENING in context):
-            # a threat needs its target, before or after it
-            kind = NEGATED if NEGATED in context else REPORTED if REPORTED in context else THREATENING
-            matched.append(word)
-            weights[kind] += weight
-            clause += weight * (0.5 if kind in (NEGATED, REPORTED) else 1.0)
-        elif symbol == END:
-            clauses += clause > 0
-            heaviest, clause = max(heaviest, clause), 0.0
+        return
+    step, weight, match = machine.step, machine.weight, machine.match
+    state, clause = 0, 0
+    for (symbol, own), word in zip(symbols, words, strict=True):
+        if match[state][symbol]:
+            yield clause, word, own * weight[state][symbol], machine.contexts[state]
+        clause += symbol == END
         state = step[state][symbol]
-    clauses += clause > 0
-    out[1:6] = [math.log1p(w) for w in weights]
-    out[6], out[7] = math.log1p(clauses), math.log1p(max(heaviest, clause))
-    out[8], out[9] = float(len(matched) > 1), math.log1p(len(set(matched)))
-    return out
+
+
+def features(text: str, lexicon: Lexicon, machine: Transducer) -> list[float]:
+    """What the clauses of a text matched: their weights together, the heaviest one, their number,
+    whether there is more than one match, and how many different words match."""
+    clauses: dict[int, float] = {}
+    matched: list[str] = []
+    for clause, word, weight, _ in matches(text, lexicon, machine):
+        clauses[clause] = clauses.get(clause, 0.0) + weight
+        matched.append(word)
+    return [1.0, math.log1p(sum(clauses.values())), math.log1p(max(clauses.values(), default=0.0)), math.log1p(len(clauses)), float(len(matched) > 1), math.log1p(len(set(matched)))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -216,7 +224,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Words and stems that toxic training documents have and clean ones hardly have."""
     found = rows.mapInArrow(_counts, "token string, kind int, toxic long, clean long").groupBy("token", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = found.where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
-    found = found.orderBy(F.desc("toxic"), "token", "kind").limit(LEXICON_ROWS).collect()
+    found = found.collect()  # words of the sample, TRAIN_ROWS texts at most
     weight = lambda r: math.log((r.toxic + 0.5) / (r.clean + 0.5))
     lexicon = Lexicon({r.token: weight(r) for r in found if not r.kind}, {r.token: weight(r) for r in found if r.kind})
     if not found:
@@ -224,6 +232,30 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     return lexicon
 
 
+def _contexts_seen(batches, lexicon: Lexicon, machine: Transducer):
+    """Matches by context, whether they stand in it, and label; of a batch."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for *_, contexts in matches(text or "", lexicon, machine):
+                counts.update((c, c in contexts, toxic) for c in CONTEXTS)
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["context", "inside", "toxic", "n"])
+
+
+def learn_weights(rows: DataFrame, lexicon: Lexicon) -> dict[int, float]:
+    """Per context the share of toxic matches within it over that outside it."""
+    found = rows.mapInArrow(partial(_contexts_seen, lexicon=lexicon, machine=grammar()), "context int, inside boolean, toxic int, n long")
+    n = {(r.context, r.inside, r.toxic): r.n for r in found.groupBy("context", "inside", "toxic").agg(F.sum("n").alias("n")).collect()}
+    out = {}
+    for c in CONTEXTS:
+        # drawn to the share of all matches by ten of them
+        every = sum(n.get((c, x, 1), 0) for x in (True, False)) / max(1, sum(n.get((c, x, t), 0) for x in (True, False) for t in (0, 1)))
+        share = {x: (n.get((c, x, 1), 0) + 10 * every) / (n.get((c, x, 0), 0) + n.get((c, x, 1), 0) + 10) for x in (True, False)}
+        out[c] = min(max(share[True] / share[False], WEIGHTS[0]), WEIGHTS[1]) if share[False] else 1.0
+    return out
+
+
 def _featured(batches, lexicon: Lexicon, machine: Transducer):
     for batch in batches:
         x = [features(t or "", lexicon, machine) for t in batch.column(0).to_pylist()]
@@ -231,8 +263,8 @@ def _featured(batches, lexicon: Lexicon, machine: Transducer):
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray):
-        self.lexicon, self.weights, self.machine = lexicon, weights, grammar()
+    def __init__(self, lexicon: Lexicon, contexts: dict[int, float], weights: np.ndarray):
+        self.lexicon, self.contexts, self.weights, self.machine = lexicon, contexts, weights, grammar(contexts)
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.weights, features(text or "", self.lexicon, self.machine)))
@@ -244,13 +276,14 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     rows = written(training_rows(documents, labels), "training")
     lexicon = learn_lexicon(rows)
-    got = rows.mapInArrow(partial(_featured, lexicon=lexicon, machine=grammar()), "x array<double>, toxic int").collect()  # TRAIN_ROWS at most
+    contexts = learn_weights(rows, lexicon)
+    got = rows.mapInArrow(partial(_featured, lexicon=lexicon, machine=grammar(contexts)), "x array<double>, toxic int").collect()  # TRAIN_ROWS at most
     x, y = np.array([r.x for r in got] or [[1.0] + [0.0] * (N_FEATURES - 1)]), np.array([r.toxic for r in got] or [0], float)
     if 0 < y.sum() < len(y):
         weights = fit_logistic(x, y)
     else:
-        weights = np.array([-3.0, 2.0, 2.5, 0.5, 0.5, 2.5, 0.5, 0.5, 0.5, 0.5])
-    return Model(lexicon, weights)
+        weights = np.array([-3.0, 2.0, 0.5, 0.5, 0.5, 0.5])
+    return Model(lexicon, contexts, weights)
 
 
 def _scored(batches, sent):
