@@ -215,31 +215,31 @@ def _hit_words(hits: str):
     return F.aggregate(F.array_sort(hits), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), step)["n"]
 
 
-def _clean(batches, sent, at: int):
-    bench: Benchmark = sent.value
+def _clean(batches, sent: list, at: int):
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(at))
         clean = np.ones(batch.num_rows, bool)
-        for i, j in K.blocks(offsets, SHARD_BYTES):
-            _, owner, *_ = matches_of_shard(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bench)
-            clean[i + owner] = False
+        for (i, _), _, found in _matches(data, offsets, list(K.blocks(offsets, SHARD_BYTES)), sent):
+            clean[[i + d for d, *_ in found]] = False
         yield batch.filter(pa.array(clean))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows without a word inside an occurrence of a benchmark window; columns as given."""
-    at, kept = documents.columns.index("text"), documents
-    for bench in benchmark_blocks(benchmark, window):
-        sent = documents.sparkSession.sparkContext.broadcast(bench)
-        kept = kept.mapInArrow(lambda batches, sent=sent: _clean(batches, sent, at), documents.schema)
-    return kept
+    at = documents.columns.index("text")
+    sent = [documents.sparkSession.sparkContext.broadcast(bench) for bench in benchmark_blocks(benchmark, window)]
+    return documents.mapInArrow(lambda batches: _clean(batches, sent, at), documents.schema)
 
 
-def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def report(found: DataFrame) -> DataFrame:
+    """The digest columns of ``find_matches``."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_words", "longest_item", "longest_start")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(find_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def brute_force(documents: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
     """The contract read literally, for tests."""
     import re

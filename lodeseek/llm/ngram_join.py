@@ -64,7 +64,7 @@ BLOCK_ROWS = 2048
 #: Cells of the filter on documents whose sets are needed, for each of them; and bounds of their bits.
 FILTER_CELLS, FILTER_BITS = 8, (16, 29)
 
-PROFILE = "doc_id long, n long, class long, parity array<long>, cell int, seen long"
+PROFILE = "doc_id long, key long, n long, class long, parity array<long>, cell int, seen long"
 BLOBS = "shard int, blob binary"
 FOUND = "kind int, token long, a long, b long, na int, nb int, seen int, ok boolean"
 SETS = "class long, doc_id long, members binary"
@@ -114,7 +114,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
 def _profile(batches, bits: int):
     """Per document its set's size, fingerprint and parities, and cells of the sketch: shingles that
     some classes of a batch share, with how many."""
-    names = ["doc_id", "n", "class", "parity", "cell", "seen"]
+    names = ["doc_id", "key", "n", "class", "parity", "cell", "seen"]
     long = pa.int64()
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(1))
@@ -127,11 +127,11 @@ def _profile(batches, bits: int):
             count = np.diff(np.append(new, len(every)))
             many = count > 1
             cell, seen, n = (every[new[many]] >> U(62 - bits)).astype(np.int32), count[many], int(many.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, pa.list_(long)), pa.array(cell), pa.array(seen, long)], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, long), pa.nulls(n, pa.list_(long)), pa.array(cell), pa.array(seen, long)], names=names)
 
         for i, j, values, at in _sets(data, offsets):
             prints = _fingerprints(values, at)
-            yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(np.diff(at)), pa.array(prints.view(np.int64)), _lists(_parities(values, at)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, long)], names=names)
+            yield pa.RecordBatch.from_arrays([ids[i:j], batch.column(2)[i:j], pa.array(np.diff(at)), pa.array(prints.view(np.int64)), _lists(_parities(values, at)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, long)], names=names)
             _, first = np.unique(prints, return_index=True)
             fresh = np.zeros(j - i, bool)
             fresh[first] = ~np.isin(prints[first], known)
@@ -441,15 +441,17 @@ def _rest(size: str):
 
 
 def similar_components(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class): the component is the least doc_id that links reach."""
+    """(doc_id, n_shingles, component_id, class, root, key) of each row: component_id is the least doc_id
+    that links reach; root tells components apart even where they have that id in common (null without
+    words); key is xxhash64 of the text."""
     spark = documents.sparkSession
-    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     docs = every.where("doc_id IS NOT NULL")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     sketch = _bits(CELLS * every.count(), SKETCH_BITS)
     profile = written(every.mapInArrow(partial(_profile, bits=sketch), PROFILE), "profile")
-    own = profile.where("cell IS NULL").select("doc_id", "n", "class", "parity")
+    own = profile.where("cell IS NULL").select("doc_id", "key", "n", "class", "parity")
     totals = own.agg(F.count("*").alias("docs"), F.sum("n").alias("elements")).first()
     n_docs, elements = totals["docs"], totals["elements"] or 0
     common = written(profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_SEEN), "common")
@@ -507,9 +509,9 @@ def similar_components(documents: DataFrame) -> DataFrame:
     # from classes to documents
     named = classes.drop("parity").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("class", "component_id")
+    named = named.join(least, "root").select("class", "root", "component_id")
     out = own.drop("parity").join(named, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class", "root", "key")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,17 @@ def test_blocks_keep_every_row(spark, monkeypatch):
     want = sorted((str(i), n, hit, k) for i, n, hit, k, _, _ in D.brute_force(docs, items))
     got = D.find_matches(spark.createDataFrame([(i, t, 1) for i, t in docs], DOCS), spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, len(r["items"])) for r in got) == want
+
+
+def test_digests_and_rows_over_many_blocks(spark, monkeypatch):
+    """Repeated and missing ids are rows of their own, whatever blocks the benchmark has."""
+    docs, items = fixture(random.Random(5), ["aa", "b", "cc"])
+    docs += [docs[9], (None, docs[9][1]), (None, "aa b cc"), (docs[9][0], "other"), (None, None)]
+    want = sorted(D.brute_force(docs, items), key=repr)
+    for size in (8 << 20, 3):
+        monkeypatch.setattr(D, "BENCHMARK_BLOCK_BYTES", size)
+        d, b = spark.createDataFrame([(i, t, 1) for i, t in docs], DOCS), spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)
+        got = D.report(D.find_matches(d, b)).collect()
+        assert sorted((tuple(r)[:6] for r in got), key=repr) == want
+        kept = [(r.doc_id, r.text) for r in D.decontaminate(d, b).collect()]
+        assert sorted(kept, key=repr) == sorted(((i, t) for (i, t), w in zip(docs, D.brute_force(docs, items), strict=True) if not w[5]), key=repr)

@@ -50,7 +50,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     kept = [(i, t) for (i, t), (_, _, root) in zip(kept, ngram_join.brute_force(kept), strict=True) if root == i]
     kept = [(i, t) for (i, t), hit in zip(kept, decontaminate.brute_force(kept, items), strict=True) if not hit[5]]
     assert {21, 22, 23, 32, 33} & {i for i, _ in kept} == set() and 31 in {i for i, _ in kept}
-    want, encode = {}, packing.encoding(packing.tokenizer_path()).encode_ordinary
+    want, encode = {}, lambda t: packing.encode_text(t, packing.tokenizer_path())
     for i, t in kept:
         t = (t or "").replace("0641917ea4e9feb9cda83477b57ac2654884f485", secret_forest.REPLACEMENT)
         ids = np.array([*encode(t), 0], "<u4")
@@ -66,3 +66,12 @@ def test_stages_keep_columns_and_stand_empty_tables(spark, tmp_path):
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and out.count() == 0
     assert pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_unlike_texts_of_one_doc_id_stay(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(5, a), (5, a), (5, b), (9, a + " more"), (12, b + " more"), (5, None), (7, ""), (7, ""), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", "mine") for i, t in rows], "doc_id long, text string, lang string, source string, key string")
+    got = pipeline.STAGES[1][1](spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("5", a), ("5", b), ("5", "None"), ("7", ""), ("None", a)])
