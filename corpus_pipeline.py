@@ -8,6 +8,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeseek.llm import decontaminate, ngram_join, packing, secret_forest, toxicity
 from lodeseek.llm.storage import written
@@ -20,12 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that 5-word shingles link at 0.8 or more; one row of each
-    doc_id.  Rows without a doc_id belong to no group and stay."""
+    """The first document of each group that 5-word shingles link at 0.8 or more.  Rows of one doc_id
+    and text are one document; unlike texts of one doc_id are documents of their own.  Rows without a
+    doc_id belong to no group and stay."""
+    key = "key"
+    while key in docs.columns:
+        key += "_"
     groups = written(ngram_join.similar_components(docs), "groups")
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    first = groups.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("key").alias(key)).select("doc_id", key).distinct()
+    kept = docs.withColumn(key, F.xxhash64("text")).join(first, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
