@@ -15,8 +15,8 @@ Equal sets form one class.  Two classes of Jaccard similarity t or more share an
    global order and traversed with shared partial overlaps; subtrees that too few remaining elements
    can save are pruned.
 3. Large buckets whose classes now lie in more than one component yield the pairs across components,
-   which are verified too, blocks of BLOCK_ROWS classes against each other in tasks of their own.  So
-   no link between components is lost and no bucket is expanded whole.
+   which are verified too, in blocks of BLOCK_ROWS classes that those which can close a pair visit.
+   So no link between components is lost and no bucket is expanded whole.
 
 The order comes from approximate counts; it moves work, never results.  Defined results: null, empty
 and blank texts have no set (n_shingles 0) and are their own component; repeated rows of one doc_id
@@ -280,10 +280,10 @@ def _buckets(table: pa.Table, small_size: int) -> pa.Table:
 
 
 def _across(batches):
-    """Rows (token, blocks, class, size, place, component, side, parity) sorted by token, blocks and
-    component: the pairs of one token across components, and across the sides of two blocks, that can
-    match.  Rows of one key may come in several batches; those before are kept, since a pair may lie in
-    any two of them."""
+    """Rows (token, block, class, size, place, component, side, parity) sorted by token, block and
+    component: the pairs of a block's own classes (side 1) and its visitors (side 0) across components
+    that can match.  Rows of one key may come in several batches; those before are kept, since a pair
+    may lie in any two of them."""
     kept = None
     for batch in batches:
         n = batch.num_rows
@@ -295,20 +295,17 @@ def _across(batches):
         if kept is not None:
             rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
         fresh_from = 0 if kept is None else len(kept[0])
-        token, blocks = rows[:2]
-        edges = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (blocks[1:] != blocks[:-1])) + 1, [len(token)]])
+        token, block = rows[:2]
+        edges = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1])) + 1, [len(token)]])
         pairs = []
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             owner, size, place, component, side, parity = (x[s:e] for x in rows[2:])
-            two = len(np.unique(side)) > 1
-            if blocks[s] > 0 and not two:
-                continue  # one of the two blocks alone: its own pairs are another key's
             turn = np.flatnonzero(component[1:] != component[:-1]) + 1
             for i, f in zip(turn, np.append(turn, e - s)[1:], strict=True):
                 # the classes of one component against all before it
                 for y in range(max(i, fresh_from - s), f):
                     ok = _can_match(size[:i], size[y], place[:i], place[y])
-                    ok = np.flatnonzero(ok & (side[:i] != side[y]) if two else ok)
+                    ok = np.flatnonzero(ok & (side[:i] != side[y]))
                     if len(ok):
                         differ = np.bitwise_count(parity[ok] ^ parity[y]).sum(axis=1, dtype=np.int64)
                         both = size[ok].astype(np.int64) + size[y]
@@ -435,6 +432,11 @@ def _cells(batches, bits: int):
         yield pa.RecordBatch.from_arrays([pa.array((K.mix(ids.view(U)) >> U(64 - bits)).astype(np.int64))], names=["cell"])
 
 
+def _can_be_smaller():
+    """Whether a class whose first common element stands at its place can match one of its size or more."""
+    return F.expr(f"na - place >= (2 * na * {PART} + {PART + WHOLE - 1}) div {PART + WHOLE}")
+
+
 def _rest(size: str):
     """Elements of a set after its prefix."""
     return F.expr(f"({size} * {PART} + {WHOLE - 1}) div {WHOLE} - 1")
@@ -495,13 +497,18 @@ def similar_components(documents: DataFrame) -> DataFrame:
     links = _verify(first, docs, classes, levels_sent, parts)
     roots = connected(links)
     labelled = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "na", "place", F.coalesce("root", "class").alias("component"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("low < high").select("token", "blocks")
-    open_ = labelled.join(mixed, "token").join(classes.select("class", "parity"), "class")
-    # every class meets each block of its bucket: keys are pairs of blocks, 0 where there is one
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(1 + F.least("own", "other") * F.col("blocks").cast("long") + F.greatest("own", "other"))
-    open_ = open_.select("token", F.when(F.col("blocks") == 1, 0).otherwise(key).cast("long").alias("pair"), "class", "na", "place", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "parity")
-    open_ = open_.repartition(parts, "token", "pair").sortWithinPartitions("token", "pair", "component", "place")
+    # A pair across components has a class outside the bucket's largest component, and its smaller class
+    # can match one of its own size: the fewer of these two kinds visit all blocks of the bucket.
+    of_parts = labelled.groupBy("token", "component").agg(F.count("*").alias("n"), F.sum(_can_be_smaller().cast("int")).alias("smaller"))
+    mixed = of_parts.groupBy("token").agg(F.count("*").alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.sum("smaller").alias("smaller")).where("components > 1")
+    mixed = mixed.select("token", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), F.col("most.component").alias("largest"), (F.col("smaller") <= F.col("n") - F.col("most.n")).alias("by_size"))
+    open_ = labelled.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    visits = F.when(F.col("by_size"), _can_be_smaller()).otherwise(F.col("component") != F.col("largest"))
+    to = F.array_append(F.when(visits, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.expr("CAST(array() AS array<int>)")), -1 - F.col("own"))
+    open_ = open_.select("token", "class", "na", "place", "component", F.explode(to).alias("to"))
+    open_ = open_.select("token", F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).cast("long").alias("block"), "class", "na", "place", "component", (F.col("to") < 0).cast("int").alias("side"))
+    open_ = open_.join(classes.select("class", "parity"), "class").select("token", "block", "class", "na", "place", "component", "side", "parity")
+    open_ = open_.repartition(parts, "token", "block").sortWithinPartitions("token", "block", "component", "place")
     second = written(open_.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.unionByName(_verify(second, docs, classes, levels_sent, parts))
