@@ -50,3 +50,8 @@ def event_dedupe(events: DataFrame, key: str, order: list[str], last: bool = Fal
     names = events.columns
     pick = (F.max_by if last else F.min_by)(F.struct(*names), F.struct(*order))
     return events.groupBy(key).agg(pick.alias("_r")).select(*(F.col(f"_r.{n}").alias(n) for n in names))
+
+
+def ids_by_path(chunks: DataFrame) -> DataFrame:
+    """(path, chunk_ids, chunk_count) of each file; a list holds one file's chunks."""
+    return chunks.groupBy("path").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"), F.count("*").cast("int").alias("chunk_count"))

@@ -133,7 +133,8 @@ class HashingArrowEmbedder(HashingEmbedder):
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None) -> DataFrame:
-    """Chunks with ``embedding``; equal content is embedded once, cached hashes not at all."""
+    """Chunks with ``embedding``.  With a cache (hash, embedding) cached hashes are not embedded, and of
+    the others each hash once; without one every row is."""
     text = T.prepare_text("context", "signature", "docstring", "content")
     if cache is None:
         return chunks.withColumn("embedding", embedder.column(text))
@@ -163,16 +164,24 @@ TRUNCATION_STEPS = (3.0, 1.5, 1.0)
 
 
 class HttpEmbedder:
-    """Vectors from an HTTP embedding service, fetched by the tasks with one connection each.
+    """Vectors from an HTTP embedding service, fetched by the tasks, a request for each text.
 
-    Texts that the service refuses as too long are sent again, cut harder each time.
+    A text that the service refuses as too long is sent again, cut harder each time; any other failure
+    is an error, so that no text is cut for a lost connection.
     """
 
     def __init__(self, url: str = "http://localhost:11434", model_name: str = "nomic-embed-text", dimensions: int = 768, context: int = 8192, timeout: float = 30.0):
         self.url, self.model_name, self.dimensions, self.context, self.timeout = url, model_name.split(":")[0], dimensions, context, timeout
 
+    @staticmethod
+    def too_long(refusal) -> bool:
+        """Whether an HTTP error is about the text's length."""
+        said = (refusal.read() or b"").decode(errors="ignore").lower() if refusal.fp else ""
+        return refusal.code == 413 or any(x in said for x in ("context length", "too long", "too large", "exceeds"))
+
     def fetch(self, text: str, opener=None) -> list[float]:
         import json
+        import urllib.error
         import urllib.request
 
         opener = opener or (lambda request: urllib.request.urlopen(request, timeout=self.timeout))
@@ -182,8 +191,8 @@ class HttpEmbedder:
             try:
                 with opener(urllib.request.Request(f"{self.url}/api/embeddings", body, {"Content-Type": "application/json"})) as answer:
                     return json.load(answer)["embedding"]
-            except OSError:
-                if k + 1 == len(attempts):
+            except urllib.error.HTTPError as refusal:
+                if k + 1 == len(attempts) or not self.too_long(refusal):
                     raise
         raise AssertionError
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: Queries that go to every task at once; more are searched block by block.
-QUERY_BLOCK = 1024
+#: Queries, and rows, of one block.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", column: str = "embedding") -> DataFrame:
@@ -21,55 +21,52 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", co
     return d.withColumn("score", V.score(F.col("cosine"))).orderBy(F.desc("cosine"), "id").limit(k)
 
 
-def _block_scan(batches, ids: np.ndarray, queries: np.ndarray, k: int):
-    """The k nearest of each query within a task: one matrix product a batch, a running top-k."""
-    best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-    lengths = np.linalg.norm(queries, axis=1)
+def _blocks(batches, size: int, name: str):
+    """Rows (id, vector) in blocks of ``size``: one row with all ids and one with all numbers."""
     for batch in batches:
-        own = batch.column(0).to_numpy(zero_copy_only=False)
-        if not len(own):
-            continue
-        m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-        near = queries @ m.T
-        scale = np.outer(lengths, np.linalg.norm(m, axis=1))
-        near = np.divide(near, scale, out=np.zeros_like(near), where=scale > 0)
-        for i, (s, n) in enumerate(best):
-            s, n = np.concatenate([s, near[i]]), np.concatenate([n, own])
-            order = np.lexsort((n, -s))[:k]
-            best[i] = s[order], n[order]
-    rows = [(q, n, s) for q, (ss, nn) in zip(ids, best, strict=True) for s, n in zip(ss, nn, strict=True)]
-    if rows:
-        q, n, s = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "cosine"])
+        for s in range(0, batch.num_rows, size):
+            part = batch.slice(s, size)
+            vectors = part.column(1)
+            if isinstance(vectors, pa.ChunkedArray):
+                vectors = vectors.combine_chunks()
+            lengths = np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))
+            if len(lengths) > 1 or vectors.flatten().null_count:
+                raise ValueError(f"{name}: vectors of unlike lengths or with missing numbers: {lengths.tolist()}")
+            m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([int(lengths[0])], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["ids", "dimensions", "numbers"])
+
+
+def _nearest(batches, k: int):
+    """Pairs of a block of rows and one of queries: each query's k nearest, by one matrix product."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            own, width, numbers, queries, query_width, asked = (c[r].as_py() for c in batch.columns)
+            if width != query_width:
+                raise ValueError(f"vectors have {width} numbers, queries {query_width}")
+            m, q = (np.frombuffer(x, np.float32).astype(np.float64).reshape(-1, width) for x in (numbers, asked))
+            scale = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1))
+            near = np.divide(q @ m.T, scale, out=np.zeros_like(scale), where=scale > 0)
+            ids = np.array(own)
+            order = np.array([np.lexsort((ids, -x))[:k] for x in near])
+            n = order.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(queries), n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())], names=["query_id", "id", "cosine"])
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", column: str = "embedding") -> DataFrame:
     """(query_id, id, cosine, score, rank) for every query (query_id, embedding).
 
-    The queries go to the tasks in blocks of QUERY_BLOCK; each task keeps k hits a query, so that only
-    tasks times k rows a query are shuffled.
+    Rows and queries are put into blocks, every block of queries meets every block of rows, and each
+    meeting yields k hits a query; nothing passes the driver.  Rows and queries without a vector have
+    no hits; vectors of unlike lengths are an error.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
-    parts, ids, block = [], [], []
-
-    def scan():
-        i, m = np.array(ids), np.array(block, np.float64)
-        parts.append(rows.mapInArrow(lambda b, i=i, m=m: _block_scan(b, i, m, k), "query_id long, id long, cosine double"))
-        ids.clear()
-        block.clear()
-
-    for r in queries.select(F.col("query_id").cast("long"), "embedding").toLocalIterator():
-        ids.append(r[0])
-        block.append(list(r[1]))
-        if len(ids) == QUERY_BLOCK:
-            scan()
-    if ids or not parts:
-        if not ids:
-            return rows.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("cosine"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-        scan()
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    schema = "ids array<long>, dimensions int, numbers binary"
+    rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
+    asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
+    rows = rows.mapInArrow(lambda batches: _blocks(batches, ROW_BLOCK, "rows"), schema)
+    # few partitions, or there would be many small blocks
+    asked = asked.coalesce(8).mapInArrow(lambda batches: _blocks(batches, QUERY_BLOCK, "queries"), schema).toDF("query_ids", "query_dimensions", "query_numbers")
+    # a stated set of queries against all rows, block by block
+    every = rows.crossJoin(asked).mapInArrow(lambda batches: _nearest(batches, k), "query_id long, id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", V.score(F.col("cosine")))
 

@@ -458,10 +458,45 @@ def _dbt_texts(spark, sf):
     return table(spark, sf, "pages").select(F.col("html").alias("t")).union(spark.createDataFrame([(t,) for t in own], "t string"))
 
 
-@query("code_definitions")
+_PY = "'# ' || lang || chr(10) || 'def fn_' || doc_id || '(a: int) -> str:' || chr(10) || '    \"\"\"About ' || source || '.\"\"\"' || chr(10) || '    return \"' || source || '\"' || chr(10) || chr(10) || chr(10) || 'class C_' || doc_id || ':' || chr(10) || '    def m(self):' || chr(10) || '        pass' || chr(10)"
+_RS = "'/// About ' || source || '.' || chr(10) || 'pub fn fn_' || doc_id || '(a: u32) -> u32 {' || chr(10) || '    a' || chr(10) || '}' || chr(10) || chr(10) || 'struct S_' || doc_id || ' {' || chr(10) || '    x: i32,' || chr(10) || '}' || chr(10)"
+
+
+def _definition_sql(ext: str, start: int, end: int, kind: str, name: str, signature: str, docstring: str, context: str, content: str) -> str:
+    return f"SELECT 'd/' || doc_id || '.{ext}' AS path, {start} AS start_line, {end} AS end_line, '{kind}' AS kind, {name} AS name, {signature} AS signature, {docstring} AS docstring, ['File: d/' || doc_id || '.{ext}', {context}] AS context, {content} AS content FROM documents"
+
+
+_DEFINITIONS = [
+    ("py", 1, 4, "Function", "'fn_' || doc_id", "'def fn_' || doc_id || '(a: int) -> str'", "'\"\"\"About ' || source || '.\"\"\"'", "'Function: fn_' || doc_id", "'def fn_' || doc_id || '(a: int) -> str:' || chr(10) || '    \"\"\"About ' || source || '.\"\"\"' || chr(10) || '    return \"' || source || '\"'"),
+    ("py", 6, 9, "Class", "'C_' || doc_id", "'class C_' || doc_id", "NULL", "'Class: C_' || doc_id", "'class C_' || doc_id || ':' || chr(10) || '    def m(self):' || chr(10) || '        pass'"),
+    ("py", 7, 9, "Method", "'m'", "'def m(self)'", "NULL", "'Class: C_' || doc_id, 'Method: m'", "'    def m(self):' || chr(10) || '        pass'"),
+    ("rs", 1, 4, "Function", "'fn_' || doc_id", "'fn fn_' || doc_id || '(a: u32) -> u32'", "'/// About ' || source || '.'", "'Function: fn_' || doc_id", "'pub fn fn_' || doc_id || '(a: u32) -> u32 {' || chr(10) || '    a' || chr(10) || '}'"),
+    ("rs", 5, 8, "Struct", "'S_' || doc_id", "'struct S_' || doc_id", "NULL", "'Struct: S_' || doc_id", "'struct S_' || doc_id || ' {' || chr(10) || '    x: i32,' || chr(10) || '}'"),
+]
+
+
+@query("code_definitions", " UNION ALL ".join(_definition_sql(*d) for d in _DEFINITIONS))
 def code_definitions(spark, sf):
-    """Definitions of a few sample sources, one for each extractor."""
-    return extractors.definitions(spark.createDataFrame(extractors.SAMPLES, "path string, language string, content string"))
+    """The definitions of two sources made from each document's row."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    files = [d.select(F.expr(f"'d/' || doc_id || '.{ext}'").alias("path"), F.lit(language).alias("language"), F.expr(text.replace("chr(10)", "'\\n'")).alias("content")) for ext, language, text in (("py", "Python", _PY), ("rs", "Rust", _RS))]
+    return extractors.definitions(files[0].unionByName(files[1]))
+
+
+@query("is_indexable", f"SELECT path, language <> 'Unknown' AS indexable FROM ({_SQL['language_map']})")
+def is_indexable(spark, sf):
+    return _paths(spark, sf).select("path", L.is_indexable(L.language(F.col("path"))).alias("indexable"))
+
+
+@query("file_chunks", "SELECT doc_id AS chunk_id, source AS path, n_chars AS start_line, 1.0::DOUBLE AS score FROM documents WHERE source = 'src1'")
+def file_chunks(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("./"), "source").alias("path"), F.col("n_chars").alias("start_line"))
+    return ranking.file_chunks(d, "./src1").withColumn("path", ranking.normal_path("path"))
+
+
+@query("ids_by_path", "SELECT source AS path, list(doc_id ORDER BY doc_id) AS chunk_ids, count(*)::INT AS chunk_count FROM documents GROUP BY source")
+def ids_by_path(spark, sf):
+    return changes.ids_by_path(table(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("chunk_id")))
 
 
 # ---- changes

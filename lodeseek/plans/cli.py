@@ -9,7 +9,7 @@ import sys
 from .. import config as C
 from ..operators import embedding, ranking
 from .index import Index, as_json, search
-from .service import Registry, serve
+from .service import Registry, databases, serve
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--dry-run", action="store_true")
     one = sub.add_parser("search")
     one.add_argument("query")
-    one.add_argument("--db", action="append", required=True)
+    one.add_argument("--db", action="append", help="else those of the current directory, local and global")
     one.add_argument("-m", "--max-results", type=int, default=10)
     one.add_argument("--per-file", type=int, default=0)
     one.add_argument("--path")
@@ -79,7 +79,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         else:
             registry.save(a.path, index.root)
     elif a.command == "search":
-        indexes = {f"db{k}" if k else "local": at(db) for k, db in enumerate(a.db)}
+        found = {f"db{k}" if k else "local": db for k, db in enumerate(a.db)} if a.db else databases(".")
+        if not found:
+            raise SystemExit("no database here; index first, or name one with --db")
+        indexes = {name: at(db) for name, db in found.items()}
         if a.sync:
             next(iter(indexes.values())).index(a.sync)
         rows = search(indexes, a.query, a.max_results, "vector" if a.vector_only else "hybrid", a.rrf_k, a.rerank, a.rerank_top, a.path, per_file=0 if a.json or a.compact else a.per_file)

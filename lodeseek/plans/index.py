@@ -65,9 +65,11 @@ class Index:
         out = self._fs.create(spare)
         out.write(bytearray(text.encode()))
         out.close()
-        target = self._fs_path(f"{self.root}/{name}")
-        self._fs.delete(target, False)
-        self._fs.rename(spare, target)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        target = self._fs.makeQualified(self._fs_path(f"{self.root}/{name}"))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(self._fs.makeQualified(spare), target, how)
 
     @property
     def version(self) -> str | None:
@@ -88,7 +90,7 @@ class Index:
         own = self.spark.read.parquet(f"{at}/chunks")
         self._postings_source(own).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
         fts.lengths(self._literal_text(own), "chunk_id", FIELDS).write.parquet(f"{at}/lengths")
-        ids = own.groupBy("path").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"), F.count("*").cast("int").alias("chunk_count"))  # one file's
+        ids = changes.ids_by_path(own)
         files.select("path", F.col("content_hash").alias("hash"), "mtime", "size").join(ids, "path", "left").write.parquet(f"{at}/files")
         self._write_text("metadata.json", json.dumps({"model_name": self.model, "dimensions": self.embedder.dimensions, "version": 1, "last_full_index": int(time.time())}))
         self._write_text("CURRENT", version)
@@ -106,6 +108,8 @@ class Index:
         stored = self.metadata() if self.version else None
         if stored and not full and stored["dimensions"] != self.embedder.dimensions:
             raise ValueError(f"the index has {stored['dimensions']} dimensions ({stored['model_name']}), not {self.embedder.dimensions}; index in full")
+        # another model's vectors cannot stand beside the stored ones, even of equal length
+        full = full or bool(stored and stored["model_name"] != self.model)
         files = S.readable(S.walk(self.spark, source))
         if self.version is None or full:
             if dry_run:
@@ -130,10 +134,24 @@ class Index:
         fresh = self._fresh(files.join(redo, "path", "left_semi"), 0 if top is None else top + 1)
         self._commit(changes.without(old, gone, "path").unionByName(fresh), files)
 
-    def delete_files(self, paths: DataFrame) -> None:
-        """Removes the files of a table of paths."""
+    def delete_files(self, paths: DataFrame) -> DataFrame:
+        """Removes the files of a table of paths; returns the ids of the chunks that went (chunk_id)."""
+        gone = self.read("chunks").join(paths.select("path").distinct(), "path", "left_semi").select("chunk_id")
         kept = self.read("files").select("path", F.col("hash").alias("content_hash"), "mtime", "size")
         self._commit(changes.without(self.read("chunks"), paths, "path"), changes.without(kept, paths, "path"))
+        return gone
+
+    def size(self) -> dict:
+        """Bytes of the current version's files, and bytes a chunk."""
+        version, chunks = self.version, self.read("chunks")
+        if version is None:
+            return {"bytes": 0, "bytes_per_chunk": 0.0}
+        total = self._fs.getContentSummary(self._fs_path(f"{self.root}/{version}")).getLength()
+        return {"bytes": total, "bytes_per_chunk": total / max(1, chunks.count())}
+
+    def has_keywords(self) -> bool:
+        """Whether the version has its full text; without it a search is by vectors alone."""
+        return all(self._fs.exists(self._fs_path(f"{self.root}/{self.version}/{name}")) for name in ("postings", "lengths"))
 
     def clear(self) -> None:
         self._fs.delete(self._fs_path(self.root), True)
@@ -192,9 +210,10 @@ def search(
         chunks = index.read("chunks")
         if chunks is None:
             continue
+        hybrid = mode == "hybrid" and index.has_keywords()
         limit = RETRIEVE if mode == "hybrid" else max_results
         near = ranking.ranked(index.vector_hits(query, limit), "vector_rank", limit)
-        if mode == "hybrid":
+        if hybrid:
             fused = ranking.weighted_rrf(near, ranking.ranked(index.keyword_hits(query, limit), "keyword_rank", limit), alpha, rrf_k)
         else:
             fused = ranking.vector_only(near)

@@ -106,3 +106,17 @@ def serve(indexes: dict[str, Index], port: int = 0) -> ThreadingHTTPServer:
             pass
 
     return ThreadingHTTPServer(("127.0.0.1", port), Handler)
+
+
+#: Name of a database within a tree, and the place of databases outside of trees.
+LOCAL_NAME, GLOBAL_STORES = ".lodeseek.db", "~/.lodeseek/stores"
+
+
+def databases(root: str) -> dict[str, str]:
+    """The places of a tree's databases that exist: the local one, then the global one."""
+    import hashlib
+    import os
+
+    root = os.path.realpath(root)
+    places = {"local": os.path.join(root, LOCAL_NAME), "global": os.path.join(os.path.expanduser(GLOBAL_STORES), hashlib.sha256(root.encode()).hexdigest())}
+    return {name: place for name, place in places.items() if os.path.isdir(place)}

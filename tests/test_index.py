@@ -115,3 +115,25 @@ def test_registry_and_cli(spark, root, monkeypatch, capsys):
     assert cli.main(["doctor"]) == 0
     with pytest.raises(SystemExit):
         cli.main(["search"])
+
+
+def test_pointer_size_and_search_without_full_text(spark, root):
+    tree, index = str(root / "tree"), Index(spark, str(root / "db2"), embedding.HashingArrowEmbedder(64))
+    index.index(tree)
+    first = index.version
+    gone = index.delete_files(spark.createDataFrame([(f"file:{tree}/docs/guide.md",), (f"{tree}/docs/guide.md",)], "path string"))
+    assert gone.count() == 1 and index.version != first
+    assert index.size()["bytes"] > 0 and index.size()["bytes_per_chunk"] > 0
+    import shutil
+
+    shutil.rmtree(f"{root}/db2/{index.version}/postings")
+    assert not index.has_keywords()
+    assert search({"local": index}, "save rows", 3).count() == 3
+
+
+def test_databases_of_a_tree(tmp_path, monkeypatch):
+    monkeypatch.setattr(service, "GLOBAL_STORES", str(tmp_path / "stores"))
+    tree = tmp_path / "tree"
+    assert service.databases(str(tree)) == {}
+    (tree / service.LOCAL_NAME).mkdir(parents=True)
+    assert list(service.databases(str(tree))) == ["local"]

@@ -1,3 +1,4 @@
+import urllib.error
 import os
 
 import pytest
@@ -87,6 +88,29 @@ def test_vectors(spark):
     batch = sorted((r.query_id, r["rank"], r.id) for r in vector_search.batch_top_k(d, q, 2).collect())
     assert batch == [(7, 1, 1), (7, 2, 0), (8, 1, 2), (8, 2, 3)]
     assert vector_search.batch_top_k(d, q.limit(0), 2).collect() == []
+    assert vector_search.batch_top_k(d.limit(0), q, 2).collect() == []
+    # rows without a vector have no hits; vectors of unlike lengths are no vectors of another length
+    holes = d.unionByName(spark.createDataFrame([(20, None)], d.schema))
+    assert sorted((r.query_id, r["rank"], r.id) for r in vector_search.batch_top_k(holes, q, 2).collect()) == batch
+    for odd in ([(1, [1.0, 2.0, 3.0]), (2, [1.0] * 5)], [(1, [1.0, None, 0.0, 0.0])], [(1, [1.0] * 3)]):
+        with pytest.raises(Exception, match="unlike lengths|missing numbers|numbers, queries"):
+            vector_search.batch_top_k(spark.createDataFrame(odd, d.schema).coalesce(1), q, 2).collect()
+
+
+def test_batch_top_k_over_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    m, q = rng.normal(size=(300, 8)).astype(np.float32), rng.normal(size=(40, 8)).astype(np.float32)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector_search, "ROW_BLOCK", 33)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<float>").repartition(3)
+    near = (q @ m.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1))
+    got = {}
+    for r in vector_search.batch_top_k(rows, asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {i: np.argsort(-near[i])[:5].tolist() for i in range(40)}
 
 
 def test_approximate_recall(spark):
@@ -138,12 +162,24 @@ def test_http_embedder_cuts_long_texts():
     def opener(request):
         seen.append(len(request.data))
         if len(seen) < 3:
-            raise OSError("too long")
+            raise urllib.error.HTTPError("u", 500, "error", None, io.BytesIO(b"the input exceeds the context length"))
         return io.BytesIO(b'{"embedding": [1.0, 2.0]}')
 
     assert embedding.HttpEmbedder(context=100).fetch("y" * 5000, opener) == [1.0, 2.0]
     assert seen[0] > seen[1] > seen[2]
 
+    # a lost connection or another refusal cuts nothing
+    for failure in (ConnectionRefusedError(), TimeoutError(), urllib.error.HTTPError("u", 500, "error", None, io.BytesIO(b"out of memory"))):
+        tries = []
+
+        def fails(request, failure=failure, tries=tries):
+            tries.append(request)
+            raise failure
+
+        with pytest.raises(OSError):
+            embedding.HttpEmbedder(context=100).fetch("y" * 5000, fails)
+        assert len(tries) == 1
+
 
 def test_cached_embeddings(spark):
     s = "chunk_id long, context array<string>, signature string, docstring string, content string, hash string"
