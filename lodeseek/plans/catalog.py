@@ -106,7 +106,7 @@ def fts_doc_len(spark, sf):
 
 @query("fts_postings", f"SELECT field, term, id, count(*) AS tf FROM ({_DOC_TOKENS}) GROUP BY ALL")
 def fts_postings(spark, sf):
-    return fts.postings(table(spark, sf, "documents"), "doc_id", {"text": "text"}).select("field", "term", "id", "tf")
+    return fts.all_postings(table(spark, sf, "documents"), "doc_id", {"text": "text"}).select("field", "term", "id", "tf")
 
 
 def bm25_sql(source: str, id_col: str, fields: dict[str, str], terms: list[str]) -> str:

@@ -100,7 +100,7 @@ class Index:
         return chunks.withColumn("literals", F.array_join("string_literals", " "))
 
     def _postings_source(self, chunks: DataFrame) -> DataFrame:
-        return fts.postings(self._literal_text(chunks), "chunk_id", FIELDS)
+        return fts.all_postings(self._literal_text(chunks), "chunk_id", FIELDS)
 
     # -- writing
     def index(self, source: str, full: bool = False, dry_run: bool = False) -> DataFrame | None:

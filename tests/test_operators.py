@@ -216,3 +216,10 @@ def test_statistics(spark):
     answers = spark.createDataFrame([("q", "a", "src/a.rs", 0.9, False), ("r", "b", "x", 0.5, False), ("n", "", "y", 0.4, True)], "query string, expected string, found string, score double, is_negative boolean")
     assert stats.retrieval_eval(answers).first().asDict() == {"accuracy": 0.5, "avg_score": 0.7, "false_positive_score": 0.4}
     assert os.environ["PYARROW_IGNORE_TIMEZONE"] == "1"
+
+
+def test_postings_with_and_without_a_shuffle(spark):
+    rows = [(1, "b a B c a", "x y"), (2, None, "x"), (3, "", ""), (4, "é日本 7 " + "z" * 50, None), (5, " ".join(f"w{i % 9}" for i in range(300)), "w1 w1")]
+    d = spark.createDataFrame(rows, "id long, text string, path string")
+    both = [sorted((r.field, r.term, r.id, r.tf, tuple(r.positions)) for r in f(d, "id", {"text": "text", "path": "path"}).collect()) for f in (fts.postings, fts.all_postings)]
+    assert both[0] == both[1] and len(both[0]) > 15
