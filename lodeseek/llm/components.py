@@ -53,8 +53,11 @@ def connected(links: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFra
     n = pairs.count()
     while n > links_per_task:
         tasks = -(-n // links_per_task)
-        # by link, not by end: the links of a giant component are spread too
-        local = pairs.repartition(tasks, F.xxhash64("node", "root")).mapInArrow(_contracted, ROOTS).where("node <> root")
+        # links of one least end meet in a task, but no more of them than a task takes
+        ends = pairs.withColumn("end", F.least("node", "root"))
+        large_ends = ends.groupBy("end").agg(F.ceil(F.count("*") / links_per_task).alias("pieces")).where("pieces > 1")
+        salted = ends.join(large_ends, "end", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("node", "root"), F.col("pieces")), F.lit(0)))
+        local = salted.repartition(tasks, "end", "piece").select("node", "root").mapInArrow(_contracted, ROOTS).where("node <> root")
         both = local.unionByName(local.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("m"))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()
