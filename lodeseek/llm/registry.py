@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, decontaminate, host_quality, lm_trie, ngram_join, packing, pii_boosting, secret_forest, toxicity, warc_fixity
+from . import centroid_search, chat_rotation, curriculum, decontaminate, host_quality, lm_trie, ngram_join, packing, pii_boosting, secret_forest, toxicity, vector_codes, warc_fixity
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_warc_fixity": warc_fixity.op8_warc_fixity,
         "op9_host_quality": host_quality.op9_host_quality,
         "op10_pii_boosting": pii_boosting.op10_pii_boosting,
+        "op11_centroid_search": centroid_search.op11_centroid_search,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_curriculum_mix": curriculum.op13_curriculum_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_rotation": chat_rotation.SQL, "op8_warc_fixity": warc_fixity.SQL, "op9_host_quality": host_quality.SQL}
+    return {
+        "op5_chat_rotation": chat_rotation.SQL,
+        "op8_warc_fixity": warc_fixity.SQL,
+        "op9_host_quality": host_quality.SQL,
+        "op11_centroid_search": centroid_search.SQL,
+        "op12_vector_codes": vector_codes.SQL,
+        "op13_curriculum_mix": curriculum.SQL,
+    }
