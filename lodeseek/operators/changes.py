@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import with_running_sum
+
 
 def change_detect(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, status, old_hash, new_hash): new, deleted, changed or unchanged.
@@ -55,3 +57,19 @@ def event_dedupe(events: DataFrame, key: str, order: list[str], last: bool = Fal
 def ids_by_path(chunks: DataFrame) -> DataFrame:
     """(path, chunk_ids, chunk_count) of each file; a list holds one file's chunks."""
     return chunks.groupBy("path").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"), F.count("*").cast("int").alias("chunk_count"))
+
+
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key, by a partial aggregation."""
+    names = rows.columns
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("_r")).select(*(F.col(f"_r.{n}").alias(n) for n in names))
+
+
+def within_budget(rows: DataFrame, used: str, weight: str, key: str, budget: int) -> DataFrame:
+    """The rows that stay when the least recently used go, one after another, until the weights of the
+    others sum to ``budget`` at most; of rows used at one time the lower keys stay.
+
+    Sums run over ranges of the order; no task sees all rows.
+    """
+    d = with_running_sum(rows, [F.desc_nulls_last(used), F.col(key)], weight, "_before")
+    return d.where(F.col("_before") + F.coalesce(F.col(weight).cast("long"), F.lit(0)) <= budget).drop("_before")

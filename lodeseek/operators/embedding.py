@@ -8,14 +8,14 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
 from .changes import cache_split
+from .running import with_running_sum
 
 # Short name, full name, dimensions, quantised.
 MODELS = [
@@ -37,8 +37,7 @@ MODELS = [
     ("modernbert-large", "lightonai/modernbert-embed-large", 1024, False),
 ]
 DEFAULT_MODEL = "minilm-l6-q"
-MINI_BATCH = 32
-PROVIDERS = ["TensorRT", "CUDA", "CoreML", "DirectML", "CPU"]
+# Names of backends.
 BACKENDS = {"fastembed": "onnx", "onnx": "onnx", "local": "onnx", "ollama": "http", "hashing": "hashing"}
 
 
@@ -66,27 +65,52 @@ def token_budget(dimensions: int, batch_size: int | None = None) -> int:
     return max(1000, min(50_000, math.trunc(10_000 * 384 / dimensions)))
 
 
+def token_budgets(dimensions: Column) -> Column:
+    """``token_budget`` of vector lengths without an environment or a batch size."""
+    return F.greatest(F.lit(1000), F.least(F.lit(50_000), F.floor(F.lit(10_000 * 384) / dimensions))).cast("long")
+
+
+def batch_runs(counts: list[tuple[int, int]], budget: int) -> list[tuple[int, int, int, int, int]]:
+    """(tokens, first, open, size, batch) of each run of texts of equal tokens, in ascending order.
+
+    first: texts before the run; open: texts of the run that still go to the batch begun before it;
+    size: texts of each further batch; batch: the number of the batch begun before it.  A batch takes a
+    text while the text's tokens times the batch's texts, itself included, stay within the budget.
+    """
+    out, first, batch, held = [], 0, 0, 0
+    for tokens, n in counts:
+        size = max(1, budget // tokens) if tokens else first + n + held + 1
+        left = min(n, max(0, size - held) if held else size)
+        out.append((tokens, first, left, size, batch))
+        if n > left:
+            batch, held = batch - (-(n - left) // size), (n - left - 1) % size + 1
+        else:
+            held += n
+        first += n
+    return out
+
+
 def budget_batches(rows: DataFrame, text: str, budget: int, order: str) -> DataFrame:
-    """Adds partition and batch: texts by length, each batch as long as its longest text times its
-    number stays within the budget.  Greedy within a partition, which no batch leaves."""
-    d = rows.withColumn("_t", T.estimate_tokens(F.col(text))).sortWithinPartitions(F.octet_length(text), order)
-    schema = StructType([*d.schema.fields, StructField("batch", LongType())])
-
-    def cut(batches):
-        import pyarrow as pa
-
-        n, k = 0, 0
-        for b in batches:
-            at = b.schema.get_field_index("_t")
-            out = []
-            for t in b.column(at).to_pylist():
-                if n and (t or 0) * (n + 1) > budget:
-                    n, k = 0, k + 1
-                n += 1
-                out.append(k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "batch"])
-
-    return d.mapInArrow(cut, schema).drop("_t")
+    """Adds batch: texts by length, each batch as long as its longest text times its number stays
+    within the budget, greedily over all rows.
+
+    Texts of one token count fill batches of one size, so the breaks follow from how many texts have
+    each count; counts above half the budget stand alone and need none.  The driver sees budget / 2
+    counts at most, and a text finds its batch by its place in the order.  Null texts are empty.
+    """
+    tokens = F.coalesce(T.estimate_tokens(F.col(text)), F.lit(0))
+    most = budget // 2 + 1
+    d = rows.withColumn("_t", F.least(tokens, F.lit(most)))
+    counts = sorted((r._t, r["count"]) for r in d.groupBy("_t").count().collect())  # budget / 2 + 2 rows at most
+    runs = rows.sparkSession.createDataFrame([(t, *x) for t, *x in batch_runs([(t, n) for t, n in counts if t < most], budget)], "_t long, _first long, _open long, _size long, _batch long")
+    alone = sum(n for t, n in counts if t < most)
+    last = max((b + -(-(n - left) // size) for (_, _, left, size, b), (_, n) in zip(batch_runs([c for c in counts if c[0] < most], budget), counts)), default=-1)
+    d = with_running_sum(d.withColumn("_one", F.lit(1)), [F.coalesce(F.octet_length(text), F.lit(0)), order], "_one", "_place")
+    d = d.join(F.broadcast(runs), "_t", "left")  # a row a token count
+    at = F.col("_place") - F.col("_first")
+    within = F.when(at < F.col("_open"), F.col("_batch")).otherwise(F.col("_batch") + 1 + F.floor((at - F.col("_open")) / F.col("_size")))
+    batch = F.when(F.col("_t") < most, within).otherwise(F.lit(last + 1) + F.col("_place") - alone)
+    return d.withColumn("batch", batch.cast("long")).select(*rows.columns, "batch")
 
 
 class Embedder(Protocol):

@@ -32,17 +32,17 @@ def postings(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
 
 
 def all_postings(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """The rows of ``postings`` where ids are unique, made within each document and without a shuffle:
-    its tokens in order of term stand in runs.  For writing; a query's few terms are cheaper to keep
-    from single tokens."""
+    """The rows of ``postings`` where ids are unique, with the field's length ``dl``, made within each
+    document and without a shuffle: its tokens in order of term stand in runs.  For writing; a query's
+    few terms are cheaper to keep from single tokens."""
     each = [F.struct(F.lit(name).alias("field"), T.tokens(F.col(column)).alias("tokens")) for name, column in fields.items()]
     d = df.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("f")).select("id", "f.field", "f.tokens")
     d = d.withColumn("s", F.expr("sort_array(transform(tokens, (t, i) -> named_struct('t', t, 'i', i)))")).drop("tokens")
     d = d.withColumn("starts", F.expr("filter(transform(s, (x, k) -> CASE WHEN k = 0 OR s[k - 1].t <> x.t THEN k END), k -> k IS NOT NULL)"))
     run = "sequence(k, coalesce(get(starts, j + 1), size(s)) - 1)"
     terms = f"transform(starts, (k, j) -> named_struct('term', s[k].t, 'positions', transform({run}, p -> s[p].i)))"
-    d = d.select("id", "field", F.explode(F.expr(terms)).alias("p"))
-    return d.select("field", "p.term", "id", F.size("p.positions").cast("long").alias("tf"), "p.positions")
+    d = d.select("id", "field", F.size("s").cast("long").alias("dl"), F.explode(F.expr(terms)).alias("p"))
+    return d.select("field", "p.term", "id", F.size("p.positions").cast("long").alias("tf"), "p.positions", "dl")
 
 
 def lengths(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
@@ -109,24 +109,28 @@ def _clause(text: str, field: str | None, occur: str) -> Clause | None:
     return Clause(terms, field, occur) if terms else None
 
 
-def matches(post: DataFrame, lens: DataFrame, clauses: list[Clause]) -> DataFrame:
+def matches(post: DataFrame, lens: DataFrame | None, clauses: list[Clause], totals: DataFrame | None = None) -> DataFrame:
     """(id, score): documents that satisfy all clauses, with the sum of what matched.
 
-    A phrase scores as one term whose frequency is its number of occurrences.
+    A phrase scores as one term whose frequency is its number of occurrences.  Lengths come from the
+    postings where these have ``dl``, else from ``lens``; so do the totals, unless they are given.
     """
     spark = post.sparkSession
+    own = ["dl"] if "dl" in post.columns else []
     rows = [(c, t, k) for c, clause in enumerate(clauses) for k, t in enumerate(clause.terms)]
     schema = "clause int, term string, nth int"
     asked = F.broadcast(spark.createDataFrame(rows, schema))  # a query's terms
     what = F.broadcast(spark.createDataFrame([(c, len(x.terms), x.field, x.occur) for c, x in enumerate(clauses)], "clause int, n_terms int, only string, occur string"))
     hits = post.where(F.col("term").isin([r[1] for r in rows])).join(asked, "term").join(what, "clause").where("only IS NULL OR only = field")
     # starts of a phrase: positions less the place of the term, that all its terms have
-    begun = hits.select("clause", "occur", "n_terms", "field", "id", "nth", F.explode(F.transform("positions", lambda p: p - F.col("nth"))).alias("start"))
-    single = hits.where("n_terms = 1").select("clause", "occur", "field", "id", F.col("tf").cast("long").alias("tf"))
-    phrase = begun.where("n_terms > 1").groupBy("clause", "occur", "n_terms", "field", "id", "start").agg(F.count_distinct("nth").alias("have")).where("have = n_terms")
-    found = single.unionByName(phrase.groupBy("clause", "occur", "field", "id").agg(F.count("*").alias("tf")))
+    begun = hits.select("clause", "occur", "n_terms", "field", "id", *own, "nth", F.explode(F.transform("positions", lambda p: p - F.col("nth"))).alias("start"))
+    single = hits.where("n_terms = 1").select("clause", "occur", "field", "id", *own, F.col("tf").cast("long").alias("tf"))
+    phrase = begun.where("n_terms > 1").groupBy("clause", "occur", "n_terms", "field", "id", *own, "start").agg(F.count_distinct("nth").alias("have")).where("have = n_terms")
+    found = single.unionByName(phrase.groupBy("clause", "occur", "field", "id", *own).agg(F.count("*").alias("tf")))
     df = found.groupBy("clause", "field").agg(F.count("*").alias("df"))
-    weighed = found.join(F.broadcast(df), ["clause", "field"]).join(lens, ["id", "field"]).join(F.broadcast(corpus_stats(lens)), "field")
+    weighed = found.join(F.broadcast(df), ["clause", "field"])  # a row a clause and field
+    weighed = weighed if own else weighed.join(lens, ["id", "field"])
+    weighed = weighed.join(F.broadcast(corpus_stats(lens) if totals is None else totals), "field")  # a row a field
     weighed = weighed.withColumn("s", idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl")))
     must = sum(c.occur == "must" for c in clauses)
     per = weighed.groupBy("id").agg(

@@ -90,3 +90,23 @@ def file_chunks(chunks: DataFrame, path: str) -> DataFrame:
     while path.startswith("./"):
         path = path[2:]
     return chunks.where(normal_path("path") == path).withColumn("score", F.lit(1.0)).orderBy("start_line", "chunk_id")
+
+
+def with_original(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """Adds the first row (its ``order``) with the same key, null for that row itself.
+
+    First rows are found by a partial aggregation; the join back is one that Spark can split where a key
+    has many rows.
+    """
+    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
+    d = rows.join(first, key, "left")
+    return d.withColumn(name, F.when(F.col("_first") != F.col(order), F.col("_first"))).drop("_first")
+
+
+def hydrated(top: DataFrame, rows: DataFrame, defaults: dict[str, str], key: str = "id") -> DataFrame:
+    """Ranked rows with what is shown of them; rows that are not there any more keep their rank, with
+    ``defaults``.  For a list whose length a limit bounds: it is broadcast, the rows are not shuffled."""
+    keys = top.select(key)
+    found = rows.join(F.broadcast(keys), key, "left_semi")
+    d = top.join(found, key, "left")
+    return d.select(*(F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in d.columns))

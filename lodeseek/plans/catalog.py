@@ -29,10 +29,14 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import catalog_stored  # noqa: F401  registers its queries here
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_stored  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -255,7 +259,7 @@ def compact_paths(spark, sf):
 
 # ---- query classes
 
-_TEXTS = "SELECT text AS q FROM benchmark UNION ALL SELECT text FROM conversations UNION ALL SELECT url FROM pages UNION ALL SELECT source || ' ' || lang FROM documents UNION ALL SELECT string_split(text, ' ')[1] FROM documents"
+_TEXTS = "SELECT text AS q FROM benchmark UNION ALL SELECT text FROM conversations UNION ALL SELECT url FROM pages UNION ALL SELECT source || ' ' || lang FROM documents UNION ALL SELECT text FROM documents"
 _MARKS = ", ".join(f"'{w}'" for w in T.QUESTION_WORDS)
 _KIND = rf"""CASE WHEN len(w) = 1 THEN 'Keyword' WHEN list_has_any(list_transform(w, lambda x: lower(x)), [{_MARKS}]) THEN 'Semantic'
   WHEN contains(q, '::') OR contains(q, '()') OR contains(q, '->') OR contains(q, '=>') THEN 'Keyword' WHEN contains(q, '<') AND contains(q, '>') THEN 'Keyword'
@@ -266,7 +270,7 @@ _CLASSED = rf"SELECT q, {_KIND} AS kind FROM (SELECT q, regexp_extract_all(q, '[
 
 def _query_texts(spark, sf):
     t = lambda n: table(spark, sf, n)
-    parts = [t("benchmark").select(F.col("text").alias("q")), t("conversations").select("text"), t("pages").select("url"), t("documents").select(F.concat_ws(" ", "source", "lang")), t("documents").select(F.split("text", " ")[0])]
+    parts = [t("benchmark").select(F.col("text").alias("q")), t("conversations").select("text"), t("pages").select("url"), t("documents").select(F.concat_ws(" ", "source", "lang")), t("documents").select("text")]
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
@@ -384,15 +388,34 @@ def token_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.estimate_tokens("text").alias("tokens"))
 
 
-@query("token_budget", "SELECT short, dimensions, greatest(1000, least(50000, trunc(10000 * 384 / dimensions)))::BIGINT AS budget FROM (VALUES " + ", ".join(f"('{m[0]}', {m[2]})" for m in embedding.MODELS) + ") AS t(short, dimensions)")
+_BUDGET = "greatest(1000, least(50000, trunc(10000 * 384 / dimensions)))::BIGINT"
+_MODELS = ", ".join(f"('{m[0]}', {m[2]})" for m in embedding.MODELS)
+
+
+@query(
+    "token_budget",
+    f"""SELECT short, dimensions, {_BUDGET} AS budget, sum(vectors)::BIGINT AS vectors FROM (
+      SELECT short, coalesce(wide, own)::INT AS dimensions, vectors FROM (SELECT len(embedding) AS own, count(*) AS vectors FROM embeddings WHERE len(embedding) > 0 GROUP BY own),
+        (SELECT '' AS short, NULL AS wide UNION ALL SELECT * FROM (VALUES {_MODELS}) AS m(short, wide))) GROUP BY short, dimensions""",
+)
 def token_budget(spark, sf):
-    return spark.createDataFrame([(m[0], m[2], embedding.token_budget(m[2])) for m in embedding.MODELS], "short string, dimensions int, budget long")
+    """The budget of the table's own vector lengths, and of each model if it embedded the table."""
+    own = table(spark, sf, "embeddings").where("size(embedding) > 0").groupBy(F.size("embedding").alias("own")).agg(F.count("*").alias("vectors"))
+    models = F.explode(F.array(*(F.struct(F.lit(s).alias("short"), F.lit(w).cast("int").alias("wide")) for s, w in [("", None), *((m[0], m[2]) for m in embedding.MODELS)])))
+    d = own.select("own", "vectors", models.alias("m")).select("m.short", F.coalesce("m.wide", "own").alias("dimensions"), "vectors")
+    return d.groupBy("short", "dimensions").agg(F.sum("vectors").alias("vectors")).withColumn("budget", embedding.token_budgets(F.col("dimensions")))
 
 
-@query("token_batches")
+@query(
+    "token_batches",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, ceil(strlen(text) / 4)::BIGINT AS t, row_number() OVER (ORDER BY strlen(text), doc_id) AS k FROM documents),
+    g AS (SELECT doc_id, k, 1 AS n, 0::BIGINT AS batch FROM d WHERE k = 1 UNION ALL
+      SELECT d.doc_id, d.k, CASE WHEN d.t * (g.n + 1) > {embedding.token_budget(384)} THEN 1 ELSE g.n + 1 END, g.batch + (d.t * (g.n + 1) > {embedding.token_budget(384)})::INT FROM g JOIN d ON d.k = g.k + 1)
+    SELECT doc_id, batch FROM g""",
+)
 def token_batches(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return embedding.budget_batches(d, "text", embedding.token_budget(384), "doc_id").select("doc_id", F.spark_partition_id().alias("part"), "batch")
+    return embedding.budget_batches(d, "text", embedding.token_budget(384), "doc_id").select("doc_id", "batch")
 
 
 @query("snippets", f"SELECT doc_id, CASE WHEN length(s) > 100 THEN left(s, 100) || '...' ELSE s END AS snippet, CASE WHEN strlen(text) > 200 THEN left(text, 200) || '...' ELSE text END AS content FROM (SELECT doc_id, text, array_to_string(({_LINES.format(c='text')})[1:3], ' ') AS s FROM documents)")
@@ -440,7 +463,8 @@ def binary_ext(spark, sf):
     return _paths(spark, sf).select("path", L.binary_by_extension(F.col("path")).alias("is_binary"))
 
 
-_DBT_TEXTS = """SELECT html AS t FROM pages UNION ALL SELECT * FROM (VALUES ('select * from {{ ref(''a'') }} join {{ ref( "b" ) }}'), ('{% macro x() %}'), ('{{ x }}'), ('{{ config (m) }}'), ('ref(a)'), ('{{source(''s'', ''t'')}}')) AS v(t)"""
+_DBT_OWN = ["select * from {{ ref('a') }} join {{ ref( \"b\" ) }}", "{% macro x() %}", "{{ x }}", "{{ config (m) }}", "ref(a)", "{{source('s', 't')}}", "{{- ref('p', 'm_2') -}} {{ ref('v', v=2) }} {{ ref(x) }}"]
+_DBT_TEXTS = "SELECT html AS t FROM pages UNION ALL SELECT html || x FROM pages, (VALUES " + ", ".join("('" + t.replace("'", "''") + "')" for t in _DBT_OWN) + ") AS v(x)"
 
 
 @query("dbt_detect", f"SELECT t, (contains(t, '{{%') AND contains(t, '%}}')) OR (contains(t, '{{{{') AND contains(t, '}}}}') AND regexp_matches(t, '(ref|source|config) ?\\(')) AS dbt FROM ({_DBT_TEXTS})")
@@ -448,14 +472,23 @@ def dbt_detect(spark, sf):
     return _dbt_texts(spark, sf).select("t", L.is_dbt(F.col("t")).alias("dbt"))
 
 
-@query("dbt_refs", rf"""SELECT t, regexp_extract_all(t, '\{{\{{\s*ref\s*\(\s*[''"]([\w_]+)[''"]\s*\)\s*\}}\}}', 1) AS refs FROM ({_DBT_TEXTS})""")
+_QUOTES = r"""'''"'"""
+# taken apart at braces, brackets and commas
+_DBT_CALLS = r"list_transform(list_filter(string_split(t, '{{'), lambda x: regexp_matches(x, '^-?\s*ref\s*\([^)]*\)[^{}]*\}\}')), lambda x: string_split(string_split(x, '(')[2], ')')[1])"
+
+
+@query(
+    "dbt_refs",
+    f"""SELECT t, list_filter(list_transform(calls, lambda c: list_transform(list_filter(string_split(c, ','), lambda a: NOT contains(a, '=') AND regexp_matches(a, '[''"]')), lambda a: trim(trim(a), {_QUOTES}))[-1]), lambda x: x IS NOT NULL) AS refs
+    FROM (SELECT t, {_DBT_CALLS} AS calls FROM ({_DBT_TEXTS}))""",
+)
 def dbt_refs(spark, sf):
     return _dbt_texts(spark, sf).select("t", extractors.dbt_refs(F.col("t")).alias("refs"))
 
 
 def _dbt_texts(spark, sf):
-    own = ["select * from {{ ref('a') }} join {{ ref( \"b\" ) }}", "{% macro x() %}", "{{ x }}", "{{ config (m) }}", "ref(a)", "{{source('s', 't')}}"]
-    return table(spark, sf, "pages").select(F.col("html").alias("t")).union(spark.createDataFrame([(t,) for t in own], "t string"))
+    p = table(spark, sf, "pages")
+    return p.select(F.col("html").alias("t")).union(p.select("html", F.explode(F.array(*map(F.lit, _DBT_OWN))).alias("x")).select(F.concat("html", "x")))
 
 
 _PY = "'# ' || lang || chr(10) || 'def fn_' || doc_id || '(a: int) -> str:' || chr(10) || '    \"\"\"About ' || source || '.\"\"\"' || chr(10) || '    return \"' || source || '\"' || chr(10) || chr(10) || chr(10) || 'class C_' || doc_id || ':' || chr(10) || '    def m(self):' || chr(10) || '        pass' || chr(10)"
@@ -494,9 +527,10 @@ def file_chunks(spark, sf):
     return ranking.file_chunks(d, "./src1").withColumn("path", ranking.normal_path("path"))
 
 
-@query("ids_by_path", "SELECT source AS path, list(doc_id ORDER BY doc_id) AS chunk_ids, count(*)::INT AS chunk_count FROM documents GROUP BY source")
+@query("ids_by_path", "SELECT 'd/' || doc_id // 10 AS path, list(doc_id ORDER BY doc_id) AS chunk_ids, count(*)::INT AS chunk_count FROM documents GROUP BY path")
 def ids_by_path(spark, sf):
-    return changes.ids_by_path(table(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("chunk_id")))
+    """Ten documents as the chunks of a file: a list holds one file's ids."""
+    return changes.ids_by_path(table(spark, sf, "documents").select(F.expr("'d/' || doc_id div 10").alias("path"), F.col("doc_id").alias("chunk_id")))
 
 
 # ---- changes

@@ -97,17 +97,20 @@ def is_dbt(content: Column) -> Column:
     return tags | (expressions & calls)
 
 
-def pattern_to_regex(pattern: str) -> tuple[str, bool] | None:
-    """A line of an ignore file as (regex over a relative path, whether it takes back), or None."""
+def rule(pattern: str) -> tuple[str, bool, bool] | None:
+    """A line of an ignore file as (regex over an entry's path below the file's folder, whether it takes
+    back, whether it is for folders alone), or None."""
     line = re.sub(r"(?<!\\)\s+\Z", "", pattern)
     if not line or line.startswith("#"):
         return None
     back = line.startswith("!")
-    line = line.lstrip("!") if back else line
+    line = line[1:] if back else line
     line = line[1:] if line[:2] in ("\\#", "\\!") else line
     only_dir, line = line.endswith("/"), line.rstrip("/")
     rooted = "/" in line
     line = line.lstrip("/")
+    if not line:
+        return None
     out, i = "", 0
     while i < len(line):
         if line.startswith("**/", i):
@@ -125,8 +128,15 @@ def pattern_to_regex(pattern: str) -> tuple[str, bool] | None:
             out, i = out + re.escape(line[i + 1]), i + 2
         else:
             out, i = out + re.escape(line[i]), i + 1
-    tail = "/.*" if only_dir else "(?:/.*)?"
-    return rf"\A{'' if rooted else '(?:.*/)?'}{out}{tail}\z", back
+    return rf"\A{'' if rooted else '(?:.*/)?'}{out}\z", back, only_dir
+
+
+def pattern_to_regex(pattern: str) -> tuple[str, bool] | None:
+    """A line of an ignore file as (regex over a file's path, whether it takes back), or None; files
+    below a folder that matches match too."""
+    if not (got := rule(pattern)):
+        return None
+    return got[0].removesuffix(r"\z") + ("/.*" if got[2] else "(?:/.*)?") + r"\z", got[1]
 
 
 def ignored(relative: Column, patterns: list[str]) -> Column:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import changes
+from ..operators import changes, events
 from ..plans.index import Index
 from ..sources import files as S
+from ..sources import ignore, listing
 from ..sources import languages as L
+from ..storage import written
 
 CHANGES = "seq long, op string, path string, new_path string"
 
@@ -23,6 +25,12 @@ def watched(paths: DataFrame, patterns: list[str], column: str = "path") -> Data
     return paths.where(~L.ignored(F.col(column), rules) & ~L.extension(F.col(column)).isin(L.WATCH_BINARY))
 
 
+def settled(records: DataFrame, quiet: str, late: str = "10 seconds", ts: str = "ts") -> DataFrame:
+    """Change records of a stream (CHANGES and a time), one for each burst of a path: its first, once the
+    path has been quiet."""
+    return events.debounced(records.withWatermark(ts, late), ["path"], ts, "seq", quiet).select("seq", "op", "path", "new_path", ts)
+
+
 def net_changes(records: DataFrame) -> DataFrame:
     """One change a path: the first kind seen wins; a rename is a delete and a create."""
     moved = records.where("op = 'renamed'")
@@ -31,16 +39,28 @@ def net_changes(records: DataFrame) -> DataFrame:
     return changes.event_dedupe(every, "path", ["seq", "op"])
 
 
+#: Paths of a batch of records that are read by name; more are picked from a listing of the tree.
+NAMED = 10_000
+
+
+def recorded(index: Index, root: str, paths: DataFrame) -> DataFrame:
+    """The readable files among some paths (path); no other file's content is read while they are few."""
+    names = [r.path for r in paths.select("path").distinct().limit(NAMED + 1).collect()]
+    if len(names) > NAMED:
+        files = S.tree(index.spark, root).join(paths.select("path").distinct(), "path", "left_semi")
+    else:
+        files = S.named(index.spark, root, names)
+    rules = ignore.rules_of(index.spark, root, listing.listed(index.spark, root))
+    return S.readable(S.indexable(ignore.without_ignored(files, rules)))
+
+
 def apply_changes(index: Index, root: str, records: DataFrame) -> None:
-    """Brings the index up to date with a batch of change records."""
-    net = net_changes(records)
-    net = watched(net, S.ignore_patterns(index.spark, root))
-    gone = net.where("op = 'deleted'").select("path")
-    files = S.readable(S.tree(index.spark, root).withColumn("language", L.language(F.col("path"))))
-    here = files.join(net.where("op = 'modified'").select("path"), "path", "left_semi").select("path", F.lit("changed").alias("status"))
-    vanished = net.where("op = 'modified'").join(files.select("path"), "path", "left_anti").select("path")
-    status = here.unionByName(gone.unionByName(vanished).select("path", F.lit("deleted").alias("status")))
-    index._apply(status, S.readable(S.walk(index.spark, root)))
+    """Brings the recorded paths up to date, and no other.  A path that is no longer there, or no longer
+    to be indexed, is removed."""
+    net = written(watched(net_changes(records), S.ignore_patterns(index.spark, root)).select("path", "op"), "changes")
+    files = recorded(index, root, net.where("op = 'modified'"))
+    here = net.where("op = 'modified'").join(files.select("path"), "path", "left_semi").select("path", F.lit("changed").alias("status"))
+    index.apply(here.unionByName(net.join(here, "path", "left_anti").select("path", F.lit("deleted").alias("status"))), files)
 
 
 def watch(spark: SparkSession, index: Index, root: str, every: str = "5 seconds", checkpoint: str | None = None) -> StreamingQuery:

@@ -126,7 +126,7 @@ def test_pointer_size_and_search_without_full_text(spark, root):
     assert index.size()["bytes"] > 0 and index.size()["bytes_per_chunk"] > 0
     import shutil
 
-    shutil.rmtree(f"{root}/db2/{index.version}/postings")
+    shutil.rmtree(f"{root}/db2/postings")
     assert not index.has_keywords()
     assert search({"local": index}, "save rows", 3).count() == 3
 
