@@ -1,38 +1,7 @@
-"""Written tables in the shared folder: where an operator cuts lineage or passes rows between jobs."""
+"""Written tables in the shared folder, as the library has them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..storage import shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset and the session is a local one (tests) a temporary folder of this machine
-    is taken and set; a cluster's executors would each write to their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodeseek-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return it read back.
-
-    A lost executor costs its own unfinished tasks; what was written stays.  The folder is removed
-    when the application's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeseek/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "written"]
