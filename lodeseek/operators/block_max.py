@@ -8,6 +8,8 @@ whose bound reaches it are read.  The result is that of scoring everything.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,42 +30,62 @@ def block_table(post: DataFrame) -> DataFrame:
     return post.groupBy("field", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
 
 
-def bounds(blocks: DataFrame, totals: DataFrame, terms: list[str], df: DataFrame | None = None) -> DataFrame:
-    """(block, bound): what no document of the block exceeds, for blocks that have every term.
+#: (documents, blocks at most) of each (field, term); (documents, mean length) of each field.
+Frequencies = dict[tuple[str, str], tuple[int, int]]
+Totals = dict[str, tuple[int, float]]
 
-    totals: field, n, avgdl; df: field, term, df, if some documents of the blocks are gone.
-    """
-    own = blocks.where(F.col("term").isin(terms))
-    df = own.groupBy("field", "term").agg(F.sum("n").alias("df")) if df is None else df
-    d = own.withColumnRenamed("n", "docs").join(F.broadcast(df), ["field", "term"]).join(F.broadcast(totals), "field")  # a row a term and field
-    d = d.withColumn("s", fts.idf(F.col("n"), F.col("df")) * fts.term_weight(F.col("max_tf"), F.col("min_dl"), F.col("avgdl")))
-    per = d.groupBy("block").agg(F.sum("s").alias("bound"), F.count_distinct("term").alias("have"))
-    return per.where(F.col("have") == len(terms)).select("block", "bound")
+
+def frequencies(blocks: DataFrame, terms: list[str]) -> Frequencies:
+    """Of a query's terms: a row a field and term."""
+    rows = blocks.where(F.col("term").isin(terms)).groupBy("field", "term").agg(F.sum("n").alias("df"), F.count("*").alias("blocks")).collect()
+    return {(r.field, r.term): (r.df, r.blocks) for r in rows}
+
+
+def _weight(tf: str, dl: str, totals: Totals, df: Frequencies):
+    """The score of a field's term, as an expression of constants: a query joins nothing."""
+    out = F.lit(0.0)
+    for (field, term), (docs, _) in sorted(df.items()):
+        n, avgdl = totals[field]
+        rarity = math.log(1 + (n - docs + 0.5) / (docs + 0.5))
+        own = F.lit(rarity) * fts.term_weight(F.col(tf), F.col(dl), F.lit(float(avgdl)))
+        out = F.when((F.col("field") == field) & (F.col("term") == term), own).otherwise(out)
+    return out
+
+
+def _with_all(rows: DataFrame, key: str, weight, name: str, terms: list[str]) -> DataFrame:
+    per = rows.where(F.col("term").isin(terms)).groupBy(key).agg(F.sum(weight).alias(name), F.count_distinct("term").alias("have"))
+    return per.where(F.col("have") == len(terms)).select(key, name)
+
+
+def bounds(blocks: DataFrame, totals: Totals, terms: list[str], df: Frequencies) -> DataFrame:
+    """(block, bound): what no document of the block exceeds, for blocks that have every term."""
+    return _with_all(blocks, "block", _weight("max_tf", "min_dl", totals, df), "bound", terms)
 
 
-def scores(post: DataFrame, totals: DataFrame, terms: list[str], df: DataFrame) -> DataFrame:
+def scores(post: DataFrame, totals: Totals, terms: list[str], df: Frequencies) -> DataFrame:
     """(id, score) of the documents that have every term in some field."""
-    d = post.where(F.col("term").isin(terms)).join(F.broadcast(df), ["field", "term"]).join(F.broadcast(totals), "field")  # a row a term and field
-    d = d.withColumn("s", fts.idf(F.col("n"), F.col("df")) * fts.term_weight(F.col("tf"), F.col("dl"), F.col("avgdl")))
-    per = d.groupBy("id").agg(F.sum("s").alias("score"), F.count_distinct("term").alias("have"))
-    return per.where(F.col("have") == len(terms)).select("id", "score")
+    return _with_all(post, "id", _weight("tf", "dl", totals, df), "score", terms)
 
 
-def top_k(post: DataFrame, blocks: DataFrame, totals: DataFrame, terms: list[str], k: int, df: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def top_k(post: DataFrame, blocks: DataFrame, totals: Totals, terms: list[str], k: int, df: Frequencies | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, score) of the k best documents with every term, and the blocks read for them.
 
-    The driver gets one number a wave: the k-th score so far.
+    df: of the query's terms, if some documents of the blocks are gone.  The driver gets these and one
+    number a wave: the k-th score so far.
     """
     terms = sorted(set(terms))
-    if df is None:
-        df = blocks.where(F.col("term").isin(terms)).groupBy("field", "term").agg(F.sum("n").alias("df"))
+    df = frequencies(blocks, terms) if df is None else df
     promise = bounds(blocks, totals, terms, df)
     slim, wave, floor = post.select("field", "term", "id", "tf", "dl", "block"), WAVE, None
-    most = promise.count()
+    # a block with every term is counted for each of them
+    most = min((sum(b for (_, t), (_, b) in df.items() if t == term) for term in terms), default=0)
     while floor is None and wave < most:
         best = promise.orderBy(F.desc("bound"), "block").limit(wave).select("block")
         found = scores(slim.join(best, "block", "left_semi"), totals, terms, df).orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("least"), F.count("*").alias("n")).first()
         floor, wave = found.least if found.n == k else None, wave * 8
-    read = promise if floor is None else promise.where(F.col("bound") * SLACK >= floor)
-    every = scores(slim.join(read.select("block"), "block", "left_semi"), totals, terms, df)
+    if floor is None:
+        every, read = scores(slim, totals, terms, df), promise
+    else:
+        read = promise.where(F.col("bound") * SLACK >= floor)
+        every = scores(slim.join(read.select("block"), "block", "left_semi"), totals, terms, df)
     return every.orderBy(F.desc("score"), "id").limit(k), read

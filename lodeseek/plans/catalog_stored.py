@@ -55,10 +55,9 @@ PRUNED = ["the", "of"]
 def fts_topk_pruned(spark, sf):
     """The 200 best of two common words, from postings in blocks."""
     post = written(block_max.with_blocks(fts.all_postings(table(spark, sf, "documents"), "doc_id", {"text": "text"}).drop("positions")), "postings")
-    totals = fts.corpus_stats(fts.lengths(table(spark, sf, "documents"), "doc_id", {"text": "text"}))
+    totals = {r.field: (r.n, r.avgdl) for r in fts.corpus_stats(fts.lengths(table(spark, sf, "documents"), "doc_id", {"text": "text"})).collect()}  # a row a field
     blocks = written(block_max.block_table(post), "blocks")
-    # scores of rows are compared as they are shown, or ties would be broken by rounding
-    top, _ = block_max.top_k(post, blocks, written(totals, "totals"), PRUNED, 200)
+    top, _ = block_max.top_k(post, blocks, totals, PRUNED, 200)
     return top.withColumn("score", F.round("score", 6))
 
 
@@ -70,6 +69,26 @@ def fts_block_bounds(spark, sf):
     return block_max.block_table(block_max.with_blocks(fts.all_postings(table(spark, sf, "documents"), "doc_id", {"text": "text"}).drop("positions")))
 
 
+#: What a second segment holds, and what is gone from both.
+_SECOND, _GONE = "lang IN ('fr', 'es')", "source = 'src3'"
+
+
+@query("segment_search", f"SELECT id, round(score, 6) AS score FROM ({C.bm25_sql(f'(SELECT * FROM documents WHERE NOT coalesce({_GONE}, false))', 'doc_id', {'text': 'text'}, C.KEYWORDS.split())})")
+def segment_search(spark, sf):
+    """Keywords over postings of two segments without the rows of a table of gone ids; what is gone is
+    taken off the totals, which are not counted anew."""
+    second, gone = (F.coalesce(F.expr(x), F.lit(False)) for x in (_SECOND, _GONE))
+    docs = table(spark, sf, "documents").select("doc_id", "text", second.alias("second"), gone.alias("gone"))
+    parts = [written(fts.all_postings(docs.where(own), "doc_id", {"text": "text"}).drop("positions"), "segment") for own in ("NOT second", "second")]
+    lens = written(docs.select("doc_id", "second", "gone", F.size(C.T.tokens("text")).cast("long").alias("dl")), "lengths")
+    per = lens.groupBy("second").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).drop("second")
+    less = lens.where("gone").agg((-F.count("*")).alias("n"), (-F.sum("dl")).alias("dl"))
+    totals = per.union(less).agg(F.lit("text").alias("field"), F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    live = parts[0].unionByName(parts[1]).join(lens.where("gone").select(F.col("doc_id").alias("id")), "id", "left_anti")
+    found = fts.matches(live.withColumn("positions", F.array().cast("array<int>")), None, fts.parse(C.KEYWORDS, {"text"}), totals)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("fts_fallback", f"SELECT id, round(score, 6) AS score FROM ({C._BM25})")
 def fts_fallback(spark, sf):
     """A text that is no query is read with its special characters as blanks."""

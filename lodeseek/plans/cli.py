@@ -8,6 +8,7 @@ import sys
 
 from .. import config as C
 from ..operators import embedding, ranking
+from ..operators.embedding_cache import EmbeddingCache
 from .index import Index, as_json, search
 from .service import Registry, databases, serve
 
@@ -37,9 +38,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--json", action="store_true")
     one.add_argument("--compact", action="store_true")
     for name in ("stats", "clear"):
-        sub.add_parser(name).add_argument("--db", required=True)
+        sub.add_parser(name).add_argument("--db", action="append", help="else those of the current directory")
     one = sub.add_parser("serve")
-    one.add_argument("--db", action="append", required=True)
+    one.add_argument("--db", action="append", help="else those of the current directory")
     one.add_argument("--port", type=int, default=4444)
     sub.add_parser("list")
     sub.add_parser("doctor")
@@ -69,7 +70,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     model = embedding.model(a.model or settings.embedding.model or embedding.DEFAULT_MODEL)
     backend = embedding.BACKENDS[a.backend or settings.embedding.backend]
     embedder = embedding.HttpEmbedder(settings.embedding.ollama.url, settings.embedding.ollama.model, model.dimensions) if backend == "http" else embedding.HashingArrowEmbedder(model.dimensions)
-    at = lambda db: Index(spark, db, embedder, model.short)
+    # a service is asked once for each text; hashing costs less than a look into a cache
+    cache = EmbeddingCache(spark, str(C.config_path().parent / f"embeddings-{embedder.model_name}")) if backend == "http" else None
+    at = lambda db: Index(spark, db, embedder, model.short, cache)
+
+    def chosen() -> dict[str, str]:
+        found = {f"db{k}" if k else "local": db for k, db in enumerate(a.db)} if a.db else databases(".")
+        if not found:
+            raise SystemExit("no database here; index first, or name one with --db")
+        return found
+
     if a.command == "index":
         index = at(a.db or f"{a.path.rstrip('/')}/.lodeseek.db")
         status = index.index(a.path, full=a.force, dry_run=a.dry_run)
@@ -79,10 +89,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         else:
             registry.save(a.path, index.root)
     elif a.command == "search":
-        found = {f"db{k}" if k else "local": db for k, db in enumerate(a.db)} if a.db else databases(".")
-        if not found:
-            raise SystemExit("no database here; index first, or name one with --db")
-        indexes = {name: at(db) for name, db in found.items()}
+        indexes = {name: at(db) for name, db in chosen().items()}
         if a.sync:
             next(iter(indexes.values())).index(a.sync)
         rows = search(indexes, a.query, a.max_results, "vector" if a.vector_only else "hybrid", a.rrf_k, a.rerank, a.rerank_top, a.path, per_file=0 if a.json or a.compact else a.per_file)
@@ -94,12 +101,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             for r in rows.collect():
                 print(f"{r.path}:{r.start_line + 1}-{r.end_line}  {r.kind}  {r.score:.4f}")
     elif a.command == "stats":
-        print(at(a.db).stats())
+        for name, db in chosen().items():
+            print(name, at(db).stats())
     elif a.command == "clear":
-        at(a.db).clear()
-        registry.cleanup(a.db)
+        for db in chosen().values():
+            at(db).clear()
+            registry.cleanup(db)
     elif a.command == "serve":
-        serve({f"db{k}" if k else "local": at(db) for k, db in enumerate(a.db)}, a.port).serve_forever()
+        serve({name: at(db) for name, db in chosen().items()}, a.port).serve_forever()
     return 0
 
 

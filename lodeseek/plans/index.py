@@ -397,13 +397,17 @@ class Index:
         entry = self.entry()
         if not clauses:
             return self.live("postings", entry).select("id", F.lit(0.0).alias("score")).limit(0)
-        totals, post = self.totals(entry), self.live("postings", entry)
+        post = self.live("postings", entry)
         if all(c.occur == "must" and c.field is None and len(c.terms) == 1 for c in clauses) and len({c.terms for c in clauses}) == len(clauses):
             terms = [c.terms[0] for c in clauses]
-            df = post.where(F.col("term").isin(terms)).groupBy("field", "term").agg(F.count("*").alias("df")) if entry["tombstones"] else None
-            blocks = self.live("blocks", entry).groupBy("field", "term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+            # a block's ids may lie in several segments
+            own = self.live("blocks", entry).where(F.col("term").isin(terms))
+            blocks = own.groupBy("field", "term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+            live = post.where(F.col("term").isin(terms)).groupBy("field", "term", "block").agg(F.count("*").alias("n"))
+            df = block_max.frequencies(live, terms) if entry["tombstones"] else None
+            totals = {f: (n, total / n if n else 0.0) for f, (n, total) in entry["totals"].items()}
             return block_max.top_k(post, blocks, totals, terms, limit, df)[0]
-        return fts.matches(post, None, clauses, totals).orderBy(F.desc("score"), "id").limit(limit)
+        return fts.matches(post, None, clauses, self.totals(entry)).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def search(
@@ -425,8 +429,7 @@ def search(
     filter, limit, cap by file.  prefilter puts the path filter before the limits.
     """
     spark = next(iter(indexes.values())).spark
-    kind = spark.createDataFrame([(query,)], "q string").select(T.classify_query("q")).first()[0]
-    alpha = T.ALPHA[kind]
+    alpha = T.ALPHA[spark.createDataFrame([(query,)], "q string").select(T.classify_query("q")).first()[0]] if mode == "hybrid" else None
     parts = []
     for name, index in indexes.items():
         chunks = index.read("chunks")

@@ -232,13 +232,14 @@ def test_pruned_top_equals_full_scoring(spark, monkeypatch, k, wave):
     docs = spark.createDataFrame(rows, "id long, a string, b string")
     fields = {"a": "a", "b": "b"}
     post = block_max.with_blocks(fts.all_postings(docs, "id", fields)).cache()
-    blocks, totals = block_max.block_table(post), fts.corpus_stats(fts.lengths(docs, "id", fields))
+    blocks = block_max.block_table(post)
+    totals = {r.field: (r.n, r.avgdl) for r in fts.corpus_stats(fts.lengths(docs, "id", fields)).collect()}
     top, read = block_max.top_k(post, blocks, totals, ["x", "y"], k)
     assert [(r.id, round(r.score, 9)) for r in top.collect()] == full_top(docs, ["x", "y"], k)
     if k == 5:
         assert read.count() < 0.3 * blocks.select("block").distinct().count()
     if k == 5000:
-        assert read.count() == block_max.bounds(blocks, totals, ["x", "y"]).count()
+        assert read.count() == block_max.bounds(blocks, totals, ["x", "y"], block_max.frequencies(blocks, ["x", "y"])).count()
     assert block_max.top_k(post, blocks, totals, ["x", "unheard"], k)[0].collect() == []
 
 
