@@ -158,6 +158,14 @@ def read_report(spark, sf):
 
 # ---- chunks
 
+
+def files_of_documents(spark, sf):
+    """Every document as a Markdown file of an index: path, language, content, content_hash, mtime, size."""
+    d = table(spark, sf, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id", F.lit(".md"))
+    return d.select(path.alias("path"), F.lit("Markdown").alias("language"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit(0).cast("long").alias("mtime"), F.octet_length("text").cast("long").alias("size"))
+
+
 @query(
     "chunk_sizes",
     f"SELECT doc_id, len({C._LINES.format(c='text')})::INT AS line_count, strlen(text)::BIGINT AS size_bytes, nullif(min(doc_id) OVER (PARTITION BY sha256(text)), doc_id) AS is_duplicate_of FROM documents",

@@ -22,8 +22,20 @@ EXCLUDE = ".git/info/exclude"
 def rules_of(spark: SparkSession, root: str, listed: DataFrame, global_file: str | None = None, names=L.IGNORE_FILES) -> DataFrame:
     """The lines of the ignore files of a listing, one after another where a folder has several."""
     name = F.element_at(F.split("relative", "/"), -1)
-    kind = F.array_position(F.array(*map(F.lit, names)), name)
-    found = listing.contents(spark, root, listed.where(~F.col("is_dir") & name.isin(list(names))).select("relative"))
+    return _rules(spark, root, listed.where(~F.col("is_dir") & name.isin(list(names))).select("relative"), global_file, names)
+
+
+def rules_above(spark: SparkSession, root: str, paths: DataFrame, column: str = "relative", global_file: str | None = None, names=L.IGNORE_FILES) -> DataFrame:
+    """The rules that can concern some paths: those of the folders above them; nothing else is listed."""
+    p = F.split(column, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda k: F.array_join(F.slice(p, F.lit(1), k), "/"))
+    folders = paths.select(F.explode(above).alias("f")).distinct()
+    return _rules(spark, root, folders.select(F.explode(F.array(*(F.when(F.col("f") == "", F.lit(n)).otherwise(F.concat("f", F.lit(f"/{n}"))) for n in names))).alias("relative")), global_file, names)
+
+
+def _rules(spark: SparkSession, root: str, files: DataFrame, global_file: str | None, names) -> DataFrame:
+    kind = F.array_position(F.array(*map(F.lit, names)), F.element_at(F.split("relative", "/"), -1))
+    found = listing.contents(spark, root, files)
     folder = F.regexp_replace("relative", r"/?[^/]*\z", "")
     own = found.select(folder.alias("folder"), kind.alias("kind"), F.posexplode(F.split("content", r"\r?\n")).alias("at", "pattern"))
     depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))

@@ -49,15 +49,18 @@ def listed(spark: SparkSession, root: str, skip=L.EXCLUDED_DIRS) -> DataFrame:
 
 
 def contents(spark: SparkSession, root: str, relatives: DataFrame) -> DataFrame:
-    """(relative, content) of files (relative), read by tasks; bytes that are no UTF-8 are replaced."""
+    """(relative, content) of those files (relative) that are there, read by tasks; bytes that are no
+    UTF-8 are replaced."""
 
     def read(parts):
         files, base = _at(root)
         for d in parts:
             rows = []
             for r in d["relative"]:
-                with files.open_input_stream(f"{base.rstrip('/')}/{r}") as f:
-                    rows.append((r, f.read().decode(errors="replace")))
+                at = f"{base.rstrip('/')}/{r}"
+                if files.get_file_info(at).type == fs.FileType.File:
+                    with files.open_input_stream(at) as f:
+                        rows.append((r, f.read().decode(errors="replace")))
             yield pd.DataFrame(rows, columns=["relative", "content"])
 
     return relatives.select("relative").mapInPandas(read, "relative string, content string")

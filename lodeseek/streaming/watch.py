@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import changes, events
 from ..plans.index import Index
 from ..sources import files as S
-from ..sources import ignore, listing
+from ..sources import ignore
 from ..sources import languages as L
 from ..storage import written
 
@@ -50,7 +50,8 @@ def recorded(index: Index, root: str, paths: DataFrame) -> DataFrame:
         files = S.tree(index.spark, root).join(paths.select("path").distinct(), "path", "left_semi")
     else:
         files = S.named(index.spark, root, names)
-    rules = ignore.rules_of(index.spark, root, listing.listed(index.spark, root))
+    files = files.where(~L.in_excluded_dir(F.col("path")))
+    rules = ignore.rules_above(index.spark, root, files)
     return S.readable(S.indexable(ignore.without_ignored(files, rules)))
 
 

@@ -55,6 +55,13 @@ def test_the_last_rule_wins_and_parents_come_first(spark):
     assert ignore.ignored_paths(paths, rules.limit(0)).count() == 0 and ignore.ignored_paths(paths.limit(0), rules).count() == 0
 
 
+def test_rules_above_some_paths(spark, tree):
+    paths = spark.createDataFrame([("sub/deep/secret.py",), ("a.py",), ("gone/x.py",)], "relative string")
+    rules = ignore.rules_above(spark, str(tree), paths)
+    assert {r.folder for r in rules.collect()} == {"", "sub", "sub/deep"}
+    assert [r.relative for r in ignore.ignored_paths(paths, rules).collect()] == ["sub/deep/secret.py"]
+
+
 def test_listing_sees_hidden_names(spark, tree):
     found = {r.relative: r for r in listing.listed(spark, str(tree)).collect()}
     assert {".gitignore", ".hidden.py", ".dot", ".dot/in.py", "__init__.py", "sub/deep/.lodeseekignore"} <= set(found)
