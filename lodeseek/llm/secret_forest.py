@@ -13,8 +13,10 @@ identifiers, numbers, words and templates' placeholders, in several surroundings
 
 Defined results: null and empty texts have no candidates; a null source is an empty path; repeated
 rows are scanned each; an empty table gives an empty result; the caller's columns, whatever their
-names, pass ``redact`` apart from the operator's own; a value of any length is one candidate and is
-replaced whole.
+names, pass ``redact`` apart from the operator's own.  A value of any length is one candidate; it begins
+at most eight blanks behind its sign, has six characters at least and ends before a blank, a quotation
+mark, a comma, a semicolon or an equals sign: of a password with such a character only the part up to it
+is a candidate, and what is shorter is none.
 """
 
 from __future__ import annotations
