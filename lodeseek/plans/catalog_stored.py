@@ -208,7 +208,7 @@ GAP = "2 hours"
 )
 def event_debounce(spark, sf):
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    return events.debounced(e, ["user_id"], "ts", "event_id", GAP).select("user_id", "event_id", "event_type", "n", "first_ts", "last_ts")
+    return events.bursts(e, ["user_id"], "ts", "event_id", GAP).select("user_id", "event_id", "event_type", "n", "first_ts", "last_ts")
 
 
 @query(

@@ -17,7 +17,7 @@ def test_entry_runs(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", ["vector_topk_batch", "fts_bm25_multifield", "weighted_rrf", "rerank_blend", "classify_query", "split_oversized", "gap_chunks", "string_literals", "change_detect", "chunk_ids"])
+@pytest.mark.parametrize("name", ["vector_topk_batch", "fts_bm25_multifield", "weighted_rrf", "rerank_blend", "classify_query", "split_oversized", "gap_chunks", "string_literals", "change_detect", "chunk_ids", "ann_search", "segment_search", "ignore_rules", "binary_content", "chunk_sizes", "hydrate", "event_debounce", "cache_eviction", "token_batches", "token_budget", "dbt_refs"])
 def test_sql_twins(spark, name):
     import duckdb
 

@@ -93,6 +93,20 @@ def test_bursts_of_a_table(spark):
     assert events.debounced(frame.limit(0), ["key"], "ts", "i", "10 seconds").collect() == []
 
 
+def test_bursts_across_ranges(spark):
+    """A crowded key over several ranges, equal times, null keys and times."""
+    rng = random.Random(5)
+    rows = [("a", 10 * rng.randint(0, 400) + rng.choice([0, 0, 3]), i) for i in range(600)] + [("b", 5, 700), ("b", 5, 701), ("c", 1, 702)]
+    odd = [(None, START, 800, "e800"), (None, START + timedelta(seconds=4), 801, "e801"), ("c", None, 802, "e802")]
+    frame = spark.createDataFrame([(k, START + timedelta(seconds=s), i, f"e{i}") for k, s, i in rows] + odd, "key string, ts timestamp, i int, name string").repartition(5)
+    got = events.bursts(frame, ["key"], "ts", "i", "10 seconds").collect()
+    assert sorted((r.key, r.i, r.n) for r in got if r.key) == bursts(rows, 10) and all(r.name == f"e{r.i}" for r in got)
+    assert [(r.i, r.n) for r in got if r.key is None] == [(800, 2)]
+    plain = sorted(map(repr, events.debounced(frame, ["key"], "ts", "i", "10 seconds").collect()))
+    assert sorted(map(repr, got)) == plain
+    assert events.bursts(frame.limit(0), ["key"], "ts", "i", "10 seconds").collect() == []
+
+
 def test_settled_stream_with_late_rows(spark, tmp_path):
     """The first change of a burst is emitted once its path is quiet; what comes behind the watermark is not."""
     import json

@@ -79,7 +79,8 @@ def test_a_change_writes_what_changed_and_equals_a_rebuild(spark, tree, tmp_path
     assert sorted(map(str, index.read("chunks").collect())) == rows and index.log.versions() == [index.version]
 
 
-def test_segments_are_merged_by_size(spark, tmp_path):
+def test_segments_are_merged_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Index, "FAN", 3)
     at = tmp_path / "tree"
     at.mkdir()
     index = index_at(spark, tmp_path / "db")
