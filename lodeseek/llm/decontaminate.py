@@ -8,7 +8,8 @@ in blocks of at most ``BENCHMARK_BLOCK_BYTES`` of text, which each task searches
 
 Defined results: a null or wordless text has no words and is never hit; a null item text has no
 windows; a null item id is listed as the empty string; repeated item rows count once; every document
-row has a row, without a doc_id or with a repeated one too; an empty benchmark leaves every document clean; extra columns of either table are ignored.
+row has a row, without a doc_id or with a repeated one too; an empty benchmark leaves every document clean; a text of any
+length is one document, whole; extra columns of either table are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ rejected where the shrunk rate of any rule reaches ``limit``; verdicts go back t
 The tables have no address of a document: the host is their ``source``.
 
 Defined results: null and empty texts have no words and fail; a null source is one host of its own;
-repeated rows count each; an empty table gives an empty result; further columns stay out of the
-result.
+repeated rows count each; a text of any length is counted whole; an empty table gives an empty result;
+further columns stay out of the result.
 """
 
 from __future__ import annotations

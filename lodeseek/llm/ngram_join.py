@@ -21,8 +21,8 @@ Equal sets form one class.  Two classes of Jaccard similarity t or more share an
 The order comes from approximate counts; it moves work, never results.  Defined results: null, empty
 and blank texts have no set (n_shingles 0) and are their own component; repeated rows of one doc_id
 with one text are one class; a row without a doc_id names no component and links nothing, it gets the
-component of its text if a named row has it; an empty table gives an empty result; further columns are
-ignored.
+component of its text if a named row has it; a text of any length is one set, of all its shingles; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ One of several near copies counts once there.  Nothing but the text enters a sco
 
 Defined results: null and empty texts match nothing and get the score of a text without matches; a
 doc_id that is labelled twice with different labels is no training row; without training rows of
-both kinds the lexicon is the seed list and the weights are 1; repeated rows are scored each; further
-columns are ignored.
+both kinds the lexicon is the seed list and the weights are 1; repeated rows are scored each; a text
+of any length is scored whole; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ branches down to the records, so that intact replicas cost one comparison.
 Defined results: all records without a number are record -1, of archive -1 (negative numbers have a
 root of their own); several rows of one number are one leaf, whatever their order (sums of their
 hashes, so that no task holds them together); null url or content is empty; records of only one
-replica are "missing" or "extra"; identical or empty replicas give no rows; further columns are
-ignored.
+replica are "missing" or "extra"; identical or empty replicas give no rows; a page of any length
+is one record; further columns are ignored.
 """
 
 from __future__ import annotations
