@@ -13,10 +13,15 @@ identifiers, numbers, words and templates' placeholders, in several surroundings
 
 Defined results: null and empty texts have no candidates; a null source is an empty path; repeated
 rows are scanned each; an empty table gives an empty result; the caller's columns, whatever their
-names, pass ``redact`` apart from the operator's own.  A value of any length is one candidate; it begins
-at most eight blanks behind its sign, has six characters at least and ends before a blank, a quotation
-mark, a comma, a semicolon or an equals sign: of a password with such a character only the part up to it
-is a candidate, and what is shorter is none.
+names, pass ``redact`` apart from the operator's own.
+
+A value of any length is one candidate.  Behind the name of a credential, a sign and any number of
+blanks it is the whole quotation if it stands in quotation marks (escaped ones do not end it, a line's end
+does), else all up to the next white space, six characters at least, without the closing punctuation at
+its end; it also ends before ``&``, ``;`` or ``,`` if a name of letters and an equals sign follow, for there
+the next setting begins.  Of ``scheme://user:password@host`` the password is a candidate.  Values with
+other names have six characters at least and end before a blank, a quotation mark, a comma, a semicolon
+or an equals sign.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from . import tree_sql
 from .array_sql import matches, quoted
 from .storage import written
 
-FINDINGS = 1600
+FINDINGS = 2200
 TREES, DEPTH, SEED = 24, 6, 17
 #: Share of the trees from which a candidate is a secret.
 VOTES = 0.5
@@ -36,13 +41,28 @@ VOTES = 0.5
 AROUND = 40
 REPLACEMENT = "[SECRET]"
 
+#: Names of credentials, and what stands between such a name and its value.
+CREDENTIAL = r"(?i:secret(?:[_-]?key)?|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
+SIGN = r"\\?[\"'`]?\s*+(?:=>|:=|={1,3}|:)\s*+"
+USER = r"://[^\s:/@\"'<>]*+:"
+#: The whole content of a quotation, and a value without quotation marks.
+QUOTATION = "|".join(rf"{q}(?!{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+(?={q})" for q in "\"'`")
+PLAIN = r"[\"'`]?+(?![\"'`])(?=\S{6})(?:[^\s&;,]++|[&;,](?![A-Za-z_]{2,30}+=))++"
+#: What a value without quotation marks does not end with.
+CLOSING = "\"'`\\.,;:)]}>"
+
 #: A candidate, leftmost first and without overlap.  Possessive, so that long runs cost no recursion.
+#: Names and signs in front of values belong to the match and are parted from the values later.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
-    r"|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{12,}+={0,2}+(?![A-Za-z0-9_])"
-    r"|(?<=[=:]\s{0,8}|[\"'])[^\s\"'=,;]{6,}+"
+    rf"|{CREDENTIAL}{SIGN}(?:{QUOTATION}|{PLAIN})"
+    rf"|{USER}[^\s/\"'<>]+(?=@)"
+    rf"|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{{12,}}+(?!(?<={CREDENTIAL}){SIGN})={{0,2}}+(?![A-Za-z0-9_])"
+    rf"|(?<=[=:]\s{{0,8}}|[\"'])(?!://|[A-Za-z0-9_./+-]*{CREDENTIAL}{SIGN}|[A-Za-z0-9+.-]*+{USER}[^\s/\"'<>]+@)[^\s\"'=,;]{{6,}}+"
 )
-NAMES = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[\"']?\s*(?:=>|[:=]|\s)\s*[\"']?\z"
+#: The part of a match in front of its value.
+FRONT = rf"\A(?:{CREDENTIAL}{SIGN}[\"'`]?+|{USER})"
+NAMES = rf"{CREDENTIAL}[\"']?\s*(?:=>|[:=]|\s)\s*[\"']?\z"
 #: Names of values that are no secrets though they look like it.
 HARMLESS = r"(?i)(?:sha(?:1|256|512)?|md5|checksum|digest|commit|revision|rev|hash|etag|uuid|guid|version|build|id|order|invoice|number|example|sample|placeholder|dummy|url|href|src|color)[\"']?\s*(?:=>|[:=#]|\s)\s*[\"']?\z"
 ISSUED = r"\A(?:AKIA|ASIA)[0-9A-Z]{16}\z|\Agh[pousr]_[A-Za-z0-9]{36,}\z|\Axox[abprs]-[A-Za-z0-9-]{10,}\z|\Ask_(?:live|test)_[A-Za-z0-9]{16,}\z|\AAIza[0-9A-Za-z_-]{35}\z|\Aglpat-[A-Za-z0-9_-]{20}\z|\A-----BEGIN |\AeyJ[A-Za-z0-9_-]{10,}"
@@ -67,10 +87,12 @@ FEATURES = [
     "1D - CAST(length(regexp_replace(c.v, '" + SYLLABLES + "', '')) AS DOUBLE) / length(c.v)",
     "CAST(c.v RLIKE '\\\\A[0-9a-fA-F]+\\\\z' AS DOUBLE)",
     f"CAST(c.v RLIKE '{quoted(ISSUED)}' AS DOUBLE)",
-    f"CAST(c.before RLIKE '{quoted(NAMES)}' AS DOUBLE)",
+    f"CAST(c.front RLIKE '\\\\A[^:]' OR c.before RLIKE '{quoted(NAMES)}' AS DOUBLE)",
+    "CAST(startswith(c.front, '://') AS DOUBLE)",
+    _count("[ \\\\t]") + " / length(c.v)",
     f"CAST(c.before RLIKE '{quoted(HARMLESS)}' AS DOUBLE)",
-    r"CAST(c.before RLIKE '[=:]\\s*[\"\']?\\z' AS DOUBLE)",
-    r"CAST(c.v RLIKE '(?i)example|sample|changeme|your|xxxx|placeholder|dummy|<|\\$\\{' AS DOUBLE)",
+    r"CAST(c.front <> '' OR c.before RLIKE '[=:]\\s*[\"\']?\\z' AS DOUBLE)",
+    r"CAST(c.v RLIKE '(?i)example|sample|changeme|your|xxxx|placeholder|dummy|<|\\$\\{|[A-Za-z]\\(|[a-z][.\\[][A-Za-z\"\']' AS DOUBLE)",
     f"CAST(c.path RLIKE '{quoted(PATHS)}' AS DOUBLE)",
     # neighbouring words on either side, and how much of them the dictionary covers
     "CAST(size(filter(split(c.before, '[^A-Za-z]+'), w -> length(w) > 2)) AS DOUBLE)",
@@ -85,19 +107,29 @@ def with_candidates(documents: DataFrame) -> DataFrame:
     text and source; other columns of these names must not be there."""
     d = documents.withColumn("whole", F.coalesce("text", F.lit("")))
     d = matches(d, "found", CANDIDATE, "whole", AROUND).drop("whole")
-    d = d.withColumn("found", F.expr("transform(found, c -> named_struct('v', c.v, 'start', c.start, 'end', c.end, 'before', c.before, 'after', c.after, 'path', coalesce(source, '')))"))
+    # what stands in front of a value and what closes it go to the texts between
+    d = d.withColumn("found", F.expr(f"transform(found, c -> named_struct('c', c, 'front', regexp_extract(c.v, '{quoted(FRONT)}', 0)))"))
+    d = d.withColumn("found", F.expr("transform(found, x -> named_struct('c', x.c, 'front', x.front, 'v', substr(x.c.v, length(x.front) + 1)))"))
+    open_end = "x.front = '' OR (right(x.front, 1) IN ('\"', '\\'', '`') AND left(x.c.after, 1) = right(x.front, 1)) OR startswith(x.front, '://')"
+    d = d.withColumn("found", F.expr(f"transform(found, x -> named_struct('c', x.c, 'front', x.front, 'v', CASE WHEN {open_end} THEN x.v ELSE coalesce(nullif(rtrim('{quoted(CLOSING)}', x.v), ''), x.v) END))"))
+    d = d.withColumn("found", F.expr("transform(found, x -> named_struct('c', x.c, 'front', x.front, 'v', x.v, 'rest', substr(x.c.v, length(x.front) + length(x.v) + 1)))"))
+    d = d.withColumn("found_gaps", F.expr("transform(found_gaps, (g, k) -> concat(coalesce(CASE WHEN k > 0 THEN found[k - 1].rest END, ''), g, coalesce(CASE WHEN k < size(found) THEN found[k].front END, '')))"))
+    around = f"'before', right(concat(x.c.before, x.front), {AROUND}), 'after', left(concat(x.rest, x.c.after), {AROUND})"
+    d = d.withColumn("found", F.expr(f"transform(found, x -> named_struct('v', x.v, 'start', x.c.start + length(x.front), 'end', x.c.start + length(x.front) + length(x.v), 'front', x.front, {around}, 'path', coalesce(source, '')))"))
     return d.withColumn("found", F.expr("transform(found, c -> named_struct('v', c.v, 'start', c.start, 'end', c.end, 'f', array(" + ", ".join(FEATURES) + ")))"))
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """(text, source, label) made by rule; each text has its labelled candidate last but for ``tail``."""
-    rows = spark.range(n, numPartitions=1).selectExpr("id", "sha2(concat('a', id), 512) AS x", "sha2(concat('b', id), 256) AS y", "id % 26 AS kind", "id div 26 AS k")
+    rows = spark.range(n, numPartitions=1).selectExpr("id", "sha2(concat('a', id), 512) AS x", "sha2(concat('b', id), 256) AS y", "id % 34 AS kind", "id div 34 AS k")
     b64 = "base64(unhex(substr(x, 1, {n})))"
     upper = "upper(translate(substr(x, 1, 16), '0189', 'QRST'))"
     word = "element_at(array('password', 'passwd', 'PASSWORD', 'db_password', 'secret', 'api_key', 'pwd'), 1 + cast(conv(substr(y, 13, 4), 16, 10) % 7 as int))"
     human = "element_at(array('hunter', 'dragon', 'sommer', 'Passw0rd', 'letmein', 'qwerty', 'soleil'), 1 + cast(conv(substr(y, 17, 4), 16, 10) % 7 as int))"
     link = "element_at(array('=', ': ', ' = ', ':'), 1 + cast(conv(substr(y, 21, 4), 16, 10) % 4 as int))"
     quote = "CASE WHEN conv(substr(y, 25, 2), 16, 10) % 2 = 0 THEN '' ELSE '\"' END"
+    noun = lambda at: f"element_at(array('horse', 'river', 'purple', 'cake', 'winter', 'battery', 'blue', 'garden'), 1 + cast(conv(substr(y, {at}, 4), 16, 10) % 8 as int))"
+    mark = "element_at(array(',', ';', '&', '=', ',&', '!,', '@', '+'), 1 + cast(conv(substr(y, 41, 4), 16, 10) % 8 as int))"
     value = f"""CASE kind
         WHEN 0 THEN concat('AKIA', {upper})
         WHEN 1 THEN concat('token = "', substr(x, 1, 40), '"')
@@ -124,11 +156,19 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         WHEN 22 THEN concat({word}, element_at(array(': required', ': string', '=none12', ' = \\'hidden\\'', ': optional', '=<hidden>', ' = disabled'), 1 + cast(k % 7 as int)))
         WHEN 23 THEN concat('the ', substr(translate(x, '0123456789abcdef', 'ertionshadlumcgi'), 1, 12 + cast(k % 9 as int)))
         WHEN 24 THEN concat('card ', translate(substr(x, 1, 4), 'abcdef', '123456'), '-', translate(substr(x, 5, 4), 'abcdef', '123456'), '-', translate(substr(x, 9, 4), 'abcdef', '123456'))
+        WHEN 26 THEN concat({word}, {link}, '"', {noun(29)}, ' ', {noun(33)}, ' ', CASE WHEN k % 4 = 0 THEN '' ELSE substr(y, 45, 2) END, ' ', {noun(37)}, '"')
+        WHEN 27 THEN concat({word}, {link}, substr(x, 1, 5), {mark}, upper(substr(x, 6, 3)), substr(x, 9, 4))
+        WHEN 28 THEN concat(element_at(array('postgres', 'https', 'amqp', 'mysql+driver', 'redis'), 1 + cast(k % 5 as int)), '://', {noun(29)}, ':', CASE WHEN k % 3 = 0 THEN {human} ELSE upper(substr(x, 6, 3)) END, '#', substr(x, 1, 4), '@db/x')
+        WHEN 29 THEN concat('https://user:', element_at(array('password', '<password>', '${{PASSWORD}}', '$PASSWORD', '{{password}}', 'xxxxxx', '********'), 1 + cast(k % 7 as int)), '@host/x')
+        WHEN 30 THEN concat({word}, {link}, '"', element_at(array('must not be empty', 'please enter your password', 'the name of the field', 'a string to sign with', 'is required for this', 'not found', 'wrong or missing', 'at least eight characters'), 1 + cast(k % 8 as int)), '"')
+        WHEN 31 THEN concat({word}, {link}, element_at(array('os.environ["DB_PASS"]', 'get_token()', 'self.secret_value', 'config.password', 'settings.API_KEY', 'request.form["password"]', 'getpass.getpass()', 'args.token'), 1 + cast(k % 8 as int)))
+        WHEN 32 THEN concat({word}, {link}, '"', substr(x, 1, 3), {mark}, upper(substr(x, 6, 4)), {mark}, substr(x, 10, 5), '"')
+        WHEN 33 THEN concat({word}, ': ', element_at(array('https://host/reset', 'http://docs/tokens.html', '/etc/app/passwords', './keys/readme.md'), 1 + cast(k % 4 as int)))
         ELSE concat('href="/', element_at(array('articles', 'category', 'download'), 1 + cast(k % 3 as int)), '/', substr(translate(x, '0123456789', 'ghijklmnop'), 1, 9), '"') END"""
     lead = "element_at(array('of the reand and ', 'est le tion. ', 'und der ', 'los que\n', 'export ', '', 'see ', '*** '), 1 + cast(conv(substr(y, 1, 4), 16, 10) % 8 as int))"
     tail = "element_at(array(' the and of', '', '\n', ' ist von', '### est'), 1 + cast(conv(substr(y, 5, 4), 16, 10) % 5 as int))"
     source = "element_at(array('src1', 'src7', '', 'config/app.yml', '.env', 'lib/util.py', 'docs/readme.md'), 1 + cast(conv(substr(y, 9, 4), 16, 10) % 7 as int))"
-    return rows.selectExpr(f"concat({lead}, {value}, {tail}) AS text", f"{source} AS source", "CAST(kind < 10 OR kind BETWEEN 19 AND 21 AS DOUBLE) AS label")
+    return rows.selectExpr(f"concat({lead}, {value}, {tail}) AS text", f"{source} AS source", "CAST(kind < 10 OR kind BETWEEN 19 AND 21 OR kind BETWEEN 26 AND 28 OR kind = 32 AS DOUBLE) AS label")
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None) -> str:

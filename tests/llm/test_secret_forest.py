@@ -1,4 +1,8 @@
 import math
+import random
+import re
+import string
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -51,7 +55,7 @@ def test_findings_and_redaction(spark):
 
 def test_held_out_findings(spark):
     vote = S.train(spark)
-    rows = S.scan(S.labelled_findings(spark, 2400).where("NOT text IS NULL").selectExpr("*", "text AS t"), vote).selectExpr("label", "exists(found, c -> c.secret) AS secret").collect()[S.FINDINGS :]
+    rows = S.scan(S.labelled_findings(spark, 3200).where("NOT text IS NULL").selectExpr("*", "text AS t"), vote).selectExpr("label", "exists(found, c -> c.secret) AS secret").collect()[S.FINDINGS :]
     right = sum(r.secret == bool(r.label) for r in rows)
     assert right >= 0.95 * len(rows)
 
@@ -98,3 +102,55 @@ def test_candidates_lie_where_the_text_has_them(spark):
     for c in row.found[:5] + row.found[-5:]:
         assert text[c.start : c.end] == c.v
         assert abs(c.f[1] + sum(n / len(c.v) * math.log2(n / len(c.v)) for n in Counter(c.v).values())) < 1e-9
+
+
+def test_values_with_punctuation_quotations_and_connection_strings(spark):
+    values = [
+        ("password: ", "Tr0ub4dor9x,&3xYzQ7!", "\nthe end"),
+        ("secret: ", "a=b9F3kd02lsQ=zz81Kd", " the end"),
+        ("password=", "S3cr,etXy9!zQ", ", the end"),
+        ("api_key: \"", "aB3;dE5;gH7;jK9", "\" of"),
+        ("AWS_SECRET_ACCESS_KEY = \"", "my dog ate 77 pies", "\", user=\"bob\""),
+        ("token=" + " " * 90, "9f8e7d6c5b4a", "\nthe end"),
+        ("url=postgres://admin:", "S3cr#t!9xQ", "@db/x?token=none of"),
+        ("\"{'db_password': '", "aB3\\'9,x;Yq2", "', 'user': 'bob'}\""),
+        ("Server=db;Password=", "xY9;2,kQ7&zz", ";Database=shop"),
+        ("f(\"config/db_password=", "S3cr,et9Xy", "\")"),
+    ]
+    schema = "doc_id long, text string, source string"
+    frame = spark.createDataFrame([(i, "".join(v), None) for i, v in enumerate(values)], schema)
+    vote = S.train(spark)
+    for r in S.scan(frame, vote).collect():
+        for c in r.found:
+            assert r.text[c.start : c.end] == c.value
+        assert "".join(g + v for g, v in zip(r.found_gaps, [*(c.value for c in r.found), ""], strict=True)) == r.text
+    got = {r.doc_id: r.text for r in S.redact(frame, vote).collect()}
+    assert got == {i: a + S.REPLACEMENT + b for i, (a, _, b) in enumerate(values)}
+    plain = ["password: \"please enter your password\"", "token = get_token()", "password=\"\", user=\"bob\"", "see https://host:8080/a@b", "password=;;;;;;;", "passwords and tokens: see below"]
+    frame = spark.createDataFrame([(i, t, "") for i, t in enumerate(plain)], schema)
+    assert [r.text for r in S.redact(frame, vote).orderBy("doc_id").collect()] == plain
+
+
+def test_random_secrets_are_found_whole(spark):
+    rng, texts = random.Random(5), {}
+    marks = "!#$%&*+,-/;<=?@^_|~"
+    for k in range(300):
+        chars = string.ascii_letters + string.digits * 3 + marks
+        v = "".join(rng.choice(chars) for _ in range(rng.randint(10, 30))) + rng.choice(string.digits)
+        v = rng.choice(string.ascii_letters) + re.sub(r"([&;,])(?=[A-Za-z_]{2,30}=)", r"\g<1>0", v)
+        name = rng.choice(["password", "DB_PASSWORD", "secret", "api_key", "auth_token"])
+        a, b = rng.choice([("=", ""), (": ", ""), (" = \"", "\""), (": '", "'")])
+        texts[k] = (f"the end of {name}{a}", v, f"{b} of the end")
+    frame = spark.createDataFrame([(k, "".join(t), "") for k, t in texts.items()], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in S.redact(frame, S.train(spark)).collect()}
+    missed = [t for k, t in texts.items() if got[k] != t[0] + S.REPLACEMENT + t[2]]
+    assert len(missed) <= 9, missed
+
+
+def test_runs_that_could_cost_a_square(spark):
+    runs = ["password" * 40_000, "password=" * 40_000, "password" + " " * 300_000, "://" * 100_000, "a://b:" * 60_000, "password=\"" * 30_000, "password='\\" * 30_000, "x=" + "token-" * 50_000, "=" * 300_000, ";,&" * 100_000, "password=" + ";a" * 100_000]
+    frame = spark.createDataFrame([(k, t, "") for k, t in enumerate(runs)], "doc_id long, text string, source string")
+    begun = time.time()
+    for r in S.with_candidates(frame).collect():
+        assert "".join(g + v for g, v in zip(r.found_gaps, [*(c.v for c in r.found), ""], strict=True)) == r.text
+    assert time.time() - begun < 60
