@@ -47,21 +47,26 @@ SIGN = r"\\?[\"'`]?\s*+(?:=>|:=|={1,3}|:)\s*+"
 USER = r"://[^\s:/@\"'<>]*+:"
 #: The whole content of a quotation, and a value without quotation marks.
 QUOTATION = "|".join(rf"{q}(?!{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+(?={q})" for q in "\"'`")
-PLAIN = r"[\"'`]?+(?![\"'`])(?=\S{6})(?:[^\s&;,]++|[&;,](?![A-Za-z_]{2,30}+=))++"
+PLAIN = r"[\"'`]?+(?![\"'`]|-----BEGIN )(?=\S{6})(?:[^\s&;,]++|[&;,](?![A-Za-z_]{2,30}+=))++"
 #: What a value without quotation marks does not end with.
 CLOSING = "\"'`\\.,;:)]}>"
 
+#: A long mixed token, but no name of a credential in front of its value.
+LONG = rf"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{{12,}}+(?!(?<={CREDENTIAL}){SIGN})={{0,2}}+(?![A-Za-z0-9_])"
+#: What stands in front of any other value; a sign may end the match before.
+ASSIGNED = r"[=:]\s{0,8}+|[\"']|\G(?<=[=:])\s{0,8}+"
+
 #: A candidate, leftmost first and without overlap.  Possessive, so that long runs cost no recursion.
 #: Names and signs in front of values belong to the match and are parted from the values later.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
-    rf"|{CREDENTIAL}{SIGN}(?:{QUOTATION}|{PLAIN})"
+    rf"|(?=[abcpstABCPST]){CREDENTIAL}{SIGN}(?:{QUOTATION}|{PLAIN})"
     rf"|{USER}[^\s/\"'<>]+(?=@)"
-    rf"|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{{12,}}+(?!(?<={CREDENTIAL}){SIGN})={{0,2}}+(?![A-Za-z0-9_])"
-    rf"|(?<=[=:]\s{{0,8}}|[\"'])(?!://|[A-Za-z0-9_./+-]*{CREDENTIAL}{SIGN}|[A-Za-z0-9+.-]*+{USER}[^\s/\"'<>]+@)[^\s\"'=,;]{{6,}}+"
+    rf"|{LONG}"
+    rf"|(?:{ASSIGNED})(?!{LONG}|://|-----BEGIN |[A-Za-z0-9_./+-]*{CREDENTIAL}{SIGN}|[A-Za-z0-9+.-]*+{USER}[^\s/\"'<>]+@)[^\s\"'=,;]{{6,}}+"
 )
 #: The part of a match in front of its value.
-FRONT = rf"\A(?:{CREDENTIAL}{SIGN}[\"'`]?+|{USER})"
+FRONT = rf"\A(?:{CREDENTIAL}{SIGN}[\"'`]?+|{USER}|[=:]\s*+|[\"']|\s++)"
 NAMES = rf"{CREDENTIAL}[\"']?\s*(?:=>|[:=]|\s)\s*[\"']?\z"
 #: Names of values that are no secrets though they look like it.
 HARMLESS = r"(?i)(?:sha(?:1|256|512)?|md5|checksum|digest|commit|revision|rev|hash|etag|uuid|guid|version|build|id|order|invoice|number|example|sample|placeholder|dummy|url|href|src|color)[\"']?\s*(?:=>|[:=#]|\s)\s*[\"']?\z"
@@ -87,11 +92,11 @@ FEATURES = [
     "1D - CAST(length(regexp_replace(c.v, '" + SYLLABLES + "', '')) AS DOUBLE) / length(c.v)",
     "CAST(c.v RLIKE '\\\\A[0-9a-fA-F]+\\\\z' AS DOUBLE)",
     f"CAST(c.v RLIKE '{quoted(ISSUED)}' AS DOUBLE)",
-    f"CAST(c.front RLIKE '\\\\A[^:]' OR c.before RLIKE '{quoted(NAMES)}' AS DOUBLE)",
+    f"CAST(c.front RLIKE '\\\\A[A-Za-z]' OR c.before RLIKE '{quoted(NAMES)}' AS DOUBLE)",
     "CAST(startswith(c.front, '://') AS DOUBLE)",
     _count("[ \\\\t]") + " / length(c.v)",
     f"CAST(c.before RLIKE '{quoted(HARMLESS)}' AS DOUBLE)",
-    r"CAST(c.front <> '' OR c.before RLIKE '[=:]\\s*[\"\']?\\z' AS DOUBLE)",
+    r"CAST(c.front RLIKE '[=:]' OR c.before RLIKE '[=:]\\s*[\"\']?\\z' AS DOUBLE)",
     r"CAST(c.v RLIKE '(?i)example|sample|changeme|your|xxxx|placeholder|dummy|<|\\$\\{|[A-Za-z]\\(|[a-z][.\\[][A-Za-z\"\']' AS DOUBLE)",
     f"CAST(c.path RLIKE '{quoted(PATHS)}' AS DOUBLE)",
     # neighbouring words on either side, and how much of them the dictionary covers
@@ -110,8 +115,8 @@ def with_candidates(documents: DataFrame) -> DataFrame:
     # what stands in front of a value and what closes it go to the texts between
     d = d.withColumn("found", F.expr(f"transform(found, c -> named_struct('c', c, 'front', regexp_extract(c.v, '{quoted(FRONT)}', 0)))"))
     d = d.withColumn("found", F.expr("transform(found, x -> named_struct('c', x.c, 'front', x.front, 'v', substr(x.c.v, length(x.front) + 1)))"))
-    open_end = "x.front = '' OR (right(x.front, 1) IN ('\"', '\\'', '`') AND left(x.c.after, 1) = right(x.front, 1)) OR startswith(x.front, '://')"
-    d = d.withColumn("found", F.expr(f"transform(found, x -> named_struct('c', x.c, 'front', x.front, 'v', CASE WHEN {open_end} THEN x.v ELSE coalesce(nullif(rtrim('{quoted(CLOSING)}', x.v), ''), x.v) END))"))
+    plain = "x.front RLIKE '\\\\A[A-Za-z]' AND NOT (right(x.front, 1) IN ('\"', '\\'', '`') AND left(x.c.after, 1) = right(x.front, 1))"
+    d = d.withColumn("found", F.expr(f"transform(found, x -> named_struct('c', x.c, 'front', x.front, 'v', CASE WHEN {plain} THEN coalesce(nullif(rtrim('{quoted(CLOSING)}', x.v), ''), x.v) ELSE x.v END))"))
     d = d.withColumn("found", F.expr("transform(found, x -> named_struct('c', x.c, 'front', x.front, 'v', x.v, 'rest', substr(x.c.v, length(x.front) + length(x.v) + 1)))"))
     d = d.withColumn("found_gaps", F.expr("transform(found_gaps, (g, k) -> concat(coalesce(CASE WHEN k > 0 THEN found[k - 1].rest END, ''), g, coalesce(CASE WHEN k < size(found) THEN found[k].front END, '')))"))
     around = f"'before', right(concat(x.c.before, x.front), {AROUND}), 'after', left(concat(x.rest, x.c.after), {AROUND})"

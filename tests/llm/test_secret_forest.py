@@ -116,6 +116,8 @@ def test_values_with_punctuation_quotations_and_connection_strings(spark):
         ("\"{'db_password': '", "aB3\\'9,x;Yq2", "', 'user': 'bob'}\""),
         ("Server=db;Password=", "xY9;2,kQ7&zz", ";Database=shop"),
         ("f(\"config/db_password=", "S3cr,et9Xy", "\")"),
+        ("PRIVATE_KEY=\"", f"-----BEGIN PRIVATE KEY-----\n{HEX}\n-----END PRIVATE KEY-----", "\"\nof"),
+        ("key: ", f"-----BEGIN PRIVATE KEY-----\n{HEX}\n-----END PRIVATE KEY-----", ""),
     ]
     schema = "doc_id long, text string, source string"
     frame = spark.createDataFrame([(i, "".join(v), None) for i, v in enumerate(values)], schema)
