@@ -33,7 +33,7 @@ from . import tree_sql
 from .array_sql import matches, quoted
 from .storage import written
 
-FINDINGS = 2200
+FINDINGS = 3000
 TREES, DEPTH, SEED = 24, 6, 17
 #: Share of the trees from which a candidate is a secret.
 VOTES = 0.5
@@ -126,7 +126,7 @@ def with_candidates(documents: DataFrame) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """(text, source, label) made by rule; each text has its labelled candidate last but for ``tail``."""
-    rows = spark.range(n, numPartitions=1).selectExpr("id", "sha2(concat('a', id), 512) AS x", "sha2(concat('b', id), 256) AS y", "id % 34 AS kind", "id div 34 AS k")
+    rows = spark.range(n, numPartitions=1).selectExpr("id", "sha2(concat('a', id), 512) AS x", "sha2(concat('b', id), 256) AS y", "id % 46 AS kind", "id div 46 AS k")
     b64 = "base64(unhex(substr(x, 1, {n})))"
     upper = "upper(translate(substr(x, 1, 16), '0189', 'QRST'))"
     word = "element_at(array('password', 'passwd', 'PASSWORD', 'db_password', 'secret', 'api_key', 'pwd'), 1 + cast(conv(substr(y, 13, 4), 16, 10) % 7 as int))"
@@ -135,6 +135,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     quote = "CASE WHEN conv(substr(y, 25, 2), 16, 10) % 2 = 0 THEN '' ELSE '\"' END"
     noun = lambda at: f"element_at(array('horse', 'river', 'purple', 'cake', 'winter', 'battery', 'blue', 'garden'), 1 + cast(conv(substr(y, {at}, 4), 16, 10) % 8 as int))"
     mark = "element_at(array(',', ';', '&', '=', ',&', '!,', '@', '+'), 1 + cast(conv(substr(y, 41, 4), 16, 10) % 8 as int))"
+    letters = "substr(translate(x, '0123456789abcdef', 'ertionshadlumcgi'), 1, 12 + cast(k % 9 as int))"
     value = f"""CASE kind
         WHEN 0 THEN concat('AKIA', {upper})
         WHEN 1 THEN concat('token = "', substr(x, 1, 40), '"')
@@ -159,7 +160,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         WHEN 20 THEN concat('token=', substr(x, 1, 32))
         WHEN 21 THEN concat({word}, {link}, {quote}, {human}, element_at(array('!', '#', '$', '%', '_'), 1 + cast(k % 5 as int)), substr(y, 1, 3), {quote})
         WHEN 22 THEN concat({word}, element_at(array(': required', ': string', '=none12', ' = \\'hidden\\'', ': optional', '=<hidden>', ' = disabled'), 1 + cast(k % 7 as int)))
-        WHEN 23 THEN concat('the ', substr(translate(x, '0123456789abcdef', 'ertionshadlumcgi'), 1, 12 + cast(k % 9 as int)))
+        WHEN 23 THEN concat(element_at(array('the ', '. ', '| ', 'of. '), 1 + cast(k % 4 as int)), CASE WHEN k % 3 = 0 THEN {letters} ELSE initcap({letters}) END)
         WHEN 24 THEN concat('card ', translate(substr(x, 1, 4), 'abcdef', '123456'), '-', translate(substr(x, 5, 4), 'abcdef', '123456'), '-', translate(substr(x, 9, 4), 'abcdef', '123456'))
         WHEN 26 THEN concat({word}, {link}, '"', {noun(29)}, ' ', {noun(33)}, ' ', CASE WHEN k % 4 = 0 THEN '' ELSE substr(y, 45, 2) END, ' ', {noun(37)}, '"')
         WHEN 27 THEN concat({word}, {link}, substr(x, 1, 5), {mark}, upper(substr(x, 6, 3)), substr(x, 9, 4))
@@ -169,7 +170,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         WHEN 31 THEN concat({word}, {link}, element_at(array('os.environ["DB_PASS"]', 'get_token()', 'self.secret_value', 'config.password', 'settings.API_KEY', 'request.form["password"]', 'getpass.getpass()', 'args.token'), 1 + cast(k % 8 as int)))
         WHEN 32 THEN concat({word}, {link}, '"', substr(x, 1, 3), {mark}, upper(substr(x, 6, 4)), {mark}, substr(x, 10, 5), '"')
         WHEN 33 THEN concat({word}, ': ', element_at(array('https://host/reset', 'http://docs/tokens.html', '/etc/app/passwords', './keys/readme.md'), 1 + cast(k % 4 as int)))
-        ELSE concat('href="/', element_at(array('articles', 'category', 'download'), 1 + cast(k % 3 as int)), '/', substr(translate(x, '0123456789', 'ghijklmnop'), 1, 9), '"') END"""
+        WHEN 34 THEN concat('href="/', element_at(array('articles', 'category', 'download'), 1 + cast(k % 3 as int)), '/', substr(translate(x, '0123456789', 'ghijklmnop'), 1, 9), '"')
+        ELSE concat(element_at(array('the ', '. ', '| ', '### '), 1 + cast(k % 4 as int)), CASE WHEN kind % 3 = 0 THEN initcap({letters}) WHEN kind = 40 THEN upper({letters}) ELSE {letters} END) END"""
     lead = "element_at(array('of the reand and ', 'est le tion. ', 'und der ', 'los que\n', 'export ', '', 'see ', '*** '), 1 + cast(conv(substr(y, 1, 4), 16, 10) % 8 as int))"
     tail = "element_at(array(' the and of', '', '\n', ' ist von', '### est'), 1 + cast(conv(substr(y, 5, 4), 16, 10) % 5 as int))"
     source = "element_at(array('src1', 'src7', '', 'config/app.yml', '.env', 'lib/util.py', 'docs/readme.md'), 1 + cast(conv(substr(y, 9, 4), 16, 10) % 7 as int))"

@@ -55,7 +55,7 @@ def test_findings_and_redaction(spark):
 
 def test_held_out_findings(spark):
     vote = S.train(spark)
-    rows = S.scan(S.labelled_findings(spark, 3200).where("NOT text IS NULL").selectExpr("*", "text AS t"), vote).selectExpr("label", "exists(found, c -> c.secret) AS secret").collect()[S.FINDINGS :]
+    rows = S.scan(S.labelled_findings(spark, 4000).where("NOT text IS NULL").selectExpr("*", "text AS t"), vote).selectExpr("label", "exists(found, c -> c.secret) AS secret").collect()[S.FINDINGS :]
     right = sum(r.secret == bool(r.label) for r in rows)
     assert right >= 0.95 * len(rows)
 
