@@ -21,7 +21,7 @@ does), else all up to the next white space, six characters at least, without the
 its end; it also ends before ``&``, ``;`` or ``,`` if a name of letters and an equals sign follow, for there
 the next setting begins.  Of ``scheme://user:password@host`` the password is a candidate.  Values with
 other names have six characters at least and end before a blank, a quotation mark, a comma, a semicolon
-or an equals sign.
+or an equals sign; the port and path of an address are none.
 """
 
 from __future__ import annotations
@@ -56,6 +56,9 @@ LONG = rf"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{{12,}}+(?!(?<={CREDENTIAL}){SIGN}
 #: What stands in front of any other value; a sign may end the match before.
 ASSIGNED = r"[=:]\s{0,8}+|[\"']|\G(?<=[=:])\s{0,8}+"
 
+#: The port in an address is no value.
+PORT = r"[0-9]{1,5}+(?=/)(?<=://[A-Za-z0-9.-]{1,253}:[0-9]{1,5})"
+
 #: A candidate, leftmost first and without overlap.  Possessive, so that long runs cost no recursion.
 #: Names and signs in front of values belong to the match and are parted from the values later.
 CANDIDATE = (
@@ -63,7 +66,7 @@ CANDIDATE = (
     rf"|(?=[abcpstABCPST]){CREDENTIAL}{SIGN}(?:{QUOTATION}|{PLAIN})"
     rf"|{USER}[^\s/\"'<>]+(?=@)"
     rf"|{LONG}"
-    rf"|(?:{ASSIGNED})(?!{LONG}|://|-----BEGIN |[A-Za-z0-9_./+-]*{CREDENTIAL}{SIGN}|[A-Za-z0-9+.-]*+{USER}[^\s/\"'<>]+@)[^\s\"'=,;]{{6,}}+"
+    rf"|(?:{ASSIGNED})(?!{LONG}|{PORT}|://|-----BEGIN |[A-Za-z0-9_./+-]*{CREDENTIAL}{SIGN}|[A-Za-z0-9+.-]*+{USER}[^\s/\"'<>]+@)[^\s\"'=,;]{{6,}}+"
 )
 #: The part of a match in front of its value.
 FRONT = rf"\A(?:{CREDENTIAL}{SIGN}[\"'`]?+|{USER}|[=:]\s*+|[\"']|\s++)"
