@@ -54,7 +54,7 @@ CLOSING = "\"'`\\.,;:)]}>"
 #: A long mixed token, but no name of a credential in front of its value.
 LONG = rf"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{{12,}}+(?!(?<={CREDENTIAL}){SIGN})={{0,2}}+(?![A-Za-z0-9_])"
 #: What stands in front of any other value; a sign may end the match before.
-ASSIGNED = r"[=:]\s{0,8}+|[\"']|\G(?<=[=:])\s{0,8}+"
+ASSIGNED = r"(?:=|:(?!//))\s{0,8}+|[\"']|\G(?<=[=:])\s{0,8}+"
 
 #: The port in an address is no value.
 PORT = r"[0-9]{1,5}+(?=/)(?<=://[A-Za-z0-9.-]{1,253}:[0-9]{1,5})"
