@@ -7,16 +7,15 @@ before w and h2 the one before that (or the beginning):
     p(w | h2 h1) = (c(h2 h1 w) + b c(h1 w) + m p1(w)) / (c(h2 h1) + b c(h1) + m)
 
 It sums to 1 over the vocabulary and one unknown word.  b and m are those of SHARES and MASSES with the
-highest leave-one-out likelihood of the training tokens, by counts over the whole corpus: numerators and
-denominators add up apart, both over the pairs (h1, w) whose hash falls into one of PAIR_SHARE parts,
-with every occurrence of these pairs and of what stands before them.  Scores depend on the table alone,
-not on files, partitions or batches.
+highest leave-one-out likelihood of the training tokens, by the counts of all of them: the shards add up
+numerators and denominators apart, over all their n-grams and pairs.  Scores depend on the table alone, not
+on files, partitions or batches.
 
 The trie holds n-grams in reversed order (a word, the h1 before it, the h2 before both), so that what
-is asked about one word lies in one shard.  A first job counts words and those pairs' n-grams; the counts
-of frequent words, at most HOT of them, go everywhere.  A second job deals every token with the two before
-it to the shard of the word (of frequent words by h1 too, so that none is hot).  A shard counts its
-training n-grams and builds a trie of three levels - monotone pointers to the children of a node and
+is asked about one word lies in one shard.  A first job counts words; the counts of frequent words, at
+most HOT of them, go everywhere.  A second job deals every token with the two before it to the shard of the
+word (of frequent words by h1 too, so that none is hot).  What is dealt is shuffled once and read twice:
+for b and m, then for the scores.  A shard counts its training n-grams and builds a trie of three levels - monotone pointers to the children of a node and
 their ids, both as Elias-Fano sequences, and quantised values, memory-mapped - and answers its tokens
 level by level, by successor search of the context within the node's range.  The denominator depends on
 (h2, h1) alone and is added in the shard where these two are word and context.  The model's tables are
@@ -34,6 +33,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +50,11 @@ HOT = 50_000
 #: Tokens meant for one shard.  Fewer shards have longer blobs, in which contexts repeat more.
 PER_SHARD = 4_000_000
 #: Tokens of a chunk, which a task holds at a time.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 800_000
 #: Ranges of words in which a shard builds and asks its trie, one after another, to hold less.
 RANGES = 12
-#: One of so many pairs of words is counted in the first job, for b and m.
-PAIR_SHARE = 16
+#: One of so many pairs of words counts for b and m: every one.
+PAIR_SHARE = 1
 #: Bits of the hashes that contexts are sent as; words are sent with 64.
 CONTEXT_BITS = 48
 #: Steps of the quantised values.
@@ -62,8 +62,7 @@ QUANTUM = 1 / 2048
 HELD_OUT = (7, 2)
 END, BEGIN = U(0x8E9D5AAB3C1F2467), U(0x1B873593CC9E2D51)
 
-#: Of words h1 and h2 are null.
-COUNTS = "word long, h1 long, h2 long, seen long"
+COUNTS = "word long, seen long"
 BLOBS = "shard int, batch long, first long, words binary, contexts binary, tokens binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>"
 PARTIAL = "batch long, blob binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -125,37 +124,22 @@ def _chunk_ranges(batch: pa.RecordBatch):
         yield first, batch.num_rows, np.concatenate(parts), np.concatenate(sizes)
 
 
-def _counted(batches, share: int):
-    """Training tokens of each word, and of each (w, h1, h2) whose pair (w, h1) has its turn."""
+def _counted(batches):
+    """Training tokens of each word."""
     for batch in batches:
         held = _held_out(batch.column(0).to_pylist())
         for i, j, hashes, sizes in _chunk_ranges(batch):
-            own, sizes = hashes[np.repeat(~held[i:j], sizes)], sizes[~held[i:j]]
-            words, seen = np.unique(own, return_counts=True)
-            start = np.cumsum(sizes) - sizes
-            h1, h2 = np.empty_like(own), np.empty_like(own)
-            h1[1:], h2[2:] = own[:-1], own[:-2]
-            h1[start] = h2[start] = BEGIN
-            h2[start[sizes > 1] + 1] = BEGIN
-            turn = K.mix(own ^ (h1 << U(17))) % U(share) == 0
-            grams, count = np.unique(np.stack([own[turn], h1[turn], h2[turn]], axis=1), axis=0, return_counts=True)
-            none = pa.nulls(len(words), pa.int64())
-            columns = [np.concatenate([words, grams[:, 0]]).view(np.int64), *(pa.concat_arrays([none, pa.array(np.ascontiguousarray(grams[:, k]).view(np.int64))]) for k in (1, 2)), np.concatenate([seen, count])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], names=_fields(COUNTS))
-
-
-def weights(counts: DataFrame, total: int, vocabulary: int, docs: int, share: int = PAIR_SHARE) -> tuple[float, float]:
-    """b and m with the highest leave-one-out likelihood; counts: COUNTS, added up over the corpus."""
+            words, seen = np.unique(hashes[np.repeat(~held[i:j], sizes)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(seen, pa.int64())], names=_fields(COUNTS))
+
+
+def weights(dealt: RDD, sent, share: int = PAIR_SHARE) -> tuple[float, float]:
+    """b and m with the highest leave-one-out likelihood; dealt: a partition a shard."""
+    corpus: Corpus = sent.value
     grid = [(b, m) for b in SHARES for m in MASSES]
-    words = counts.where("h1 IS NULL").select("word", F.col("seen").alias("c1"))
-    grams = counts.where("h1 IS NOT NULL")
-    pairs = grams.groupBy("word", "h1").agg(F.sum("seen").alias("c2")).join(words, "word")
-    x, c1, c2 = F.col("seen"), F.col("c1"), F.col("c2")
-    above = grams.join(pairs, ["word", "h1"]).agg(*(F.sum(x * F.log(x - 1 + (c2 - 1) * b + c1 * (m / max(total + vocabulary, 1)))).alias(f"f{k}") for k, (b, m) in enumerate(grid))).first()
-    # a pair is the context of as many tokens as it has, but for those that end a text
-    below = pairs.where(F.col("word") != int(np.array([END]).view(np.int64)[0])).agg(*(F.sum(c2 * F.log(c2 - 1 + (c1 - 1) * b + m)).alias(f"f{k}") for k, (b, m) in enumerate(grid))).first()
-    begin = [docs * np.log(max(docs - 1, 0) * (1 + b) + m) / share for b, m in grid]
-    fit = [(above[k] or 0.0) - (below[k] or 0.0) - begin[k] for k in range(len(grid))]
+    fit = dealt.mapPartitions(lambda rows: [_likelihoods(_Shard(rows), sent, share)]).reduce(np.add)  # a row a shard
+    docs = corpus.docs
+    fit = fit - np.array([docs * np.log(max(docs - 1, 0) * (1 + b) + m) / share for b, m in grid])
     return grid[int(np.argmax(fit))]
 
 
@@ -312,55 +296,95 @@ def _answer(w, h1, h2, names, n_contexts: int, at, train, count, corpus: Corpus,
     sums[3] += np.bincount(at, count, size)
 
 
-def _shard(table: pa.Table, sent) -> pa.Table:
-    """What a shard's tries add to the scores, one blob for each batch of documents."""
-    corpus: Corpus = sent.value
-    parts, batch_of, places, out = [], {}, {}, []
-    for k in range(table.num_rows):
-        batch, first, words, contexts, tokens, *known = (table.column(c)[k] for c in range(1, 9))
-        if words.is_valid:
-            at = first.as_py()
-            (own,) = unpack(words.as_py(), [U])
-            planes = unpack(contexts.as_py(), [np.uint8] * (CONTEXT_BITS // 8))
+class _Shard:
+    """What was dealt to a shard: blobs of tokens and, apart, rows of documents (``known``)."""
+
+    def __init__(self, rows):
+        self.parts, self.batch_of, self.known, places = [], {}, [], {}
+        for _, batch, first, words, contexts, tokens, *known in rows:
+            if words is None:
+                self.known.append((batch, None, *known))
+                continue
+            (own,) = unpack(words, [U])
+            planes = unpack(contexts, [np.uint8] * (CONTEXT_BITS // 8))
             around = np.zeros((len(planes[0]), 8), np.uint8)
             around[:, : len(planes)] = np.stack(planes, axis=1)
-            parts.append((at, own, around.view(U).ravel(), unpack(tokens.as_py(), [np.uint32] * 5)))
-            places[at] = max(places.get(at, 0), int(parts[-1][3][3].max() >> np.uint32(1)) + 1)
-            batch_of[at] = batch.as_py()
-        else:
-            out.append((batch.as_py(), None, *(x.as_py() for x in known)))
-    if parts:
-        contexts = np.unique(np.concatenate([p[2] for p in parts]))
-        # sums for the rows of all blobs, and where each blob's rows begin among them
-        firsts = np.array(sorted(places))
-        begin = np.concatenate([[0], np.cumsum([places[f] for f in firsts])])
-        sums = np.zeros((4, begin[-1]))
+            self.parts.append((first, own, around.view(U).ravel(), unpack(tokens, [np.uint32] * 5)))
+            places[first] = max(places.get(first, 0), int(self.parts[-1][3][3].max() >> np.uint32(1)) + 1)
+            self.batch_of[first] = batch
+        # places for the rows of all blobs, and where each blob's rows begin among them
+        self.firsts = np.array(sorted(places), np.int64)
+        self.begin = np.concatenate([[0], np.cumsum([places[f] for f in self.firsts])]).astype(np.int64)
+
+    def ranges(self):
+        """Per range of words: words, number of contexts, and of each token word, h1, h2, row's place, whether
+        it is a training one, count."""
+        if not self.parts:
+            return
+        contexts = np.unique(np.concatenate([p[2] for p in self.parts]))
         edges = np.array([((1 << 64) * k) // RANGES for k in range(1, RANGES)], dtype=U)
         # words are in order in a blob, and so are its tokens by word
-        cuts = []
-        for _, own, _, columns in parts:
+        cuts, places = [], []
+        for _, own, around, columns in self.parts:
+            places.append(np.searchsorted(contexts, around).astype(np.int32))
             word_cuts = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
             cuts.append((word_cuts, np.searchsorted(columns[0], word_cuts)))
         for k in range(RANGES):
-            names = np.unique(np.concatenate([p[1][c[0][k] : c[0][k + 1]] for p, c in zip(parts, cuts, strict=True)]))
+            names = np.unique(np.concatenate([p[1][c[0][k] : c[0][k + 1]] for p, c in zip(self.parts, cuts, strict=True)]))
             if not len(names):
                 continue
             held: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for (first, own, around, columns), (_, c) in zip(parts, cuts, strict=True):
+            for (first, own, _, columns), (own_cuts, c), place in zip(self.parts, cuts, places, strict=True):
                 w, h1, h2, owner, count = (x[c[k] : c[k + 1]] for x in columns)
-                place = np.searchsorted(contexts, around)
-                at = begin[np.searchsorted(firsts, first)] + (owner >> np.uint32(1)).astype(np.int64)
-                for column, x in zip(held, (np.searchsorted(names, own)[w], place[h1], place[h2], at, (owner & np.uint32(1)) == 0, count.astype(np.int64)), strict=True):
+                low, high = own_cuts[k], own_cuts[k + 1]
+                at = self.begin[np.searchsorted(self.firsts, first)] + (owner >> np.uint32(1)).astype(np.int64)
+                for column, x in zip(held, (np.searchsorted(names, own[low:high])[w - low], place[h1], place[h2], at, (owner & np.uint32(1)) == 0, count.astype(np.int64)), strict=True):
                     column.append(x)
-            w, h1, h2, at, train, count = (np.concatenate(x) for x in held)
+            columns = [np.concatenate(x) for x in held]
             held.clear()
-            _answer(w, h1, h2, names, len(contexts), at, train, count, corpus, sums)
-        for f, s, e in zip(firsts, begin[:-1], begin[1:], strict=True):
-            full = s + np.flatnonzero(sums[3, s:e])
-            row = (f - batch_of[f] + full - s).astype(np.uint32)
-            out.append((batch_of[f], b"".join([len(full).to_bytes(8, "little"), row.tobytes(), sums[0, full].astype(np.uint32).tobytes(), sums[1, full].tobytes(), sums[2, full].tobytes()]), None, None, None))
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
-    return pa.Table.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=_fields(PARTIAL))
+            yield names, contexts, *columns
+
+
+def _likelihoods(shard: _Shard, sent, share: int) -> np.ndarray:
+    """What a shard adds to the leave-one-out likelihood of each b and m."""
+    corpus: Corpus = sent.value
+    out = np.zeros(len(SHARES) * len(MASSES))
+    for names, contexts, w, h1, h2, _, train, count in shard.ranges():
+        g = Grams(w[train], h1[train], h2[train], max(len(contexts), len(names)))
+        x = np.bincount(g.of, count[train], len(g.pair))
+        c2, hot = np.bincount(g.pair, x, len(g.pairs)), corpus.of_words(names)
+        c1 = np.where(hot > 0, hot, np.bincount(g.pair_w, c2, len(names)))
+        turn = K.mix(names[g.pair_w] ^ (contexts[g.pair_h] << U(17))) % U(share) == 0
+        # a pair is the context of as many tokens as it has, but for those that end a text
+        divides = turn & (names[g.pair_w] != END)
+        # of pairs seen once only the word's count matters: words stand for them, with their number
+        once, often = c2 == 1, c2 > 1
+        singles, dividing = (np.bincount(g.pair_w[once & t], minlength=len(names)) for t in (turn, divides))
+        met, divided = np.flatnonzero(singles), np.flatnonzero(dividing)
+        mine, divides = (turn & often)[g.pair], divides & often
+        pair, x = g.pair[mine], x[mine]
+        of = g.pair_w[pair]
+        for j, m in enumerate(MASSES):
+            lowest = c1 * (m / max(corpus.total + corpus.vocabulary, 1))
+            alone = singles[met] @ np.log(lowest[met])
+            for k, b in enumerate(SHARES):
+                above = x @ np.log(x - 1 + ((c2 - 1) * b)[pair] + lowest[of])
+                below = c2[divides] @ np.log(c2[divides] - 1 + ((c1 - 1) * b + m)[g.pair_w[divides]])
+                out[k * len(MASSES) + j] += alone + above - below - dividing[divided] @ np.log((c1[divided] - 1) * b + m)
+    return out
+
+
+def _shard(rows, sent):
+    """What a shard's tries add to the scores, one blob for each batch of documents."""
+    corpus, shard = sent.value, _Shard(rows)
+    yield from shard.known
+    sums = np.zeros((4, shard.begin[-1]))
+    for names, contexts, *tokens in shard.ranges():
+        _answer(*tokens[:3], names, len(contexts), *tokens[3:], corpus, sums)
+    for f, s, e in zip(shard.firsts.tolist(), shard.begin[:-1], shard.begin[1:], strict=True):
+        full = s + np.flatnonzero(sums[3, s:e])
+        row = (f - shard.batch_of[f] + full - s).astype(np.uint32)
+        yield shard.batch_of[f], b"".join([len(full).to_bytes(8, "little"), row.tobytes(), sums[0, full].astype(np.uint32).tobytes(), sums[1, full].tobytes(), sums[2, full].tobytes()]), None, None, None
 
 
 def _summed(table: pa.Table, start: float) -> pa.Table:
@@ -385,19 +409,20 @@ def score(documents: DataFrame) -> DataFrame:
     """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = written(docs.mapInArrow(partial(_counted, share=PAIR_SHARE), COUNTS).groupBy("word", "h1", "h2").agg(F.sum("seen").alias("seen")), "counts")
-    words = counts.where("h1 IS NULL").select("word", "seen")
+    words = written(docs.mapInArrow(_counted, COUNTS).groupBy("word").agg(F.sum("seen").alias("seen")), "counts")
     end = int(np.array([END]).view(np.int64)[0])
     totals = words.agg(F.sum("seen").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == end, F.col("seen"))).alias("docs")).first()
     total, docs_seen = totals["n"] or 0, totals["docs"] or 0
-    b, m = weights(counts, total, totals["v"], docs_seen, PAIR_SHARE)
     hot = words.where((F.col("seen") >= total / HOT) & (F.col("seen") > 1)).toPandas()  # HOT rows at most
-    corpus = Corpus(hot["word"].to_numpy(np.int64).view(U), hot["seen"].to_numpy(np.int64), total, totals["v"], docs_seen, b, m)
-    sent = spark.sparkContext.broadcast(corpus)
+    known = (hot["word"].to_numpy(np.int64).view(U), hot["seen"].to_numpy(np.int64), total, totals["v"], docs_seen)
+    counted = spark.sparkContext.broadcast(Corpus(*known, 0.0, 0.0))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_SHARD), 1)
+    # one RDD for both readings, so that it is dealt once
+    dealt = docs.mapInArrow(partial(_dealt, sent=counted, shards=shards), BLOBS).repartitionById(shards, "shard").rdd
+    corpus = Corpus(*known, *weights(dealt, counted, PAIR_SHARE))
+    sent = spark.sparkContext.broadcast(corpus)
     start = float(np.log10(docs_seen + corpus.b * docs_seen + corpus.m))
-    blobs = docs.mapInArrow(partial(_dealt, sent=sent, shards=shards), BLOBS)
-    parts = blobs.groupBy("shard").applyInArrow(lambda table: _shard(table, sent), PARTIAL)
+    parts = spark.createDataFrame(dealt.mapPartitions(lambda rows: _shard(rows, sent)), PARTIAL, verifySchema=False)
     sums = parts.groupBy("batch").applyInArrow(lambda table: _summed(table, start), SCORES)
     return sums.withColumn("train_tokens", F.lit(total).cast("long"))
 

@@ -176,3 +176,12 @@ def test_elias_fano():
         assert (sequence.successor(asked) == np.searchsorted(values, asked)).all()
         assert (sequence.at(np.arange(len(values))) == values).all()
         assert ((sequence.find(asked) >= 0) == np.isin(asked, values)).all()
+
+
+def test_weights_come_from_every_pair(spark, monkeypatch):
+    """In small corpora, where a part of the pairs would choose other weights."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 50}" for _ in range(rng.randint(1, 12))), "") for i in range(24)]
+        grid = {(b, m): leave_one_out(rows, b, m) for b in L.SHARES for m in L.MASSES}
+        assert chosen(spark, monkeypatch, rows, L.PAIR_SHARE) == max(grid, key=grid.get)
