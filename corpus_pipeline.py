@@ -7,6 +7,8 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,25 @@ from lodeseek.llm.storage import written
 from lodeseek.session import reachable
 
 
+def _relieved(stage):
+    """The stage, begun with a driver that has given back what the one before left: hundreds of small
+    jobs, their plans and broadcasts fill its heap up to the limit otherwise."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.sparkContext._jvm.System.gc()
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_relieved
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from their labels."""
     return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@_relieved
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group that 5-word shingles link at 0.8 or more.  Rows of one doc_id
     and text are one document; unlike texts of one doc_id are documents of their own.  Rows without a
@@ -33,16 +49,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
+@_relieved
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_relieved
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced in their texts."""
     return secret_forest.redact(docs)
 
 
+@_relieved
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
     return packing.placed(packing.pack(docs))

@@ -75,3 +75,13 @@ def test_unlike_texts_of_one_doc_id_stay(spark):
     got = pipeline.STAGES[1][1](spark, docs, "")
     assert got.columns == docs.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("5", a), ("5", b), ("5", "None"), ("7", ""), ("None", a)])
+
+
+def test_a_stage_begins_with_a_collected_heap(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    import corpus_pipeline
+
+    corpus_pipeline.pack_sequences(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+    assert full() > before
