@@ -11,6 +11,8 @@ from ..functions import vectors as V
 
 #: Queries, and rows, of one block.
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: Scores that a task holds at a time.
+SCORES = 1 << 18
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", column: str = "embedding") -> DataFrame:
@@ -36,20 +38,34 @@ def _blocks(batches, size: int, name: str):
             yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([int(lengths[0])], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["ids", "dimensions", "numbers"])
 
 
+def _first(far: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least, of equal ones the least ids; only what reaches the k-th is sorted."""
+    if k < len(far):
+        within = np.flatnonzero(~(far > np.partition(far, k - 1)[k - 1]))
+        return within[np.lexsort((ids[within], far[within]))[:k]]
+    return np.lexsort((ids, far))
+
+
 def _nearest(batches, k: int):
-    """Pairs of a block of rows and one of queries: each query's k nearest, by one matrix product."""
+    """Pairs of a block of rows and one of queries: each query's k nearest, by matrix products of at
+    most SCORES numbers."""
     for batch in batches:
         for r in range(batch.num_rows):
-            own, width, numbers, queries, query_width, asked = (c[r].as_py() for c in batch.columns)
+            width, query_width = (batch.column(c)[r].as_py() for c in (1, 4))
             if width != query_width:
                 raise ValueError(f"vectors have {width} numbers, queries {query_width}")
-            m, q = (np.frombuffer(x, np.float32).astype(np.float64).reshape(-1, width) for x in (numbers, asked))
-            scale = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1))
-            near = np.divide(q @ m.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            ids = np.array(own)
-            order = np.array([np.lexsort((ids, -x))[:k] for x in near])
-            n = order.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(queries), n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())], names=["query_id", "id", "cosine"])
+            ids, queries = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (0, 3))
+            # the numbers stay where the batch has them
+            numbers, asked = (np.frombuffer(batch.column(c)[r].as_buffer(), np.float32).reshape(-1, width) for c in (2, 5))
+            m = numbers.astype(np.float64)
+            lengths, strip = np.linalg.norm(m, axis=1), max(1, SCORES // len(ids))
+            for s in range(0, len(queries), strip):
+                q = asked[s : s + strip].astype(np.float64)
+                scale = np.outer(np.linalg.norm(q, axis=1), lengths)
+                near = np.divide(q @ m.T, scale, out=np.zeros_like(scale), where=scale > 0)
+                order = np.array([_first(-x, ids, k) for x in near])
+                n = order.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[s : s + strip], n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())], names=["query_id", "id", "cosine"])
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", column: str = "embedding") -> DataFrame:

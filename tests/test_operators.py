@@ -223,3 +223,21 @@ def test_postings_with_and_without_a_shuffle(spark):
     d = spark.createDataFrame(rows, "id long, text string, path string")
     both = [sorted((r.field, r.term, r.id, r.tf, tuple(r.positions)) for r in f(d, "id", {"text": "text", "path": "path"}).collect()) for f in (fts.postings, fts.all_postings)]
     assert both[0] == both[1] and len(both[0]) > 15
+
+
+def test_nearest_holds_few_scores_at_a_time(spark, monkeypatch):
+    """Equal scores across strips, in order of id; no product holds more than SCORES numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector_search, "SCORES", 40)
+    held, real = [], np.outer
+    monkeypatch.setattr(vector_search.np, "outer", lambda a, b: held.append(len(a) * len(b)) or real(a, b))
+    rng = np.random.default_rng(3)
+    v, q, ids = rng.integers(-1, 2, (20, 3)).astype(np.float32), rng.integers(-1, 2, (9, 3)).astype(np.float32), rng.permutation(20)
+    row = [pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([3], pa.int32()), pa.array([v.tobytes()], pa.binary()), pa.array([list(range(9))], pa.list_(pa.int64())), pa.array([3], pa.int32()), pa.array([q.tobytes()], pa.binary())]
+    got = [(r["query_id"], r["id"]) for b in vector_search._nearest([pa.RecordBatch.from_arrays(row, names=list("abcdef"))], 4) for r in b.to_pylist()]
+    scale = np.outer(np.linalg.norm(q.astype(float), axis=1), np.linalg.norm(v.astype(float), axis=1))
+    near = np.divide(q.astype(float) @ v.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    assert got == [(i, ids[j]) for i in range(9) for j in np.lexsort((ids, -near[i]))[:4]]
+    assert max(held[:-1]) <= 40
