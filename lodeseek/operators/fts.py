@@ -45,6 +45,15 @@ def all_postings(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFram
     return d.select("field", "p.term", "id", F.size("p.positions").cast("long").alias("tf"), "p.positions", "dl")
 
 
+def counted_postings(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
+    """The rows of ``all_postings`` without positions: where only frequencies are kept."""
+    each = [F.struct(F.lit(name).alias("field"), F.sort_array(T.tokens(F.col(column))).alias("s")) for name, column in fields.items()]
+    d = df.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("f")).select("id", "f.field", "f.s")
+    d = d.withColumn("starts", F.expr("filter(transform(s, (x, k) -> CASE WHEN k = 0 OR s[k - 1] <> x THEN k END), k -> k IS NOT NULL)"))
+    terms = "transform(starts, (k, j) -> named_struct('term', s[k], 'tf', CAST(coalesce(get(starts, j + 1), size(s)) - k AS LONG)))"
+    return d.select("id", "field", F.size("s").cast("long").alias("dl"), F.explode(F.expr(terms)).alias("p")).select("field", "p.term", "id", "p.tf", "dl")
+
+
 def lengths(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     """(id, field, dl): tokens of each field; no shuffle."""
     each = [F.struct(F.lit(name).alias("field"), F.size(T.tokens(F.col(column))).cast("long").alias("dl")) for name, column in fields.items()]

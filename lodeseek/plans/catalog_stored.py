@@ -54,8 +54,10 @@ PRUNED = ["the", "of"]
 @query("fts_topk_pruned", f"SELECT id, round(score, 6) AS score FROM ({C.bm25_sql('documents', 'doc_id', {'text': 'text'}, PRUNED)}) ORDER BY score DESC, id LIMIT 200")
 def fts_topk_pruned(spark, sf):
     """The 200 best of two common words, from postings in blocks."""
-    post = written(block_max.with_blocks(fts.all_postings(table(spark, sf, "documents"), "doc_id", {"text": "text"}).drop("positions")), "postings")
-    totals = {r.field: (r.n, r.avgdl) for r in fts.corpus_stats(fts.lengths(table(spark, sf, "documents"), "doc_id", {"text": "text"})).collect()}  # a row a field
+    post = written(block_max.with_blocks(fts.counted_postings(table(spark, sf, "documents"), "doc_id", {"text": "text"})), "postings")
+    # the texts are not taken apart again for their lengths: frequencies add up to them
+    n, tokens = table(spark, sf, "documents").count(), post.agg(F.sum("tf")).first()[0] or 0
+    totals = {"text": (n, tokens / max(n, 1))}
     blocks = written(block_max.block_table(post), "blocks")
     top, _ = block_max.top_k(post, blocks, totals, PRUNED, 200)
     return top.withColumn("score", F.round("score", 6))
@@ -66,7 +68,7 @@ def fts_topk_pruned(spark, sf):
     SELECT 'text' AS field, term, id // {block_max.BLOCK} AS block, count(*) AS n, max(tf) AS max_tf, min(dl)::BIGINT AS min_dl FROM f GROUP BY term, block""")
 def fts_block_bounds(spark, sf):
     """Of each term and block of ids what bounds its scores."""
-    return block_max.block_table(block_max.with_blocks(fts.all_postings(table(spark, sf, "documents"), "doc_id", {"text": "text"}).drop("positions")))
+    return block_max.block_table(block_max.with_blocks(fts.counted_postings(table(spark, sf, "documents"), "doc_id", {"text": "text"})))
 
 
 #: What a second segment holds, and what is gone from both.
@@ -79,7 +81,7 @@ def segment_search(spark, sf):
     taken off the totals, which are not counted anew."""
     second, gone = (F.coalesce(F.expr(x), F.lit(False)) for x in (_SECOND, _GONE))
     docs = table(spark, sf, "documents").select("doc_id", "text", second.alias("second"), gone.alias("gone"))
-    parts = [written(fts.all_postings(docs.where(own), "doc_id", {"text": "text"}).drop("positions"), "segment") for own in ("NOT second", "second")]
+    parts = [written(fts.counted_postings(docs.where(own), "doc_id", {"text": "text"}), "segment") for own in ("NOT second", "second")]
     lens = written(docs.select("doc_id", "second", "gone", F.size(C.T.tokens("text")).cast("long").alias("dl")), "lengths")
     per = lens.groupBy("second").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).drop("second")
     less = lens.where("gone").agg((-F.count("*")).alias("n"), (-F.sum("dl")).alias("dl"))

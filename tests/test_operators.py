@@ -241,3 +241,9 @@ def test_nearest_holds_few_scores_at_a_time(spark, monkeypatch):
     near = np.divide(q.astype(float) @ v.T, scale, out=np.zeros_like(scale), where=scale > 0)
     assert got == [(i, ids[j]) for i in range(9) for j in np.lexsort((ids, -near[i]))[:4]]
     assert max(held[:-1]) <= 40
+
+
+def test_counted_postings_are_all_postings(spark):
+    d = spark.createDataFrame([(1, "b a B c a", "x/a"), (2, None, ""), (3, "é 1 É", None)], "id long, text string, path string")
+    both = [sorted(map(tuple, p.select("field", "term", "id", "tf", "dl").collect())) for p in (f(d, "id", {"text": "text", "path": "path"}) for f in (fts.all_postings, fts.counted_postings))]
+    assert both[0] == both[1] and len(both[0]) == 7
