@@ -7,6 +7,8 @@ import tempfile
 import numpy as np
 
 U = np.uint64
+#: When more than one key is asked for so many elements, the sequence is read through once instead.
+MANY = 16
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
@@ -45,19 +47,43 @@ def unpack(words: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
     return (low | high) & U((1 << width) - 1)
 
 
+def _parts(values: np.ndarray, universe: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Width of the low bits, the last high part, the low bits and the unary part."""
+    n = len(values)
+    width = min(62, max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1))
+    high = (values >> U(width)).astype(np.int64)
+    last = int(high[-1]) if n else 0
+    bits = np.zeros(((n + last + 2) // 8 + 1) * 8, np.uint8)
+    bits[high + np.arange(n)] = 1
+    return width, last, pack(values & U((1 << width) - 1), width), np.packbits(bits, bitorder="little")
+
+
+def _all(n: int, width: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Every element, in order."""
+    place = np.arange(n, dtype=np.int64)
+    return ((np.flatnonzero(np.unpackbits(high, bitorder="little")) - place).astype(U) << U(width)) | unpack(low, place, width)
+
+
+def encoded(values: np.ndarray, universe: int) -> bytes:
+    """The sequence as bytes, for what tasks hand to each other."""
+    width, _, low, high = _parts(values, universe)
+    return np.array([len(values), width], np.int64).tobytes() + low[:-1].tobytes() + high.tobytes()
+
+
+def decoded(blob: bytes) -> np.ndarray:
+    n, width = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    words = (n * width >> 6) + 1
+    low = np.append(np.frombuffer(blob, U, words, 16), U(0))
+    return _all(n, width, low, np.frombuffer(blob, np.uint8, -1, 16 + 8 * words))
+
+
 class EliasFano:
     """A sequence of 64-bit numbers that never falls: low bits packed, high bits in unary."""
 
     def __init__(self, values: np.ndarray, universe: int):
-        self.n = n = len(values)
-        self.width = width = min(62, max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1))
-        high = (values >> U(width)).astype(np.int64)
-        self.last = last = int(high[-1]) if n else 0
-        bits = np.zeros(((n + last + 2) // 8 + 1) * 8, np.uint8)
-        bits[high + np.arange(n)] = 1
-        packed = np.packbits(bits, bitorder="little")
-        self.low = mapped(pack(values & U((1 << width) - 1), width))
-        self.high = mapped(packed)
+        self.n = len(values)
+        self.width, self.last, low, packed = _parts(values, universe)
+        self.low, self.high = mapped(low), mapped(packed)
         # zeros before each byte of the unary part: the directory for select
         self.zeros = mapped(np.concatenate([[0], np.cumsum(8 - _ONES[packed])]))
 
@@ -79,6 +105,8 @@ class EliasFano:
         """For each key the index of the first element that is not less (n if there is none)."""
         if not self.n:
             return np.zeros(len(keys), np.int64)
+        if len(keys) > self.n // MANY:
+            return np.searchsorted(_all(self.n, self.width, self.low, self.high), keys)
         h = (keys >> U(self.width)).astype(np.int64)
         beyond = h > self.last
         h = np.minimum(h, self.last)
@@ -113,6 +141,10 @@ class EliasFano:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The index of each key, or -1."""
+        if self.n and len(keys) > self.n // MANY:
+            every = _all(self.n, self.width, self.low, self.high)
+            i = np.searchsorted(every, keys)
+            return np.where((i < self.n) & (every[np.minimum(i, self.n - 1)] == keys), i, -1)
         i = self.successor(keys)
         inside = np.minimum(i, max(self.n - 1, 0))
         return np.where((i < self.n) & (self.at(inside) == keys), i, -1) if self.n else np.full(len(keys), -1)

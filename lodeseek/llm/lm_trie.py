@@ -7,19 +7,18 @@ before w and h2 the one before that (or the beginning):
     p(w | h2 h1) = (c(h2 h1 w) + b c(h1 w) + m p1(w)) / (c(h2 h1) + b c(h1) + m)
 
 It sums to 1 over the vocabulary and one unknown word.  b and m are those of SHARES and MASSES with the
-highest leave-one-out likelihood of the training tokens, by the counts of all of them: the shards add up
-numerators and denominators apart, over all their n-grams and pairs.  Scores depend on the table alone, not
-on files, partitions or batches.
-
-The trie holds n-grams in reversed order (a word, the h1 before it, the h2 before both), so that what
-is asked about one word lies in one shard.  A first job counts words; the counts of frequent words, at
-most HOT of them, go everywhere.  A second job deals every token with the two before it to the shard of the
-word (of frequent words by h1 too, so that none is hot).  What is dealt is shuffled once and read twice:
-for b and m, then for the scores.  A shard counts its training n-grams and builds a trie of three levels - monotone pointers to the children of a node and
-their ids, both as Elias-Fano sequences, and quantised values, memory-mapped - and answers its tokens
-level by level, by successor search of the context within the node's range.  The denominator depends on
-(h2, h1) alone and is added in the shard where these two are word and context.  The model's tables are
-never gathered anywhere; a shard is rebuilt from its input if its executor is lost.
+highest leave-one-out likelihood of the training tokens, by the counts of all of them.  Scores depend on
+the table alone, not on files, partitions or batches.
+
+A chunk of documents has its distinct n-grams in reversed order as a trie: words, pairs (a word and the h1
+before it, hashed together) and below each pair the h2 before both, every level one Elias-Fano sequence.  It
+is cut by ranges of the hashes and dealt to the shards, each n-gram once with its count in the chunk; no word is
+hot, for its pairs are spread.  A shard adds up what was learned into its own trie - again Elias-Fano sequences,
+memory-mapped, with the counts beside - asks it for every n-gram of every chunk by successor search, and
+hands the counts back, in the chunk's order.  There they meet the tokens of the chunk, read a second time, and
+give each document's score for every b and m and the chunk's part of the likelihood, so that what was dealt is
+read once.  The model's tables are never gathered anywhere; a shard is rebuilt from its input if its
+executor is lost.  Should the second reading give other tokens than the first, the job fails.
 
 Defined results: null and empty texts are the one end token; without training rows every word is
 unknown; repeated rows are scored each, by their own text, of any length; a null doc_id counts as the empty text
@@ -33,39 +32,39 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text_kernels as K
 from .blobs import pack, unpack
-from .elias_fano import EliasFano, mapped
+from .elias_fano import EliasFano, decoded, encoded, mapped
 from .storage import written
 
 U = np.uint64
 #: Weights that the bigram's and the word's level may have, as seen tokens: b and m.
 SHARES, MASSES = [1 / 64, 1 / 8, 1.0], [4.0**k for k in range(0, 11, 2)]
-#: A word with at least N / HOT tokens is frequent: HOT of them at most.
+GRID = [(b, m) for b in SHARES for m in MASSES]
+#: Has no effect any more: frequent words were dealt apart when a word's n-grams lay in one shard.
 HOT = 50_000
-#: Tokens meant for one shard.  Fewer shards have longer blobs, in which contexts repeat more.
-PER_SHARD = 4_000_000
+#: Bytes of text meant for one shard.
+PER_SHARD = 20_000_000
 #: Tokens of a chunk, which a task holds at a time.
-CHUNK_TOKENS = 800_000
-#: Ranges of words in which a shard builds and asks its trie, one after another, to hold less.
-RANGES = 12
+CHUNK_TOKENS = 1_600_000
+#: Ranges of pairs in which a shard builds and asks its trie, one after another, to hold less.
+RANGES = 4
 #: One of so many pairs of words counts for b and m: every one.
 PAIR_SHARE = 1
-#: Bits of the hashes that contexts are sent as; words are sent with 64.
-CONTEXT_BITS = 48
-#: Steps of the quantised values.
+#: Bits of the hashes of pairs and of the h2 below a pair; words have 64.
+PAIR_BITS, CONTEXT_BITS = 56, 36
+#: Steps of quantised values; counts are kept as they are.
 QUANTUM = 1 / 2048
 HELD_OUT = (7, 2)
 END, BEGIN = U(0x8E9D5AAB3C1F2467), U(0x1B873593CC9E2D51)
 
-COUNTS = "word long, seen long"
-BLOBS = "shard int, batch long, first long, words binary, contexts binary, tokens binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>"
-PARTIAL = "batch long, blob binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+BLOBS = "shard int, batch long, digest long, words binary, pairs binary, grams binary, counts binary"
+ANSWERS = "shard int, batch long, digest long, counts binary, total long, vocabulary long, docs long"
+CHUNKS = "batch long, digest long, words binary, tokens binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, fit array<double>"
 
 
 def _fields(schema: str) -> list[str]:
@@ -88,343 +87,290 @@ def _tokens(batch: pa.RecordBatch):
 
 
 class Grams:
-    """The distinct n-grams of tokens numbered below n: (w, h1) in order as ``pair_w``, ``pair_h``, and
-    (w, h1, h2) in order as ``pair`` and ``h2``; ``of`` is each token's."""
-
-    def __init__(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, n: int):
-        self.n, size = n, U(max(n, 1))
-        self.pairs, pair_of = np.unique(w.astype(U) * size + h1.astype(U), return_inverse=True)
-        grams, self.of = np.unique(pair_of.astype(U) * size + h2.astype(U), return_inverse=True)
-        del pair_of
-        self.pair_w, self.pair_h = (self.pairs // size).astype(np.int32), (self.pairs % size).astype(np.int32)
-        self.pair, self.h2 = (grams // size).astype(np.int32), (grams % size).astype(np.int32)
-
-
-def _with_contexts(tokens: np.ndarray, sizes: np.ndarray, begin: int) -> Grams:
-    """The n-grams of documents of these sizes, one after another; ``begin`` stands before each."""
-    start = np.cumsum(sizes) - sizes
-    h1, h2 = np.empty_like(tokens), np.empty_like(tokens)
-    h1[1:], h2[2:] = tokens[:-1], tokens[:-2]
-    h1[start] = h2[start] = begin
-    h2[start[sizes > 1] + 1] = begin
-    return Grams(tokens, h1, h2, begin + 1)
-
-
-def _chunk_ranges(batch: pa.RecordBatch):
-    """Per chunk of a batch: first row, last row, token hashes, tokens of each document."""
-    parts, sizes, total, first = [], [], 0, 0
-    for i, _, t, at in _tokens(batch):
-        if parts and total + len(t) > CHUNK_TOKENS:
-            yield first, i, np.concatenate(parts), np.concatenate(sizes)
-            parts, sizes, total, first = [], [], 0, i
-        parts.append(t)
-        sizes.append(np.diff(at))
-        total += len(t)
-    if parts:
-        yield first, batch.num_rows, np.concatenate(parts), np.concatenate(sizes)
-
-
-def _counted(batches):
-    """Training tokens of each word."""
-    for batch in batches:
-        held = _held_out(batch.column(0).to_pylist())
-        for i, j, hashes, sizes in _chunk_ranges(batch):
-            words, seen = np.unique(hashes[np.repeat(~held[i:j], sizes)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(seen, pa.int64())], names=_fields(COUNTS))
-
-
-def weights(dealt: RDD, sent, share: int = PAIR_SHARE) -> tuple[float, float]:
-    """b and m with the highest leave-one-out likelihood; dealt: a partition a shard."""
-    corpus: Corpus = sent.value
-    grid = [(b, m) for b in SHARES for m in MASSES]
-    fit = dealt.mapPartitions(lambda rows: [_likelihoods(_Shard(rows), sent, share)]).reduce(np.add)  # a row a shard
-    docs = corpus.docs
-    fit = fit - np.array([docs * np.log(max(docs - 1, 0) * (1 + b) + m) / share for b, m in grid])
-    return grid[int(np.argmax(fit))]
-
-
-class Corpus:
-    """Counts of the frequent words and of the whole, b and m; what every task is sent."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, vocabulary: int, docs: int, b: float, m: float):
-        order = np.argsort(words)
-        self.words, self.counts, self.total, self.vocabulary, self.docs, self.b, self.m = words[order], counts[order], total, vocabulary, docs, b, m
-
-    def of_words(self, asked: np.ndarray) -> np.ndarray:
-        """Counts of frequent words, 0 for others."""
-        if not len(self.words):
-            return np.zeros(len(asked), np.int64)
-        at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
-        return np.where(self.words[at] == asked, self.counts[at], 0)
+    """The distinct n-grams of documents of these sizes, one after another.  ``words`` are hashes in order and
+    ``word`` each token's; ``pairs`` hashes of (w, h1) in order; ``grams`` in order hold a pair's index
+    above CONTEXT_BITS of h2, and ``gram`` is each token's."""
+
+    def __init__(self, words: np.ndarray, word: np.ndarray, sizes: np.ndarray):
+        self.words, self.word = words, word
+        tokens, start = words[word], np.cumsum(sizes) - sizes
+        h1, h2 = np.empty_like(tokens), np.empty_like(tokens)
+        h1[1:], h2[2:] = tokens[:-1], tokens[:-2]
+        h1[start] = h2[start] = BEGIN
+        h2[start[sizes > 1] + 1] = BEGIN
+        h1 *= K.STEP
+        self.pairs, pair = np.unique(K.mix(tokens ^ h1) >> U(64 - PAIR_BITS), return_inverse=True)
+        self.grams, self.gram = np.unique((pair.astype(U) << U(CONTEXT_BITS)) | (h2 >> U(64 - CONTEXT_BITS)), return_inverse=True)
+        self.pair_word = np.empty(len(self.pairs), np.int64)
+        self.pair_word[pair] = word
+
+    def pair(self) -> np.ndarray:
+        """Each n-gram's pair."""
+        return (self.grams >> U(CONTEXT_BITS)).astype(np.int64)
+
+
+def _chunks(batches):
+    """Per chunk: the place of its first row in the table, digest, ids, whether held out, tokens of each document,
+    words and each token's word."""
+    from pyspark import TaskContext
 
+    row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
 
-def _dealt(batches, sent, shards: int):
-    """Every (word, h1, h2, row) with its count, dealt over the shards; and the rows themselves."""
-    from pyspark import TaskContext
+    def whole(first, last, parts, sizes):
+        hashes = np.concatenate(parts)
+        digest = int((hashes * (np.arange(len(hashes), dtype=U) * U(2) + U(1))).sum().view(np.int64))
+        return row + first, digest, ids[first:last], _held_out(ids[first:last]), np.concatenate(sizes), *np.unique(hashes, return_inverse=True)
 
-    corpus: Corpus = sent.value
-    part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    row, long, names = part << 40, pa.int64(), _fields(BLOBS)
-    lists = [pa.list_(long), pa.list_(pa.bool_()), pa.list_(long)]
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        split, every = _held_out(ids), []
-        for i, j, hashes, sizes in _chunk_ranges(batch):
-            every.append(sizes)
-            vocabulary, tokens = np.unique(hashes, return_inverse=True)
-            own = np.append(vocabulary, BEGIN)
-            grams = _with_contexts(tokens, sizes, len(vocabulary))
-            owner = np.repeat(np.arange(j - i) * 2 + split[i:j], sizes)
-            # every document's n-grams once, with their count; in order of word, h1, h2 and document
-            key, count = np.unique(grams.of.astype(np.int64) * (2 * (j - i)) + owner, return_counts=True)
-            gram, owner, count = (key // (2 * (j - i))).astype(np.int32), (key % (2 * (j - i))).astype(np.int32), count.astype(np.int32)
-            pair = grams.pair[gram]
-            w, h1, h2 = grams.pair_w[pair], grams.pair_h[pair], grams.h2[gram]
-            del key, tokens, hashes, pair, gram, grams
-            place = own % U(shards)
-            hot = np.flatnonzero((corpus.of_words(own) > 0)[w])
-            shard = place[w]
-            shard[hot] = K.mix(own[w[hot]] ^ (own[h1[hot]] << U(17))) % U(shards)
-            shard = shard.astype(np.int32)
-            order = np.argsort(shard, kind="stable").astype(np.int32)
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            full = np.flatnonzero(np.diff(edges))
-            blobs: list[list[bytes]] = [[], [], []]
-            for s in full:
-                mine = order[edges[s] : edges[s + 1]]
-                here, around = np.zeros(len(own), bool), np.zeros(len(own), bool)
-                here[w[mine]] = around[h1[mine]] = around[h2[mine]] = True
-                blobs[0].append(pack([own[here]]))
-                blobs[1].append(pack([np.ascontiguousarray((own[around] >> U(64 - CONTEXT_BITS)).view(np.uint8).reshape(-1, 8)[:, k]) for k in range(CONTEXT_BITS // 8)]))
-                at_word, at_context = np.cumsum(here) - 1, np.cumsum(around) - 1
-                blobs[2].append(pack([np.ascontiguousarray(x.astype(np.uint32)) for x in (at_word[w[mine]], at_context[h1[mine]], at_context[h2[mine]], owner[mine], count[mine])]))
-            n = len(full)
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row] * n, long), pa.array([row + i] * n, long), *(pa.array(b, pa.binary()) for b in blobs), *(pa.nulls(n, t) for t in lists)], names=names)
-        if every:
-            known = [pa.array([x], t) for x, t in zip((ids, split.tolist(), np.concatenate(every).tolist()), lists, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([part * 31 % shards], pa.int32()), pa.array([row], long), pa.array([row], long), *(pa.nulls(1, pa.binary()) for _ in blobs), *known], names=names)
+        parts, sizes, total, first = [], [], 0, 0
+        for i, _, t, at in _tokens(batch):
+            if parts and total + len(t) > CHUNK_TOKENS:
+                yield whole(first, i, parts, sizes)
+                parts, sizes, total, first = [], [], 0, i
+            parts.append(t)
+            sizes.append(np.diff(at))
+            total += len(t)
+        if parts:
+            yield whole(first, batch.num_rows, parts, sizes)
         row += batch.num_rows
 
 
+def _bounds(shards: int) -> np.ndarray:
+    """Where each shard's range of 64-bit hashes begins; the first at 0."""
+    return np.array([-(-(k << 64) // shards) for k in range(shards)], dtype=U)
+
+
+def _dealt(batches, shards: int):
+    """Every chunk's trie, cut for the shards, with the training tokens of each word and trigram."""
+    of_words = _bounds(shards)
+    of_pairs = of_words >> U(64 - PAIR_BITS)
+    for batch, digest, _, held, sizes, words, word in _chunks(batches):
+        learn = np.repeat(~held, sizes)
+        g = Grams(words, word, sizes)
+        seen_word = np.bincount(word[learn], minlength=len(words)).astype(np.uint32)
+        seen = np.bincount(g.gram[learn], minlength=len(g.grams)).astype(np.uint32)
+        w, p = (np.append(np.searchsorted(x, b), len(x)) for x, b in ((words, of_words), (g.pairs, of_pairs)))
+        t = np.append(np.searchsorted(g.grams, p[:-1].astype(U) << U(CONTEXT_BITS)), len(g.grams))
+        full = np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0))
+        blobs: list[list[bytes]] = [[], [], [], []]
+        for s in full:
+            blobs[0].append(encoded(words[w[s] : w[s + 1]] - of_words[s], (1 << 64) // shards))
+            blobs[1].append(encoded(g.pairs[p[s] : p[s + 1]] - of_pairs[s], (1 << PAIR_BITS) // shards))
+            blobs[2].append(encoded(g.grams[t[s] : t[s + 1]] - (U(p[s]) << U(CONTEXT_BITS)), int(p[s + 1] - p[s]) << CONTEXT_BITS))
+            blobs[3].append(pack([np.concatenate([seen_word[w[s] : w[s + 1]], seen[t[s] : t[s + 1]]])]))
+        n = len(full)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch] * n, pa.int64()), pa.array([digest] * n, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=_fields(BLOBS))
+
+
 class Level:
-    """One level below words: where each node's children begin, their ids and values.  Ids are stored
-    on top of the last id of the node before, so that the whole sequence rises."""
+    """One level of a trie: the children of nodes, with their values.  An element of its sequence is the
+    node above the id, so that a node's children are one run."""
 
     def __init__(self, node: np.ndarray, ids: np.ndarray, values: np.ndarray, nodes: int, universe: int):
-        """Children sorted by node and id."""
-        begin = np.searchsorted(node, np.arange(nodes + 1))
-        last = np.zeros(nodes, np.int64)
-        full = begin[1:] > begin[:-1]
-        last[full] = ids[begin[1:][full] - 1].astype(np.int64) + 1
-        base = np.cumsum(last) - last
-        self.pointers = EliasFano(begin.astype(U), len(node) + 1)
-        self.ids = EliasFano((ids + base[node]).astype(U) if len(node) else np.zeros(0, U), int(last.sum()) + 1)
-        self.values = mapped(quantised(values))
+        """Children sorted by node and id; whole values are kept as they are, others in steps of QUANTUM."""
+        self.universe, self.exact = U(universe), values.dtype.kind in "iu"
+        self.ids = EliasFano(node.astype(U) * self.universe + ids.astype(U), max(nodes, 1) * universe)
+        self.values = mapped(values if self.exact else quantised(values))
 
     def find(self, node: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The places of children with these ids under these nodes; -1 where there are none."""
         out = np.full(len(node), -1)
-        live = np.flatnonzero(node >= 0)
-        if not len(live) or not self.ids.n:
-            return out
-        low, high = (self.pointers.at(node[live] + k).astype(np.int64) for k in (0, 1))
-        base = np.where(low > 0, self.ids.at(np.maximum(low - 1, 0)).astype(np.int64) + 1, 0)
-        key = (base + ids[live]).astype(U)
-        place = self.ids.successor(key).astype(np.int64)
-        inside = (place >= low) & (place < high)
-        inside &= self.ids.at(np.minimum(place, self.ids.n - 1)) == key
-        out[live[inside]] = place[inside]
+        live = node >= 0
+        out[live] = self.ids.find(node[live].astype(U) * self.universe + ids[live].astype(U))
         return out
 
     def value(self, place: np.ndarray) -> np.ndarray:
-        return _values(self.values, place)
+        found = _values(self.values, place)
+        return found if self.exact else found * QUANTUM
+
+
+def _values(stored: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The values at these places, 0 at -1."""
+    return np.where(place >= 0, stored[np.maximum(place, 0)], 0) if len(stored) else np.zeros(len(place), stored.dtype)
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
     return np.clip(np.round(x / QUANTUM), -(1 << 31), (1 << 31) - 1).astype(np.int32)
 
 
-def _values(stored: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return stored[np.maximum(place, 0)] * QUANTUM if len(stored) else np.zeros(len(place))
-
-
-class Trie:
-    """Words; the h1 before each; the h2 before both.  Values are log10 of the numerator as far as an
-    n-gram is known, m p1 at the least."""
-
-    def __init__(self, words: np.ndarray, p1: np.ndarray, second: Level, third: Level, m: float, unknown: float):
-        self.words, self.p1, self.second, self.third = EliasFano(words, 1 << 64), mapped(quantised(np.log10(m * p1))), second, third
-        self.unknown = np.log10(m) + unknown
-
-    def numerators(self, words: np.ndarray, pair_word: np.ndarray, h1: np.ndarray, pair: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """For n-grams given by pairs (a word's index, h1) and h2."""
-        node = self.words.find(words)
-        first = np.where(node >= 0, _values(self.p1, node), self.unknown)
-        second = self.second.find(node[pair_word], h1)
-        value = np.where(second >= 0, self.second.value(second), first[pair_word])
-        third = self.third.find(second[pair], h2)
-        return np.where(third >= 0, self.third.value(third), value[pair])
-
-
-def _answer(w, h1, h2, names, n_contexts: int, at, train, count, corpus: Corpus, sums: np.ndarray) -> None:
-    """Builds the trie of these tokens' training part and asks it for all; adds to the rows' sums
-    known tokens, base score, score and tokens.  w, h1, h2 number words (``names``) and contexts."""
-    n = max(n_contexts, len(names))
-    g = Grams(w, h1, h2, n)
-    learn = np.where(train, count, 0)
-    seen = np.bincount(g.of, learn, len(g.pair))
-    seen_pair = np.bincount(g.pair, seen, len(g.pairs))
-    hot = corpus.of_words(names)
-    seen_w = np.where(hot > 0, hot, np.bincount(g.pair_w, seen_pair, len(names)))
-    denominator = corpus.total + corpus.vocabulary + 1
-    p1 = (seen_w + 1) / denominator
-    # build
-    known, pairs, trained = seen_w > 0, seen_pair > 0, seen > 0
-    node, below = np.cumsum(known) - 1, np.cumsum(pairs) - 1
-    lower = corpus.b * seen_pair + corpus.m * p1[g.pair_w]
-    second = Level(node[g.pair_w[pairs]], g.pair_h[pairs], np.log10(lower[pairs]), int(known.sum()), n)
-    third = Level(below[g.pair[trained]], g.h2[trained], np.log10(seen[trained] + lower[g.pair[trained]]), int(pairs.sum()), n)
-    trie = Trie(names[known], p1[known], second, third, corpus.m, -np.log10(denominator))
-    # ask; as contexts, a word and its h1 divide what follows them - nothing follows an end
-    answer = trie.numerators(names, g.pair_w, g.pair_h, g.pair, g.h2)
-    divides = np.where(names[g.pair_w] == END, 0.0, np.log10(seen_pair + corpus.b * seen_w[g.pair_w] + corpus.m))
-    answer = (answer - divides[g.pair])[g.of]
-    size = sums.shape[1]
-    sums[0] += np.bincount(at, count * known[w], size)
-    sums[1] += np.bincount(at, count * np.log10(p1)[w], size)
-    sums[2] += np.bincount(at, count * answer, size)
-    sums[3] += np.bincount(at, count, size)
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, with the sums of their counts; what has no count is left out."""
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+class Root:
+    """The level of n-grams given by their hashes alone, with their counts."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, universe: int):
+        keys, sums = _added(hashes, counts)
+        self.ids, self.values = EliasFano(keys, universe), mapped(sums)
 
 
 class _Shard:
-    """What was dealt to a shard: blobs of tokens and, apart, rows of documents (``known``)."""
-
-    def __init__(self, rows):
-        self.parts, self.batch_of, self.known, places = [], {}, [], {}
-        for _, batch, first, words, contexts, tokens, *known in rows:
-            if words is None:
-                self.known.append((batch, None, *known))
-                continue
-            (own,) = unpack(words, [U])
-            planes = unpack(contexts, [np.uint8] * (CONTEXT_BITS // 8))
-            around = np.zeros((len(planes[0]), 8), np.uint8)
-            around[:, : len(planes)] = np.stack(planes, axis=1)
-            self.parts.append((first, own, around.view(U).ravel(), unpack(tokens, [np.uint32] * 5)))
-            places[first] = max(places.get(first, 0), int(self.parts[-1][3][3].max() >> np.uint32(1)) + 1)
-            self.batch_of[first] = batch
-        # places for the rows of all blobs, and where each blob's rows begin among them
-        self.firsts = np.array(sorted(places), np.int64)
-        self.begin = np.concatenate([[0], np.cumsum([places[f] for f in self.firsts])]).astype(np.int64)
-
-    def ranges(self):
-        """Per range of words: words, number of contexts, and of each token word, h1, h2, row's place, whether
-        it is a training one, count."""
-        if not self.parts:
-            return
-        contexts = np.unique(np.concatenate([p[2] for p in self.parts]))
-        edges = np.array([((1 << 64) * k) // RANGES for k in range(1, RANGES)], dtype=U)
-        # words are in order in a blob, and so are its tokens by word
-        cuts, places = [], []
-        for _, own, around, columns in self.parts:
-            places.append(np.searchsorted(contexts, around).astype(np.int32))
-            word_cuts = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
-            cuts.append((word_cuts, np.searchsorted(columns[0], word_cuts)))
+    """What was dealt to a shard."""
+
+    def __init__(self, batches):
+        self.of, self.words, self.pairs, self.grams, self.seen_words, self.seen = [], [], [], [], [], []
+        for batch in batches:
+            for shard, chunk, digest, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, pairs, grams = (decoded(b) for b in blobs[:3])
+                (counts,) = unpack(blobs[3], [np.uint32])
+                self.of.append((shard, chunk, digest))
+                for held, x in zip((self.words, self.pairs, self.grams, self.seen_words, self.seen), (words, pairs, grams, counts[: len(words)], counts[len(words) :]), strict=True):
+                    held.append(x)
+
+    def word_counts(self, end: int) -> tuple[list[np.ndarray], int, int, int]:
+        """The count of every word of every chunk; tokens, distinct words and documents (``end``: the end's hash
+        here) of all."""
+        every = np.concatenate(self.words)
+        level = Root(every, np.concatenate(self.seen_words).astype(np.int64), 1 << 64)
+        answers = _values(level.values, level.ids.find(every))
+        docs = _values(level.values, level.ids.find(np.array([end], U)))
+        return np.split(answers, np.cumsum([len(x) for x in self.words])[:-1]), int(level.values.sum()), level.ids.n, int(docs[0])
+
+    def gram_counts(self) -> tuple[list[list[np.ndarray]], list[list[np.ndarray]]]:
+        """The counts of every pair and of every trigram of every chunk, in pieces by range of pairs."""
+        top = int(max(p[-1] for p in self.pairs if len(p))) + 1 if any(len(p) for p in self.pairs) else 1
+        edges = np.array([top * k // RANGES for k in range(1, RANGES)], dtype=U)
+        cuts = [np.concatenate([[0], np.searchsorted(p, edges), [len(p)]]) for p in self.pairs]
+        gram_cuts = [np.searchsorted(g, c.astype(U) << U(CONTEXT_BITS)) for g, c in zip(self.grams, cuts, strict=True)]
+        out: tuple[list[list[np.ndarray]], list[list[np.ndarray]]] = ([[] for _ in self.pairs], [[] for _ in self.pairs])
         for k in range(RANGES):
-            names = np.unique(np.concatenate([p[1][c[0][k] : c[0][k + 1]] for p, c in zip(self.parts, cuts, strict=True)]))
-            if not len(names):
-                continue
-            held: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for (first, own, _, columns), (own_cuts, c), place in zip(self.parts, cuts, places, strict=True):
-                w, h1, h2, owner, count = (x[c[k] : c[k + 1]] for x in columns)
-                low, high = own_cuts[k], own_cuts[k + 1]
-                at = self.begin[np.searchsorted(self.firsts, first)] + (owner >> np.uint32(1)).astype(np.int64)
-                for column, x in zip(held, (np.searchsorted(names, own[low:high])[w - low], place[h1], place[h2], at, (owner & np.uint32(1)) == 0, count.astype(np.int64)), strict=True):
-                    column.append(x)
-            columns = [np.concatenate(x) for x in held]
-            held.clear()
-            yield names, contexts, *columns
-
-
-def _likelihoods(shard: _Shard, sent, share: int) -> np.ndarray:
-    """What a shard adds to the leave-one-out likelihood of each b and m."""
-    corpus: Corpus = sent.value
-    out = np.zeros(len(SHARES) * len(MASSES))
-    for names, contexts, w, h1, h2, _, train, count in shard.ranges():
-        g = Grams(w[train], h1[train], h2[train], max(len(contexts), len(names)))
-        x = np.bincount(g.of, count[train], len(g.pair))
-        c2, hot = np.bincount(g.pair, x, len(g.pairs)), corpus.of_words(names)
-        c1 = np.where(hot > 0, hot, np.bincount(g.pair_w, c2, len(names)))
-        turn = K.mix(names[g.pair_w] ^ (contexts[g.pair_h] << U(17))) % U(share) == 0
-        # a pair is the context of as many tokens as it has, but for those that end a text
-        divides = turn & (names[g.pair_w] != END)
-        # of pairs seen once only the word's count matters: words stand for them, with their number
-        once, often = c2 == 1, c2 > 1
-        singles, dividing = (np.bincount(g.pair_w[once & t], minlength=len(names)) for t in (turn, divides))
-        met, divided = np.flatnonzero(singles), np.flatnonzero(dividing)
-        mine, divides = (turn & often)[g.pair], divides & often
-        pair, x = g.pair[mine], x[mine]
-        of = g.pair_w[pair]
-        for j, m in enumerate(MASSES):
-            lowest = c1 * (m / max(corpus.total + corpus.vocabulary, 1))
-            alone = singles[met] @ np.log(lowest[met])
-            for k, b in enumerate(SHARES):
-                above = x @ np.log(x - 1 + ((c2 - 1) * b)[pair] + lowest[of])
-                below = c2[divides] @ np.log(c2[divides] - 1 + ((c1 - 1) * b + m)[g.pair_w[divides]])
-                out[k * len(MASSES) + j] += alone + above - below - dividing[divided] @ np.log((c1[divided] - 1) * b + m)
-    return out
-
-
-def _shard(rows, sent):
-    """What a shard's tries add to the scores, one blob for each batch of documents."""
-    corpus, shard = sent.value, _Shard(rows)
-    yield from shard.known
-    sums = np.zeros((4, shard.begin[-1]))
-    for names, contexts, *tokens in shard.ranges():
-        _answer(*tokens[:3], names, len(contexts), *tokens[3:], corpus, sums)
-    for f, s, e in zip(shard.firsts.tolist(), shard.begin[:-1], shard.begin[1:], strict=True):
-        full = s + np.flatnonzero(sums[3, s:e])
-        row = (f - shard.batch_of[f] + full - s).astype(np.uint32)
-        yield shard.batch_of[f], b"".join([len(full).to_bytes(8, "little"), row.tobytes(), sums[0, full].astype(np.uint32).tobytes(), sums[1, full].tobytes(), sums[2, full].tobytes()]), None, None, None
-
-
-def _summed(table: pa.Table, start: float) -> pa.Table:
-    """The scores of a batch of documents from what the shards add; ``start`` is log10 of the
-    denominator of a document's first token."""
-    known = next(k for k in range(table.num_rows) if not table.column(1)[k].is_valid)
-    ids, held, sizes = (table.column(c)[known].values for c in (2, 3, 4))
-    sums = np.zeros((3, len(ids)))
-    for blob in table.column(1):
-        if blob.is_valid:
-            raw = blob.as_py()
-            n = int.from_bytes(raw[:8], "little")
-            row, seen = (np.frombuffer(raw, np.uint32, n, 8 + 4 * n * k) for k in (0, 1))
-            # each row comes once in a blob
-            sums[0, row] += seen
-            sums[1, row] += np.frombuffer(raw, np.float64, n, 8 + 8 * n)
-            sums[2, row] += np.frombuffer(raw, np.float64, n, 8 + 16 * n)
-    return pa.Table.from_arrays([ids, held, sizes, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2] - start)], names=_fields(SCORES))
+            pairs = [p[c[k] : c[k + 1]] for p, c in zip(self.pairs, cuts, strict=True)]
+            grams = [g[c[k] : c[k + 1]] for g, c in zip(self.grams, gram_cuts, strict=True)]
+            begin = np.cumsum([0, *(len(p) for p in pairs)])
+            # the pair of each trigram among the pairs of all chunks
+            of = np.concatenate([(g >> U(CONTEXT_BITS)).astype(np.int64) + (b - c[k]) for g, b, c in zip(grams, begin, cuts, strict=False)])
+            seen = np.concatenate([x[c[k] : c[k + 1]] for x, c in zip(self.seen, gram_cuts, strict=True)]).astype(np.int64)
+            ends = np.cumsum([len(g) for g in grams])[:-1]
+            h2 = np.concatenate(grams) & U((1 << CONTEXT_BITS) - 1)
+            # whole numbers below 2 ** 53 are exact here
+            asked = np.concatenate(pairs)
+            second = Root(asked, np.bincount(of, seen, begin[-1]).astype(np.int64), 1 << PAIR_BITS)
+            place = second.ids.find(asked)
+            node = place[of]
+            keys, sums = _added((node.astype(U) << U(CONTEXT_BITS)) | h2, seen)
+            third = Level(keys >> U(CONTEXT_BITS), keys & U((1 << CONTEXT_BITS) - 1), sums, second.ids.n, 1 << CONTEXT_BITS)
+            for held, answers in zip(out, (np.split(_values(second.values, place), begin[1:-1]), np.split(third.value(third.find(node, h2)), ends)), strict=True):
+                for chunk, x in zip(held, answers, strict=True):
+                    chunk.append(x)
+        return out
+
+
+def _answered(batches, shards: int):
+    """The counts of what each chunk dealt to this shard, in its order, and the shard's totals."""
+    shard = _Shard(batches)
+    if not shard.of:
+        return
+    # relative to the shard's range; in other shards than the end's no word has this
+    words, *first = shard.word_counts((int(END) - int(_bounds(shards)[shard.of[0][0]])) % (1 << 64))
+    pairs, grams = shard.gram_counts()
+    for (number, chunk, digest), w, p, g in zip(shard.of, words, pairs, grams, strict=True):
+        counts = np.concatenate([w, *p, *g])
+        kind = np.uint32 if counts.max(initial=0) < 1 << 32 else U
+        sizes = np.array([len(w), sum(map(len, p)), np.dtype(kind).itemsize], np.int64)
+        yield pa.RecordBatch.from_pylist([dict(zip(_fields(ANSWERS), (number, chunk, digest, sizes.tobytes() + pack([counts.astype(kind)]), *first), strict=True))], schema=_ARROW_ANSWERS)
+        first = [0, 0, 0]
+
+
+_ARROW_ANSWERS = pa.schema([(name, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in (x.split() for x in ANSWERS.split(", "))])
+
+
+def _read_again(batches):
+    """The chunks' tokens, with their documents."""
+    for batch, digest, ids, held, sizes, words, word in _chunks(batches):
+        columns = [pa.array([batch], pa.int64()), pa.array([digest], pa.int64()), pa.array([encoded(words, 1 << 64)], pa.binary()), pa.array([pack([word.astype(np.uint32)])], pa.binary())]
+        lists = (pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (held.tolist(), pa.bool_()), (sizes.tolist(), pa.int64())))
+        yield pa.RecordBatch.from_arrays([*columns, *lists], names=_fields(CHUNKS))
+
+
+class Corpus:
+    """Totals of what is learned from, b and m."""
+
+    def __init__(self, total: int, vocabulary: int, docs: int, b: float, m: float):
+        self.total, self.vocabulary, self.docs, self.b, self.m = total, vocabulary, docs, b, m
+
+
+def _likelihoods(g: Grams, x: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, corpus: Corpus, share: int) -> np.ndarray:
+    """What a chunk adds to the leave-one-out likelihood of each b and m; x: its training tokens of each trigram,
+    c1, c2, c3: the counts of words, pairs and trigrams in all."""
+    pair, turn = g.pair(), g.pairs % U(share) == 0
+    mine = np.flatnonzero((x > 0) & turn[pair])
+    x, of = x[mine], pair[mine]
+    # a pair is the context of as many tokens as it has, but for those that end a text
+    divides = np.bincount(of, x, len(g.pairs)) * (g.words[g.pair_word] != END)
+    dividing = np.flatnonzero(divides)
+    divides, below, first = divides[dividing], c2[dividing] - 1.0, c1[g.pair_word[dividing]] - 1.0
+    seen, above, lowest = c3[mine] - 1.0, c2[of] - 1.0, c1[g.pair_word[of]] / max(corpus.total + corpus.vocabulary, 1)
+    return np.array([x @ np.log(seen + b * above + m * lowest) - divides @ np.log(below + b * first + m) for b, m in GRID])
+
+
+def _scored(chunk: pa.Table, answers: pa.Table, corpus: Corpus, share: int) -> pa.Table:
+    """The documents of a chunk with their scores for each b and m; the chunk's likelihoods on the first."""
+    if chunk.num_rows != 1 or not answers.num_rows:
+        raise ValueError("the documents were not the same when they were read again")
+    words, tokens = (chunk.column(c)[0].as_py() for c in (2, 3))
+    ids, held, sizes = (chunk.column(c).combine_chunks().flatten() for c in (4, 5, 6))
+    (word,) = unpack(tokens, [np.uint32])
+    size = sizes.to_numpy()
+    g = Grams(decoded(words), word.astype(np.int64), size)
+    found: list[list[np.ndarray]] = [[], [], []]
+    for k in np.argsort(answers.column(0).to_numpy()):
+        blob = answers.column(3)[int(k)].as_py()
+        n, pairs, width = (int(i) for i in np.frombuffer(blob, np.int64, 3))
+        (counts,) = unpack(blob[24:], [np.uint32 if width == 4 else U])
+        for kept, x in zip(found, np.split(counts, [n, n + pairs]), strict=True):
+            kept.append(x)
+    c1, c2, c3 = (np.concatenate(x).astype(np.float64) for x in found)
+    if (len(c1), len(c2), len(c3)) != (len(g.words), len(g.pairs), len(g.grams)):
+        raise ValueError("the documents were not the same when they were read again")
+    start, pair, p1 = np.cumsum(size) - size, g.pair(), (c1 + 1) / (corpus.total + corpus.vocabulary + 1)
+    x = np.bincount(g.gram[np.repeat(~held.to_numpy(zero_copy_only=False), size)], minlength=len(g.grams))
+    fit = _likelihoods(g, x, c1, c2, c3, corpus, share)
+    known, base = np.add.reduceat((c1 > 0).astype(np.int64)[g.word], start), np.add.reduceat(np.log10(p1)[g.word], start)
+    # as contexts, a word and its h1 divide what follows them - nothing follows an end
+    follows, first, lowest = g.words[g.pair_word] != END, c1[g.pair_word], p1[g.pair_word]
+    scores = np.empty((len(size), len(GRID)))
+    for k, (b, m) in enumerate(GRID):
+        divisor = np.where(follows, np.log(c2 + b * first + m), 0.0)
+        value = np.log(c3 + (b * c2 + m * lowest)[pair]) - divisor[pair]
+        scores[:, k] = (np.add.reduceat(value[g.gram], start) - np.log(corpus.docs + b * corpus.docs + m)) / np.log(10)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * len(GRID), pa.int32()), pa.array(scores.ravel()))
+    fits = pa.array([fit.tolist(), *[None] * (len(size) - 1)], pa.list_(pa.float64()))
+    return pa.Table.from_arrays([ids, held, sizes, pa.array(known), pa.array(base), lists, fits], names=_fields(SCORES))
+
+
+def weights(fit: np.ndarray, docs: int, share: int = PAIR_SHARE) -> tuple[float, float]:
+    """b and m with the highest leave-one-out likelihood; ``fit`` is all but the first contexts of documents."""
+    return GRID[int(np.argmax(fit - np.array([docs * np.log(max(docs - 1, 0) * (1 + b) + m) / share for b, m in GRID])))]
 
 
 def score(documents: DataFrame) -> DataFrame:
-    """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    """Every row's doc_id, held_out, n_tokens, n_known, base_score, score and train_tokens."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = written(docs.mapInArrow(_counted, COUNTS).groupBy("word").agg(F.sum("seen").alias("seen")), "counts")
-    end = int(np.array([END]).view(np.int64)[0])
-    totals = words.agg(F.sum("seen").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == end, F.col("seen"))).alias("docs")).first()
-    total, docs_seen = totals["n"] or 0, totals["docs"] or 0
-    hot = words.where((F.col("seen") >= total / HOT) & (F.col("seen") > 1)).toPandas()  # HOT rows at most
-    known = (hot["word"].to_numpy(np.int64).view(U), hot["seen"].to_numpy(np.int64), total, totals["v"], docs_seen)
-    counted = spark.sparkContext.broadcast(Corpus(*known, 0.0, 0.0))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_SHARD), 1)
-    # one RDD for both readings, so that it is dealt once
-    dealt = docs.mapInArrow(partial(_dealt, sent=counted, shards=shards), BLOBS).repartitionById(shards, "shard").rdd
-    corpus = Corpus(*known, *weights(dealt, counted, PAIR_SHARE))
-    sent = spark.sparkContext.broadcast(corpus)
-    start = float(np.log10(docs_seen + corpus.b * docs_seen + corpus.m))
-    parts = spark.createDataFrame(dealt.mapPartitions(lambda rows: _shard(rows, sent)), PARTIAL, verifySchema=False)
-    sums = parts.groupBy("batch").applyInArrow(lambda table: _summed(table, start), SCORES)
-    return sums.withColumn("train_tokens", F.lit(total).cast("long"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_SHARD), 1)
+    dealt = docs.mapInArrow(partial(_dealt, shards=shards), BLOBS).repartitionById(shards, "shard")
+    answers = written(dealt.mapInArrow(partial(_answered, shards=shards), ANSWERS), "answers")
+    totals = answers.agg(*(F.sum(c).alias(c) for c in ("total", "vocabulary", "docs"))).first()
+    known = [totals[c] or 0 for c in ("total", "vocabulary", "docs")]
+    finish = partial(_scored, corpus=Corpus(*known, 0.0, 0.0), share=PAIR_SHARE)
+    chunks = docs.mapInArrow(_read_again, CHUNKS)
+    both = chunks.groupBy("batch", "digest").cogroup(answers.groupBy("batch", "digest"))
+    scored = written(both.applyInArrow(lambda chunk, found: finish(chunk, found), SCORES), "scores")
+    fits = scored.where("fit IS NOT NULL").select(F.posexplode("fit").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()  # one row for each b and m
+    fit = np.zeros(len(GRID))
+    for r in fits:
+        fit[r["k"]] = r["x"]
+    corpus = Corpus(*known, *weights(fit, known[2], PAIR_SHARE))
+    chosen = F.col("scores")[GRID.index((corpus.b, corpus.m))].alias("score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", chosen, F.lit(known[0]).cast("long").alias("train_tokens"))
 
 
 def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,41 @@ def test_weights_come_from_every_pair(spark, monkeypatch):
         rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 50}" for _ in range(rng.randint(1, 12))), "") for i in range(24)]
         grid = {(b, m): leave_one_out(rows, b, m) for b in L.SHARES for m in L.MASSES}
         assert chosen(spark, monkeypatch, rows, L.PAIR_SHARE) == max(grid, key=grid.get)
+
+
+def test_what_shards_are_dealt_and_answer_grows_with_the_tokens_alone():
+    """Each n-gram of a chunk once, so that bytes hardly depend on the number of shards."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(400)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    moved = []
+    for shards in (2, 60):
+        rows = [r for b in L._dealt([batch], shards) for r in b.to_pylist()]
+        answers = [r for s in range(shards) if (own := [r for r in rows if r["shard"] == s]) for b in L._answered([pa.RecordBatch.from_pylist(own, pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (x.split() for x in L.BLOBS.split(", "))]))], shards) for r in b.to_pylist()]
+        assert sum(r["docs"] for r in answers) == sum(not is_held(i) for i in range(300))
+        moved.append(sum(len(x) for r in rows + answers for x in r.values() if isinstance(x, bytes)) / (300 * 401))
+    assert moved[1] < 1.25 * moved[0] and max(moved) < 16
+
+
+def test_elias_fano_bytes_and_few_keys():
+    from lodeseek.llm import elias_fano
+
+    rng = np.random.default_rng(7)
+    for n, top in ((0, 1 << 64), (1, 1 << 64), (5000, 1 << 56), (3000, 3001)):
+        values = np.unique(rng.integers(0, min(top, 1 << 63) - 1, n, dtype=np.uint64))
+        assert (elias_fano.decoded(elias_fano.encoded(values, top)) == values).all()
+        sequence, asked = EliasFano(values, top), np.concatenate([values[:20], rng.integers(0, min(top, 1 << 63) - 1, 20, dtype=np.uint64)])
+        assert (sequence.successor(asked) == np.searchsorted(values, asked)).all()
+        assert ((sequence.find(asked) >= 0) == np.isin(asked, values)).all()
+
+
+def test_other_documents_at_the_second_reading_are_an_error():
+    import pyarrow as pa
+
+    batch = lambda text: pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], names=["doc_id", "text"])
+    (chunk,), (other,) = L._read_again([batch("a b c")]), L._read_again([batch("a b d")])
+    assert chunk["batch"] == other["batch"] and chunk["digest"] != other["digest"]
+    with pytest.raises(ValueError, match="not the same"):
+        L._scored(pa.Table.from_batches([chunk]), pa.table({"batch": pa.array([], pa.int64())}), L.Corpus(0, 0, 0, 0.0, 0.0), 1)
