@@ -78,9 +78,10 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "i
     schema = "ids array<long>, dimensions int, numbers binary"
     rows = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
     asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
-    rows = rows.mapInArrow(lambda batches: _blocks(batches, ROW_BLOCK, "rows"), schema)
+    # blocks are shuffled, or every meeting of partitions would make those of both anew, each by a worker of its own
+    rows = rows.mapInArrow(lambda batches: _blocks(batches, ROW_BLOCK, "rows"), schema).repartition(F.col("ids")[0])
     # few partitions, or there would be many small blocks
-    asked = asked.coalesce(8).mapInArrow(lambda batches: _blocks(batches, QUERY_BLOCK, "queries"), schema).toDF("query_ids", "query_dimensions", "query_numbers")
+    asked = asked.coalesce(8).mapInArrow(lambda batches: _blocks(batches, QUERY_BLOCK, "queries"), schema).repartition(F.col("ids")[0]).toDF("query_ids", "query_dimensions", "query_numbers")
     # a stated set of queries against all rows, block by block
     every = rows.crossJoin(asked).mapInArrow(lambda batches: _nearest(batches, k), "query_id long, id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")

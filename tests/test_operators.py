@@ -247,3 +247,25 @@ def test_counted_postings_are_all_postings(spark):
     d = spark.createDataFrame([(1, "b a B c a", "x/a"), (2, None, ""), (3, "é 1 É", None)], "id long, text string, path string")
     both = [sorted(map(tuple, p.select("field", "term", "id", "tf", "dl").collect())) for p in (f(d, "id", {"text": "text", "path": "path"}) for f in (fts.all_postings, fts.counted_postings))]
     assert both[0] == both[1] and len(both[0]) == 7
+
+
+def test_blocks_are_made_once_before_they_meet(spark):
+    """Both sides of the meeting come from a shuffle; the nearest are those of one query after another."""
+    import random
+
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(120)], "id long, embedding array<float>").repartition(3)
+    asked = rows.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        near = vector_search.batch_top_k(rows, asked, 4)
+        plan = near._jdf.queryExecution().sparkPlan().toString()
+        sides = plan[plan.index("CartesianProduct") :].split("MapInArrow")
+        assert [" Exchange " in " ".join(x.split()) or "Exchange hashpartitioning" in x for x in sides[:2]] == [True, True]
+        got = {}
+        for r in near.orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {q.query_id: [r.id for r in vector_search.top_k(rows, q.embedding, 4).collect()] for q in asked.collect()}
