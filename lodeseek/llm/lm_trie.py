@@ -49,7 +49,7 @@ HOT = 50_000
 #: Bytes of text meant for one shard.
 PER_SHARD = 20_000_000
 #: Tokens of a chunk, which a task holds at a time.
-CHUNK_TOKENS = 1_600_000
+CHUNK_TOKENS = 1_300_000
 #: Ranges of pairs in which a shard builds and asks its trie, one after another, to hold less.
 RANGES = 4
 #: One of so many pairs of words counts for b and m: every one.
@@ -98,11 +98,20 @@ class Grams:
         h1[1:], h2[2:] = tokens[:-1], tokens[:-2]
         h1[start] = h2[start] = BEGIN
         h2[start[sizes > 1] + 1] = BEGIN
+        # in place, for these are the largest arrays that a task holds
         h1 *= K.STEP
-        self.pairs, pair = np.unique(K.mix(tokens ^ h1) >> U(64 - PAIR_BITS), return_inverse=True)
-        self.grams, self.gram = np.unique((pair.astype(U) << U(CONTEXT_BITS)) | (h2 >> U(64 - CONTEXT_BITS)), return_inverse=True)
+        h1 ^= tokens
+        del tokens
+        h1 = K.mix(h1)
+        h1 >>= U(64 - PAIR_BITS)
+        self.pairs, pair = np.unique(h1, return_inverse=True)
+        del h1
         self.pair_word = np.empty(len(self.pairs), np.int64)
         self.pair_word[pair] = word
+        h2 >>= U(64 - CONTEXT_BITS)
+        h2 |= pair.astype(U) << U(CONTEXT_BITS)
+        del pair
+        self.grams, self.gram = np.unique(h2, return_inverse=True)
 
     def pair(self) -> np.ndarray:
         """Each n-gram's pair."""
